@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import dedup, mixing, ngram_join, packing, toxicity
+from ledgerline.llm import dedup, html_text, licenses, mixing, ngram_join, packing, token_counts, toxicity
 from ledgerline.llm.common import crc_mod
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_path() -> str:
@@ -28,6 +29,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -36,6 +41,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     got = toxicity.score(docs, toxicity.learn(docs, _read(spark, sf_dir, "labels")))
@@ -49,13 +58,22 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_html_main_text": op3_html_main_text,
         "op4_source_mixing": op4_source_mixing,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_license_scan": op6_license_scan,
         "op7_toxicity": op7_toxicity,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op10_token_counts": op10_token_counts,
     }
 
 
