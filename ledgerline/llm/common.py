@@ -7,6 +7,7 @@ its token everywhere; among 10**9 distinct tokens a collision is expected about
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
+BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 CHUNK_BYTES = 1 << 20  #: bytes of text that are hashed at once; a longer text is a chunk of its own
 
 _R = 0x9E3779B97F4A7C15 | 1
@@ -39,6 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of its session held to ``BATCH_ROWS`` rows and ``BATCH_BYTES``: texts may be long."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.sub(r"[^0-9-]", "", conf.get(key, "0") or "0")
+        if not now or int(now) <= 0 or int(now) > most:
+            conf.set(key, str(most))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: short lineage, lost executors cost nothing."""
     spark = df.sparkSession
@@ -195,7 +208,7 @@ class KeyFilter:
         def merge(pdf):
             return pdf.iloc[:1].assign(bits=[np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["bits"]]).tobytes()])
 
-        found = keys.mapInArrow(local, "segment long, bits binary").groupBy("segment").applyInPandas(merge, "segment long, bits binary")
+        found = lean(keys).mapInArrow(local, "segment long, bits binary").groupBy("segment").applyInPandas(merge, "segment long, bits binary")
         whole = np.zeros(bits // 8, dtype=np.uint8)
         for r in found.toLocalIterator():
             whole[r["segment"] << 13 : (r["segment"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
@@ -228,6 +241,6 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
         return pd.Series(known.has(x.to_numpy()))
 
     name = f"_maybe_{uuid.uuid4().hex}"
-    seen = docs.withColumn(name, maybe(key))
+    seen = lean(docs).withColumn(name, maybe(key))
     gone = gone.select(F.col(gone.columns[0]).alias(f"{name}_id")).distinct()
     return seen.where(~F.col(name)).unionByName(seen.where(name).join(gone, F.col("doc_id").cast("long") == F.col(f"{name}_id"), "left_anti")).drop(name)

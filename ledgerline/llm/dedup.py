@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import U, cut
+from ledgerline.llm.common import cut, lean, U
 
 HASHES = 2  #: bit positions of a row
 BITS_PER_ROW = 16
@@ -44,7 +44,7 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.arange(row, row + len(sha))), pa.array(sha, pa.binary())], ["doc_id", "row", "sha"])
             row += len(sha)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row long, sha binary")
+    return lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row long, sha binary")
 
 
 def _positions(sha: pa.Array, bits: int) -> np.ndarray:
@@ -153,7 +153,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"suspect": _hit(bitmap, pa.array(sha, pa.binary()), bits), "sha": sha})
 
     name = f"_look_{uuid.uuid4().hex}"
-    seen = docs.withColumn(name, look(F.col("text").cast("string")))
+    seen = lean(docs).withColumn(name, look(F.col("text").cast("string")))
     met = (F.col(f"{name}.sha") == F.col("_sha")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep"))
     stay = seen.where(F.col(f"{name}.suspect")).join(best, met, "left_semi")
     stay = stay.withColumn(name, F.col(f"{name}.sha")).dropDuplicates([name, "doc_id"])

@@ -29,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import KeyFilter, U, components, cut, mix64, tokens, without
+from ledgerline.llm.common import components, cut, KeyFilter, lean, mix64, tokens, U, without
 
 NGRAM = 5
 PERCENT = 75  #: Jaccard similarity, in hundredths
-BUCKET_SHINGLES = 1 << 17  #: shingles that a bucket holds on average
+BUCKET_SHINGLES = 1 << 18  #: shingles that a bucket holds on average
 PIVOT_CHUNK = 128  #: documents compared with one pivot in one group of a task
 
 
@@ -103,7 +103,7 @@ def _scatter(docs: DataFrame, buckets: int, n: int) -> DataFrame:
                     ["bucket", "batch", "x", "y", "head"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket long, batch long, x binary, y binary, head boolean")
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket long, batch long, x binary, y binary, head boolean")
 
 
 def _frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -180,7 +180,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             sets = [s.tobytes() for s in shingle_sets(b.column("text"), n)]
             yield pa.RecordBatch.from_arrays([pa.array([_set_key(np.frombuffer(s, U)) for s in sets], pa.int64()), pa.array(sets, pa.binary())], ["class", "hashes"])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    some = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # some others pass the filter, and a doc_id may have several rows: only rows of a wanted class count, once
     found = some.mapInArrow(run, "class long, hashes binary").join(wanted.select("class").distinct(), "class", "left_semi")
     return found.dropDuplicates(["class"])

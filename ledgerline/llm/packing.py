@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerline.llm.common import U, cut, mix64, tokens
+from ledgerline.llm.common import cut, lean, mix64, tokens, U
 
 LENGTH = 2048
 END = 0
@@ -171,7 +171,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k in (1, 5) else pa.int64()) for k, c in enumerate(cols)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 
 def _price(weights: np.ndarray, sizes: np.ndarray, most: np.ndarray, room: int) -> np.ndarray:

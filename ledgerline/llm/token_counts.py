@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import U, tokens
+from ledgerline.llm.common import lean, tokens, U
 
 MARK = "▁"
 BYTE_SCORE = -20.0  #: of a character that no piece covers, for each of its bytes
@@ -115,4 +115,4 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
             rows = list(text_counts(b.column("text"), path))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import U, crc_mod, mix64, tokens
+from ledgerline.llm.common import crc_mod, lean, mix64, tokens, U
 
-MOST_ROWS = 12_000  #: labelled documents that the model is fitted on at most
+MOST_ROWS = 10_000  #: labelled documents that the model is fitted on at most
 TERM_BITS = 18
 FEATURES = 2048  #: hashed terms with weights of their own, picked by how much they tell of the label
 LEAST_CHI = 10.0  #: a term with a smaller chi-square (about one chance in 600) tells too little
@@ -125,7 +125,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Fac
     if n > most_rows:
         known = known.where(F.pmod(F.xxhash64(F.lit(41), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * most_rows / n))
     # bounded by most_rows: small enough to be sent to every executor
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic", F.xxhash64("doc_id", "text").alias("at"))
+    texts = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic", F.xxhash64("doc_id", "text").alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,7 +143,7 @@ def score(docs: DataFrame, model: FactorMachine) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shared.value.scores(list(term_sets(b.column("text")))), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, model: FactorMachine, threshold: float = 0.5) -> DataFrame:
@@ -155,4 +155,4 @@ def drop_toxic(docs: DataFrame, model: FactorMachine, threshold: float = 0.5) ->
         return pd.Series(shared.value.scores(list(term_sets(pa.array(texts, pa.string())))), index=texts.index, dtype="float64")
 
     name = f"_score_{uuid.uuid4().hex}"
-    return docs.withColumn(name, rate(F.col("text").cast("string"))).where(F.col(name) < threshold).drop(name)
+    return lean(docs).withColumn(name, rate(F.col("text").cast("string"))).where(F.col(name) < threshold).drop(name)
