@@ -7,7 +7,6 @@ its token everywhere; among 10**9 distinct tokens a collision is expected about
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,10 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
 def lean(df: DataFrame) -> DataFrame:
     """``df``, with Arrow batches of its session held to ``BATCH_ROWS`` rows and ``BATCH_BYTES``: texts may be long."""
     conf = df.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = re.sub(r"[^0-9-]", "", conf.get(key, "0") or "0")
-        if not now or int(now) <= 0 or int(now) > most:
-            conf.set(key, str(most))
+    rows = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

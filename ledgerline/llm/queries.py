@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import dedup, html_text, licenses, mixing, ngram_join, packing, token_counts, toxicity
+from ledgerline.llm import dedup, embedding_dedup, html_text, licenses, mixing, ngram_join, packing, token_counts, toxicity
 from ledgerline.llm.common import crc_mod
 
 TOKENIZER = "word_bpe_49k.json"
@@ -58,6 +58,10 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_license_scan": op6_license_scan,
         "op7_toxicity": op7_toxicity,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_token_counts": op10_token_counts,
     }
 
