@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import dedup, embedding_dedup, html_text, licenses, mixing, ngram_join, packing, token_counts, toxicity
+from ledgerline.llm import dedup, embedding_dedup, html_text, licenses, lm_score, mixing, ngram_join, packing, token_counts, toxicity
 from ledgerline.llm.common import crc_mod
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = dedup.copies(_read(spark, sf_dir, "documents"))
     return got.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
@@ -70,6 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_score": op1_lm_score,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_html_main_text": op3_html_main_text,
         "op4_source_mixing": op4_source_mixing,
