@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 U = np.uint64
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
-CHUNK_BYTES = 1 << 20  #: bytes of text that are hashed at once; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 18  #: bytes of text that are hashed at once; a longer text is a chunk of its own
 
 _R = 0x9E3779B97F4A7C15 | 1
 _RINV = pow(_R, -1, 1 << 64)

@@ -209,8 +209,12 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _fits(percent: int) -> str:
-    """Size and position filter of two entries (sizes n, m; positions p, q) of one shingle."""
-    return f"100 * least(n, m) >= {percent} * greatest(n, m) and (100 + {percent}) * (1 + least(n - p, m - q) - 1 + least(p, q)) >= {percent} * (n + m)"
+    """Size and position filter of two entries (sizes n, m; positions p, q) of one shingle.
+
+    The first shingle that two similar sets share leaves room for all of their overlap in what follows it, so a pair need
+    only be met where that holds.
+    """
+    return f"100 * least(n, m) >= {percent} * greatest(n, m) and (100 + {percent}) * least(n - p, m - q) >= {percent} * (n + m)"
 
 
 def link_classes(docs: DataFrame, table: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:

@@ -30,7 +30,7 @@ from ledgerline.llm.common import cut, lean, mix64, tokens, U
 LENGTH = 2048
 END = 0
 ROUNDS = 100  #: of multiplicative weights
-MOST_UNITS = 1_000_000  #: parts of words whose ids a worker remembers (about 40 MB); then it starts anew
+MOST_UNITS = 300_000  #: parts of words whose ids a worker remembers (about 12 MB); then it starts anew
 
 #: bytes: 0 white space, 1 letter, 2 digit, 3 other, 4 of a word that is asked for as a whole
 _CLASS = np.full(256, 3, dtype=np.uint8)

@@ -26,7 +26,7 @@ from ledgerline.llm.common import lean, tokens, U
 
 MARK = "▁"
 BYTE_SCORE = -20.0  #: of a character that no piece covers, for each of its bytes
-MOST_WORDS = 1_000_000  #: distinct words whose counts a worker remembers; then it starts anew
+MOST_WORDS = 500_000  #: distinct words whose counts a worker remembers; then it starts anew
 
 
 class Trie:

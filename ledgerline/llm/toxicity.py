@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import crc_mod, lean, mix64, tokens, U
 
-MOST_ROWS = 10_000  #: labelled documents that the model is fitted on at most
+MOST_ROWS = 8_000  #: labelled documents that the model is fitted on at most
 TERM_BITS = 18
 FEATURES = 2048  #: hashed terms with weights of their own, picked by how much they tell of the label
 LEAST_CHI = 10.0  #: a term with a smaller chi-square (about one chance in 600) tells too little
