@@ -67,7 +67,7 @@ class FactorMachine:
         at = np.minimum(np.searchsorted(self.terms, flat), len(self.terms) - 1)
         hit = self.terms[at] == flat
         doc, at = np.repeat(np.arange(len(sets)), n)[hit], at[hit]
-        lin = np.bincount(doc, self.w[at], len(sets))
+        lin = np.bincount(doc, self.w[at], len(sets)).astype(np.float64)  # counts are integers where nothing is hit
         for f in range(self.v.shape[1]):
             v = self.v[at, f]
             lin += 0.5 * (np.bincount(doc, v, len(sets)) ** 2 - np.bincount(doc, v * v, len(sets)))
