@@ -151,14 +151,14 @@ def scan(docs: DataFrame) -> DataFrame:
 
     # method: rules whose keyword the text holds
     rules = F.broadcast(_rules(docs.sparkSession)).alias("r")  # a few hundred rows
-    texts = rows.where("norm is not null").select("doc_id", "key", "norm").distinct()
+    texts = rows.where("norm is not null").select("doc_id", "key", "norm")
     words = sorted({w for r in rule_rows() for w in r[3].split("|")})
     held_words = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("norm"), w))
     # a rule that several held keywords lead to is tried for the first of them
     tried = texts.withColumn("words", held_words).withColumn("keyword", F.explode("words")).join(rules, "keyword")
     tried = tried.where(F.element_at(F.filter("words", lambda w: F.array_contains(F.col("keywords"), w)), 1) == F.col("keyword"))
     tried = tried.where(F.call_function("rlike", F.col("norm"), F.col("pattern")))
-    found = tried.select("doc_id", "key", "label", "sure", "rank", "rule", F.explode(_places(F.col("norm"), F.col("pattern"))).alias("p")).select("*", "p.first", "p.last").drop("p")
+    found = tried.select("doc_id", "key", "label", "sure", "rank", "rule", F.explode(_places(F.col("norm"), F.col("pattern"))).alias("p")).select("*", "p.first", "p.last").drop("p").distinct()  # repeated rows find the same places; the texts themselves never shuffle
     before = Window.partitionBy("doc_id", "key").orderBy("first", F.desc("last"), F.desc("rank"), "rule").rowsBetween(Window.unboundedPreceding, -1)
     kept = found.withColumn("reach", F.max("last").over(before)).where("reach is null or reach < last")
     by_text = kept.groupBy("doc_id", "key").agg(F.collect_set("label").alias("more"), F.max("sure").alias("sure"), F.count("*").alias("n_detections"))

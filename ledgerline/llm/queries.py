@@ -59,9 +59,6 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
