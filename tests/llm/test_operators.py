@@ -225,3 +225,23 @@ def test_lm_score(docs, empty):
     assert sorted(zip(got["n_tokens"], got["base_score"].round(6), strict=True)) == want
     assert set(got["train_tokens"]) == {n} and (got["score"] < 0).all()
     assert lm_score.score_documents(empty).count() == 0
+
+
+def test_exact_dedup_sql(spark):
+    """The query and its SQL twin give the same rows on driver tables."""
+    import os
+
+    import duckdb
+
+    from ledgerline.llm import queries
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables are not here")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(queries.oracle_sql()["op2_exact_dedup"])
+    names = [d[0] for d in want.description]
+    got = queries.queries()["op2_exact_dedup"](spark, sf)
+    assert got.columns == names
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
