@@ -7,9 +7,9 @@ within them; all other words, seen or not, fall in classes by their first and la
 probability in proportion to count + 1, so the model is a proper distribution over words and one unknown word per class.
 
 Training is truncated backpropagation in numpy, over windows of ``WINDOW`` tokens with the state carried on; tasks train
-on their own texts and the weights are averaged, ``ROUNDS`` times.  It learns from the whole texts of a fixed share of
-the training documents (``SHARE``, picked by hash, alike at every size); counts cover all of them.  Scoring carries the
-state across windows to the end of each text.  Words beyond the ``HEAD`` most frequent meet their counts in a join.
+on their own texts and the weights are averaged, ``ROUNDS`` times.  It learns from the whole text of every training
+document: the rounds take disjoint parts of them, by hash, which together are all.  Scoring carries the state across
+windows to the end of each text.  Words beyond the ``HEAD`` most frequent meet their counts in a join.
 
 Cases: a null text counts as empty and is scored as its end token; doc_id null counts as the empty id; repeated rows get
 equal scores; without training documents every count is 0; an empty table gives an empty result; extra columns are
@@ -36,8 +36,8 @@ KINDS = 64  #: classes of all other words
 STATE = 16
 WINDOW = 16
 TRAIN_BATCH = 128
+CHUNK = 2048  #: tokens whose probabilities are found at once, small enough for the cache
 ROUNDS = 2
-SHARE = 4  #: one training document in so many trains the network
 SCORE_DOCS = 4096  #: texts that are scored side by side
 END = U(0x1D0C5E17AB54A98C)  #: hash of the end token
 RATE = 0.01
@@ -175,69 +175,97 @@ class Network:
             out[s] = h
         return out, h
 
+    def _kinds(self, y: np.ndarray) -> np.ndarray:
+        """The class of each target."""
+        return np.where(y < WORDS, self.cls[np.minimum(y, len(self.cls) - 1)] if len(self.cls) else 0, y - WORDS + CLASSES)
+
     def log_p(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """ln of the probability of the class of each target, times that within the class for learnt words."""
-        k = np.where(y < WORDS, self.cls[np.minimum(y, len(self.cls) - 1)] if len(self.cls) else 0, y - WORDS + CLASSES)
-        logits = h @ self.w["wc"] + self.w["bc"]
-        top = logits.max(axis=1)
-        out = logits[np.arange(len(y)), k] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        own = np.flatnonzero(y < WORDS)
-        own = own[np.argsort(k[own], kind="stable")]
-        cuts = np.searchsorted(k[own], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = own[cuts[c] : cuts[c + 1]]
-            a, z = self.first[c], self.first[c + 1]
-            if len(rows) and z - a > 1:
-                l = h[rows] @ self.w["ww"][a:z].T + self.w["bw"][a:z]
-                top = l.max(axis=1)
-                out[rows] += l[np.arange(len(rows)), y[rows] - a] - top - np.log(np.exp(l - top[:, None]).sum(axis=1))
+        out = np.empty(len(y), np.float32)
+        for at in range(0, len(y), CHUNK):
+            self._log_p(h[at : at + CHUNK], y[at : at + CHUNK], out[at : at + CHUNK])
         return out
 
+    def _log_p(self, h: np.ndarray, y: np.ndarray, out: np.ndarray) -> None:
+        # tokens lie along the last axis throughout, sorted by class: sums over words then run over whole rows
+        k = self._kinds(y)
+        order = np.argsort(k, kind="stable")
+        k, y, ht = k[order], y[order], np.ascontiguousarray(h[order].T)
+        logits = self.w["wc"].T @ ht
+        logits += self.w["bc"][:, None]
+        got = logits[k, np.arange(len(y))]
+        top = logits.max(axis=0)
+        logits -= top
+        got -= top + np.log(np.exp(logits, out=logits).sum(axis=0))
+        cuts = np.searchsorted(k, np.arange(CLASSES + 1))
+        for c in range(CLASSES):
+            lo, hi, a, z = cuts[c], cuts[c + 1], self.first[c], self.first[c + 1]
+            if hi > lo and z - a > 1:
+                l = self.w["ww"][a:z] @ ht[:, lo:hi]
+                l += self.w["bw"][a:z, None]
+                own = l[y[lo:hi] - a, np.arange(hi - lo)]
+                top = l.max(axis=0)
+                l -= top
+                got[lo:hi] += own - top - np.log(np.exp(l, out=l).sum(axis=0))
+        out[order] = got
+
     def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, h0: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the mean negative log probability over one window, truncated at its start, and the last state."""
         keep: list = []
         hs, h = self.run(x, h0, keep)
         flat = np.flatnonzero(real.ravel())
-        hf, yf = hs.reshape(-1, STATE)[flat], y.ravel()[flat]
-        n = max(len(flat), 1)
-        k = np.where(yf < WORDS, self.cls[np.minimum(yf, len(self.cls) - 1)] if len(self.cls) else 0, yf - WORDS + CLASSES)
-        logits = hf @ self.w["wc"] + self.w["bc"]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(yf)), k] -= 1
-        p /= n
-        g = {"wc": hf.T @ p, "bc": p.sum(0), "ww": np.zeros_like(self.w["ww"]), "bw": np.zeros_like(self.w["bw"])}
-        dh = p @ self.w["wc"].T
-        own = np.flatnonzero(yf < WORDS)
-        own = own[np.argsort(k[own], kind="stable")]
-        cuts = np.searchsorted(k[own], np.arange(CLASSES + 1))
+        yf = y.ravel()[flat]
+        n = np.float32(max(len(flat), 1))
+        k = self._kinds(yf)
+        order = np.argsort(k, kind="stable")
+        flat, k, yf = flat[order], k[order], yf[order]
+        hf = hs.reshape(-1, STATE)[flat]
+        ht = np.ascontiguousarray(hf.T)
+        p = self.w["wc"].T @ ht
+        p += self.w["bc"][:, None]
+        p -= p.max(axis=0)
+        np.exp(p, out=p)
+        p /= p.sum(axis=0) * n
+        p[k, np.arange(len(yf))] -= 1 / n
+        g = {"wc": (p @ hf).T, "bc": p.sum(axis=1), "ww": np.zeros_like(self.w["ww"]), "bw": np.zeros_like(self.w["bw"])}
+        dh = self.w["wc"] @ p
+        cuts = np.searchsorted(k, np.arange(CLASSES + 1))
         for c in range(CLASSES):
-            rows = own[cuts[c] : cuts[c + 1]]
-            a, z = self.first[c], self.first[c + 1]
-            if len(rows) and z - a > 1:
-                l = hf[rows] @ self.w["ww"][a:z].T + self.w["bw"][a:z]
-                q = np.exp(l - l.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                q[np.arange(len(rows)), yf[rows] - a] -= 1
-                q /= n
-                g["ww"][a:z], g["bw"][a:z] = q.T @ hf[rows], q.sum(0)
-                dh[rows] += q @ self.w["ww"][a:z]
+            lo, hi, a, z = cuts[c], cuts[c + 1], self.first[c], self.first[c + 1]
+            if hi > lo and z - a > 1:
+                ww = self.w["ww"][a:z]
+                q = ww @ ht[:, lo:hi]
+                q += self.w["bw"][a:z, None]
+                q -= q.max(axis=0)
+                np.exp(q, out=q)
+                q /= q.sum(axis=0) * n
+                q[yf[lo:hi] - a, np.arange(hi - lo)] -= 1 / n
+                g["ww"][a:z], g["bw"][a:z] = q @ hf[lo:hi], q.sum(axis=1)
+                dh[:, lo:hi] += ww.T @ q
         full = np.zeros((hs.shape[0] * hs.shape[1], STATE), np.float32)
-        full[flat] = dh
+        full[flat] = dh.T
         full = full.reshape(hs.shape)
         back = np.zeros_like(h0)
         da = np.empty((*x.shape, 2 * STATE), np.float32)
-        g["u"] = np.zeros_like(self.w["u"])
+        hps, zs, cs = (np.stack(part) for part in zip(*keep, strict=True))
+        by_z, by_c, left = (cs - hps) * zs * (1 - zs), zs * (1 - cs * cs), 1 - zs
+        fresh, ut = x == START, np.ascontiguousarray(self.w["u"].T)
         for s in range(len(x) - 1, -1, -1):
-            hp, z, c = keep[s]
-            back = back + full[s]
-            da[s, :, :STATE] = back * (c - hp) * z * (1 - z)
-            da[s, :, STATE:] = back * z * (1 - c * c)
-            g["u"] += hp.T @ da[s]
-            back = back * (1 - z) + da[s] @ self.w["u"].T
-            back[x[s] == START] = 0
+            back += full[s]
+            np.multiply(back, by_z[s], out=da[s, :, :STATE])
+            np.multiply(back, by_c[s], out=da[s, :, STATE:])
+            back *= left[s]
+            back += da[s] @ ut
+            if fresh[s].any():
+                back[fresh[s]] = 0
+        da = da.reshape(-1, 2 * STATE)
+        g["u"] = hps.reshape(-1, STATE).T @ da
+        # sums by input: only rows of inputs that the window holds are written
+        xs = x.ravel()
+        order = np.argsort(xs, kind="stable")
+        ids, first = np.unique(xs[order], return_index=True)
         g["e"] = np.zeros_like(self.w["e"])
-        np.add.at(g["e"], x.ravel(), da.reshape(-1, 2 * STATE))
+        g["e"][ids] = np.add.reduceat(da[order], first, axis=0)
         return g, h
 
 
@@ -339,7 +367,7 @@ def learn(docs: DataFrame) -> tuple[DataFrame, Vocabulary, dict[str, np.ndarray]
     v = vocabulary(counts)
     weights = Network(v).w
     for r in range(ROUNDS):
-        weights = _train(docs.where(F.pmod(F.xxhash64(F.lit(5), "doc_id", F.col("text").cast("string")), F.lit(SHARE * ROUNDS)) == r), v, weights)
+        weights = _train(docs.where(F.pmod(F.xxhash64(F.lit(5), "doc_id", F.col("text").cast("string")), F.lit(ROUNDS)) == r), v, weights)
     return counts, v, weights
 
 

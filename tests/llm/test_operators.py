@@ -227,6 +227,40 @@ def test_lm_score(docs, empty):
     assert lm_score.score_documents(empty).count() == 0
 
 
+def test_lm_trains_on_every_document(spark, monkeypatch):
+    """The rounds are disjoint and together hold each training document once."""
+    table = spark.createDataFrame([(i, f"text {i} of many", "s", "a", "en") for i in range(400)] + [(None, "no id", "s", "a", "en"), (400, None, "s", "a", "en")], SCHEMA)
+    seen = []
+    monkeypatch.setattr(lm_score, "_train", lambda part, v, weights: seen.append([r["doc_id"] for r in part.collect()]) or weights)
+    lm_score.learn(table)
+    assert len(seen) == lm_score.ROUNDS and all(seen)
+    assert sorted(map(str, sum(seen, []))) == sorted(map(str, [*range(401), None]))
+
+
+def test_lm_gradients():
+    """Gradients against differences of the mean log probability, texts' starts and padding included."""
+    rng = np.random.default_rng(4)
+    kind = rng.integers(0, lm_score.KINDS, 300)
+    c = np.arange(300, 0, -1) * 10
+    v = lm_score.Vocabulary(np.arange(300), c, kind, np.bincount(kind, c + 1.0, lm_score.KINDS), int(c.sum()), 300)
+    net = lm_score.Network(v)
+    net.w = {k: w.astype(np.float64) + rng.normal(0, 0.1, w.shape) for k, w in net.w.items()}
+    x, y = rng.integers(0, 300, (5, 6)), rng.integers(0, 300, (5, 6))
+    y[0, 0], x[0, :3], x[3, 1] = lm_score.WORDS + 5, lm_score.START, lm_score.START
+    real, h0 = np.ones(x.shape, bool), np.zeros((6, lm_score.STATE))
+    real[4, 5] = False
+    mean = lambda: -net.log_p(net.run(x, h0)[0].reshape(-1, lm_score.STATE)[real.ravel()], y[real]).astype(float).mean()
+    g, _ = net.gradients(x, y, real, h0)
+    for name in lm_score.Network.NAMES:
+        way = np.where(g[name] == 0, 0, np.sign(g[name]))
+        net.w[name] += 1e-3 * way
+        up = mean()
+        net.w[name] -= 2e-3 * way
+        down = mean()
+        net.w[name] += 1e-3 * way
+        assert math.isclose((up - down) / 2e-3, np.abs(g[name]).sum(), rel_tol=0.02)
+
+
 def test_exact_dedup_sql(spark):
     """The query and its SQL twin give the same rows on driver tables."""
     import os
