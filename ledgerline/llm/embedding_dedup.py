@@ -4,8 +4,9 @@ Equal vectors are collapsed first.  A neighbour graph starts from blocks of vect
 hyperplanes, and is refined by joining neighbours of neighbours until few lists change.  Pairs at the threshold are
 checked in double precision and give components.  A vector whose whole list is at the threshold is saturated: its list is
 enlarged to its component, whose vectors are compared block by block, so that only counts leave a task and no pair is
-listed.  Recall is audited against brute force for a bounded number of vectors; if it falls short, the graph is built
-again with more tables and longer lists.
+listed.  The number of start tables grows with that of the hyperplanes.  Recall is audited against brute force for a
+bounded number of vectors, each weighing the same, those of small groups also by themselves; while it falls short, the
+graph is built again with more tables and longer lists, and after ``ATTEMPTS`` the search fails with an error.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different
 lengths link with nothing of another length; equal vectors (also of repeated rows) link with each other; a component's id
@@ -28,12 +29,17 @@ from ledgerline.llm.common import components, cut, lean
 LEAST = 0.9
 SLACK = 1e-5  #: single precision's error, allowed for until pairs are checked in double precision
 NEIGHBOURS = 8
-TABLES = 4
+TABLES = 4  #: start tables at least
+MEET = 0.95  #: chance that a pair at the threshold shares a start block
 BLOCK = 192  #: vectors that are compared at once in a start block
 DENSE = 512  #: vectors of a component in one block of its counts
 ROUNDS = 3
-AUDITED = 128  #: vectors that the audit compares with all
+AUDITED = 128  #: vectors of small groups that the audit looks for
+AUDITS = (1024, 8192)  #: vectors that it compares with all, the second if the first show too few of small groups
+SMALL = NEIGHBOURS  #: links of a vector of a small group at most
 RECALL = 0.95
+ATTEMPTS = 5
+MOST_NEIGHBOURS = 32
 
 
 def unit_vectors(table: DataFrame) -> DataFrame:
@@ -78,8 +84,18 @@ def _pairs_of(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np
     return ids[u], ids[v], sims[u, v]
 
 
+def _bits(n: int) -> int:
+    return max(1, int(np.ceil(np.log2(max(2, n / BLOCK)))))
+
+
+def start_tables(n: int) -> int:
+    """Tables after which a pair at the threshold has shared a block with probability ``MEET``."""
+    same = (1 - np.arccos(LEAST) / np.pi) ** _bits(n)
+    return max(TABLES, int(np.ceil(np.log(1 - MEET) / np.log(1 - same))))
+
+
 def _start(nodes: DataFrame, n: int, tables: int, k: int) -> DataFrame:
-    bits = max(1, int(np.ceil(np.log2(max(2, n / BLOCK)))))
+    bits = _bits(n)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -214,32 +230,57 @@ def _links(nodes: DataFrame, n: int, tables: int, k: int, rounds: int) -> DataFr
     return cut(label.join(counted.union(sparse), "node"))
 
 
-def audit_recall(nodes: DataFrame, n: int, found: DataFrame, most: int = AUDITED) -> float:
-    """Share of the links of at most about ``most`` vectors, picked by hash, that were found; brute force against all."""
-    some = nodes.where(F.pmod(F.xxhash64(F.lit(99), "node"), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, most / max(n, 1)))))
-    rows = some.limit(4 * most).collect()
+def _audit(nodes: DataFrame, some: DataFrame, found: DataFrame) -> tuple[int, float, int, float]:
+    """Vectors of ``some`` that have links, the sum of their recalls, and both for those of small groups."""
+    rows = some.select("node", "unit").collect()  # at most about the last of AUDITS
     if not rows:
-        return 1.0
+        return 0, 0.0, 0, 0.0
     shared = nodes.sparkSession.sparkContext.broadcast([(r["node"], bytes(r["unit"])) for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list] = {}
         for i, u in shared.value:
             by.setdefault(len(u), []).append((i, np.frombuffer(u)))
-        asked = {size: ([i for i, _ in xs], np.stack([x for _, x in xs])) for size, xs in by.items()}
-        count = {i: 0 for i, _ in shared.value}
+        asked = {size: (np.array([i for i, _ in xs]), np.stack([x for _, x in xs])) for size, xs in by.items()}
+        count = {size: np.zeros(len(ids), np.int64) for size, (ids, _) in asked.items()}
         for b in batches:
-            for node, raw, c in zip(b.column("node").to_pylist(), b.column("unit").to_pylist(), b.column("copies").to_pylist(), strict=True):
-                if len(raw) in asked:
-                    ids, x = asked[len(raw)]
-                    for j in np.flatnonzero(x @ np.frombuffer(raw) >= LEAST):
-                        if ids[j] != node:
-                            count[ids[j]] += c
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64())], ["node", "links"])
-
-    true = nodes.select("node", "unit", "copies").mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    got = true.join(found.select("node", F.col("links").alias("got")), "node", "left").agg(F.sum("links").alias("t"), F.sum(F.least("links", F.coalesce("got", F.lit(0)))).alias("g")).first()
-    return got["g"] / got["t"] if got["t"] else 1.0
+            node, copies, raw = b.column("node").to_numpy(), b.column("copies").to_numpy(), b.column("unit").to_pylist()
+            at: dict[int, list[int]] = {}
+            for j, r in enumerate(raw):
+                if len(r) in asked:
+                    at.setdefault(len(r), []).append(j)
+            for size, js in at.items():
+                ids, x = asked[size]
+                for lo in range(0, len(js), 256):
+                    part = js[lo : lo + 256]
+                    near = x @ np.stack([np.frombuffer(raw[j]) for j in part]).T >= LEAST
+                    near &= ids[:, None] != node[part]
+                    count[size] += near @ copies[part]
+        for size, (ids, _) in asked.items():
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(count[size])], ["node", "links"])
+
+    true = lean(nodes).select("node", "unit", "copies").mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links")).where("links > 0")
+    recall = F.least("links", F.coalesce("got", F.lit(0))) / F.col("links")
+    small = F.col("links") <= SMALL
+    got = true.join(found.select("node", F.col("links").alias("got")), "node", "left").agg(F.count("*"), F.sum(recall), F.count_if(small), F.sum(F.when(small, recall))).first()
+    return got[0], got[1] or 0.0, got[2], got[3] or 0.0
+
+
+def audit_recall(nodes: DataFrame, n: int, found: DataFrame) -> float:
+    """Mean recall of the vectors that have links, or of those of small groups if that is less.
+
+    Vectors are picked by hash and compared with all.  Each weighs the same, however many links it has; a second, larger
+    part is looked at where the first holds fewer than ``AUDITED`` vectors of small groups.
+    """
+    place = F.pmod(F.xxhash64(F.lit(99), "node"), F.lit(1 << 30))
+    total, done = np.zeros(4), 0
+    for most in AUDITS:
+        upto = int((1 << 30) * min(1.0, most / max(n, 1)))
+        if upto > done and total[2] < AUDITED:
+            total += _audit(nodes, nodes.where((place >= done) & (place < upto)), found)
+            done = upto
+    linked, recall, small, small_recall = total
+    return float(min(recall / linked if linked else 1.0, small_recall / small if small else 1.0))
 
 
 def near_duplicates(table: DataFrame, tables: int = TABLES, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
@@ -247,11 +288,15 @@ def near_duplicates(table: DataFrame, tables: int = TABLES, k: int = NEIGHBOURS,
     rows = cut(unit_vectors(table))
     nodes = cut(rows.where("node is not null").groupBy("node").agg(F.first("unit").alias("unit"), F.count("*").alias("copies"), F.min("vec_id").alias("least")))
     n = nodes.count()
-    for _ in range(3):
+    tables = max(tables, start_tables(n))
+    for _ in range(ATTEMPTS):
         found = _links(nodes, n, tables, k, rounds)
-        if n < 2 or audit_recall(nodes, n, found) >= RECALL:
+        recall = audit_recall(nodes, n, found) if n > 1 else 1.0
+        if recall >= RECALL:
             break
-        tables, k, rounds = 2 * tables, 2 * k, rounds + 2
+        tables, k, rounds = 2 * tables, max(k, min(2 * k, MOST_NEIGHBOURS)), rounds + 2
+    else:
+        raise RuntimeError(f"near-duplicate search found {recall:.3f} of the audited links after {ATTEMPTS} attempts; {RECALL} are asked for")
     named = nodes.select("node", "copies", "least").join(found, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "least", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_node = cut(named.join(least, "label").select("node", "n_links", "component_id"))

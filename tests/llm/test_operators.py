@@ -213,6 +213,24 @@ def test_embeddings(spark):
     assert got[600]["component_id"] == got[0]["component_id"] and got[0]["n_links"] >= 1
 
 
+def test_embedding_audit(spark, monkeypatch):
+    """Lost pairs show beside a large group that was found, and a search that keeps missing them ends in an error."""
+    rng = np.random.default_rng(6)
+    centre, pairs = rng.normal(size=32), rng.normal(size=(60, 32))
+    x = [*(centre + rng.normal(scale=0.1, size=(300, 32))), *pairs, *(pairs + rng.normal(scale=0.05, size=pairs.shape))]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    nodes = embedding_dedup.unit_vectors(table).selectExpr("node", "unit", "1L AS copies", "vec_id AS least").cache()
+    group = nodes.where("least < 300").selectExpr("node", "0L AS label", "299L AS links")
+    assert embedding_dedup.audit_recall(nodes, len(x), group) < 0.1
+    whole = group.union(nodes.where("least >= 300").selectExpr("node", "least AS label", "1L AS links"))
+    assert embedding_dedup.audit_recall(nodes, len(x), whole) == 1
+    monkeypatch.setattr(embedding_dedup, "_links", lambda *_: group)
+    with pytest.raises(RuntimeError, match="audited links"):
+        embedding_dedup.near_duplicates(table)
+    met = [1 - (1 - (1 - math.acos(0.9) / math.pi) ** embedding_dedup._bits(n)) ** embedding_dedup.start_tables(n) for n in (500, 50_000, 3_000_000)]
+    assert min(met) >= 0.95
+
+
 def test_lm_score(docs, empty):
     got = lm_score.score_documents(docs).toPandas()
     train = [t for i, t, _ in texts() if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
