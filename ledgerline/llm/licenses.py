@@ -106,8 +106,10 @@ NOTICES = (
     ("public-domain", "public domain", "public domain", 0.5, 1),
     ("proprietary", "all rights reserved", "all rights reserved", 0.5, 1),
 )
-#: what a text holds, lower-cased, if any rule or base phrase can match it
-GATE = ("licen", "public domain", "public\ndomain", "by-nc", "by nc", "by-sa", "by sa", "cc by", "cc-by", "hereby granted", "redistribution", "permission to use", "rights reserved", "domain")
+#: words or parts of them of which a text, lower-cased, holds one if any rule or base phrase can match it, whatever separates
+#: its words; or "cc" and "by", next to each other
+GATE = ("licen", "reserved", "permission", "redistribution", "domain")
+GATE_CC = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
 
 def rule_rows() -> list[tuple[int, str, str, str, float, int]]:
@@ -140,6 +142,7 @@ def scan(docs: DataFrame) -> DataFrame:
     gate = F.lit(False)
     for g in GATE:
         gate = gate | F.contains(low, F.lit(g))
+    gate = gate | (F.contains(low, F.lit("cc")) & F.rlike(low, F.lit(GATE_CC)))
     exact = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     norm = F.when(gate, F.array_join(F.regexp_extract_all(exact, F.lit(WORD), F.lit(0)), " "))
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(text, F.lit(ANY_WORD)).cast("long").alias("n_words"), F.xxhash64(text).alias("key"), norm.alias("norm")))

@@ -147,6 +147,21 @@ def test_licenses(docs, empty):
     assert len(licenses.rule_rows()) > 200
 
 
+def test_licenses_separators(spark):
+    """What stands between the words of a notice does not matter."""
+    notices = {
+        "All rights{}reserved": "proprietary", "CC{}BY{}4.0": "cc-by-4.0", "cc{}by{}nc{}4{}0": "cc-by-nc-4.0", "cc{}by{}sa{}4{}0": "cc-by-sa-4.0", "the public{}domain": "public-domain",
+        "Permission is hereby{}granted, free of{}charge, to any person obtaining a{}copy": "mit", "Permission to{}use, copy, modify, and/or distribute this software for any{}purpose": "isc",
+        "Redistribution{}and use in source and binary forms, with or without{}modification, are permitted": "bsd", "the MIT{}License": "mit",
+    }
+    cases = [(text.replace("{}", gap), label) for text, label in notices.items() for gap in (" ", "\n", "\r\n * ", "\t", "  ", "_", "--")]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [t for i, (t, label) in enumerate(cases) if label not in got[i]["labels"].split(",") or got[i]["score"] == 0] == []
+    # every rule that does not hold "licen" has its word in the gate
+    rest = [p for _, _, p, _, _, _ in licenses.rule_rows() if not any(g in p for g in licenses.GATE)]
+    assert all("cc by" in p for p in rest)
+
+
 def test_html():
     page = "<html><head><title>t</title><style>p{}</style></head><body><nav><a>Home</a></nav><div class='cookie-notice'>We use cookies on this site, please accept them all.</div><article><h1>Head &amp; tail</h1><p>A first   paragraph of some length,\nover two lines.<p>Second <b>bold</b> one.</article><div id=comments>A reader's comment that is quite long, longer than forty characters.</div><footer>&copy; x</footer><script>var a='<p>'</script></body></html>"
     assert html_text.extract(page) == "Head & tail\nA first paragraph of some length, over two lines.\nSecond bold one."
