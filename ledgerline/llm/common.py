@@ -69,6 +69,18 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def hot_join(rows: DataFrame, table: DataFrame, key: str, parts: int = 1000) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per ``key``, where one key may hold a third of ``rows``.
+
+    Keys with more than 1/``parts`` of the rows, fewer than ``parts`` of them, meet their row by broadcast; only the rest
+    shuffles.  A null key meets nothing.
+    """
+    count = rows.groupBy(key).agg(F.count("*").alias("c")).where(F.col(key).isNotNull())
+    hot = count.where(F.col("c") * parts > rows.count()).select(key)
+    hot = F.broadcast(cut(table.join(F.broadcast(hot), key)))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table, key))
+
+
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, CHUNK_BYTES + 1)

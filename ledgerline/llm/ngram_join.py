@@ -8,9 +8,11 @@ with Jaccard similarity of at least the threshold share a shingle among the firs
    linked with nothing and takes no further part.
 2. Documents with the same prefix and size form one group.  Groups that share a prefix shingle and pass the size and
    position filters become pairs of groups; pairs expand to their members, whose whole sets are compared.
-3. Only connectedness is asked for, so a prefix shingle's documents are first compared with one pivot each, then again
-   with pivots of the components so found; what is left are pairs across components, which are all compared.  A group
-   of thousands of near copies costs a few comparisons per member and no candidate is left out.
+3. Only connectedness is asked for, so a prefix shingle's documents are first compared with one pivot.  What is left are
+   pairs across the components so found, which are all compared: pairs of a shingle with few documents leave their task
+   and meet their sets once, however many shingles name them; documents of a frequent shingle meet in blocks inside
+   tasks, where filters pick the pairs and a matrix product verifies them, and only links that connect anything new
+   leave.  So rows grow with the documents of a shingle, not with their pairs, and no candidate is left out.
 
 Cases: words are runs outside ``\\x20 \\x09-\\x0D`` after lower-casing A-Z; with fewer words than ``n`` the whole
 sequence is the one shingle; null, empty and blank texts have no set and are linked with nothing; equal sets are linked
@@ -29,12 +31,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import components, cut, KeyFilter, lean, mix64, tokens, U, without
+from ledgerline.llm.common import components, cut, hot_join, KeyFilter, lean, mix64, tokens, U, without
 
 NGRAM = 5
 PERCENT = 75  #: Jaccard similarity, in hundredths
 BUCKET_SHINGLES = 1 << 18  #: shingles that a bucket holds on average
 PIVOT_CHUNK = 128  #: documents compared with one pivot in one group of a task
+SMALL_LIST = 64  #: classes of a shingle up to which pairs leave a task; those of others are compared in blocks
+BUNDLE = 4096  #: entries of such shingles that one group of a task looks at
+BLOCK_CLASSES = 1024  #: classes, and shingles of them, that a block holds
+BLOCK_SHINGLES = 1 << 20
+COLUMNS = 4096  #: shingles that are multiplied at once
 
 
 def shingle_sets(column: pa.Array, n: int = NGRAM) -> Iterator[np.ndarray]:
@@ -152,7 +159,8 @@ def _prefixes(percent: int):
                 alone = size[i] - shared
                 take = prefix_length(size[i], percent) - alone
                 if size[i] and shared and take > 0:
-                    prefix[i] = token[bounds[i] : bounds[i] + take]
+                    mine = token[bounds[i] : bounds[i] + take]
+                    prefix[i] = mine[np.sort(np.unique(mine, return_index=True)[1])]  # colliding hashes count once
                     first[i] = alone
         out = pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n": size, "set_key": key, "prefix": prefix, "first": first})
         out.loc[null, "doc_id"] = pd.NA
@@ -208,68 +216,149 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.unionByName(right).groupBy("a", "chunk").applyInPandas(run, "a long, b long")
 
 
-def _fits(percent: int) -> str:
-    """Size and position filter of two entries (sizes n, m; positions p, q) of one shingle.
+def _fits(n, p, m, q, percent: int):
+    """Size and position filter of two entries (sizes n, m; positions p, q) of one shingle: columns or arrays.
 
     The first shingle that two similar sets share leaves room for all of their overlap in what follows it, so a pair need
     only be met where that holds.
     """
-    return f"100 * least(n, m) >= {percent} * greatest(n, m) and (100 + {percent}) * least(n - p, m - q) >= {percent} * (n + m)"
+    least, most = (np.minimum, np.maximum) if isinstance(n, np.ndarray) else (F.least, F.greatest)
+    return (100 * least(n, m) >= percent * most(n, m)) & ((100 + percent) * least(n - p, m - q) >= percent * (n + m))
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets of hashes: products of 0/1 matrices over hashes that several hold."""
+    k = len(sets)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    owner = np.repeat(np.arange(k), [len(s) for s in sets])[order]
+    flat = flat[order]
+    edge = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
+    column = np.cumsum(edge) - 1
+    many = np.bincount(column)[column] > 1
+    owner, edge = owner[many], edge[many]
+    column = np.cumsum(edge) - 1
+    total = np.zeros((k, k))
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + COLUMNS, COLUMNS))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        if hi > lo:
+            x = np.zeros((k, min(COLUMNS, column[hi - 1] - column[lo] + 1)), np.float32)
+            x[owner[lo:hi], column[lo:hi] - column[lo]] = 1
+            total += x @ x.T
+    return total
+
+
+def _forest(link: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) that connect what ``link`` connects, given that rows of one component are connected already."""
+    _, root = np.unique(comp, return_inverse=True)
+    out = []
+    for i in range(len(link)):
+        for j in np.flatnonzero(link[i]):
+            if root[i] != root[j]:
+                out.append((i, int(j)))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _block_links(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, p, comp = (pdf[c].to_numpy(np.int64) for c in ("n", "p", "comp"))
+        side = pdf["side"].to_numpy()
+        ask = _fits(n[:, None], p[:, None], n[None, :], p[None, :], percent) & (comp[:, None] != comp[None, :])
+        if side.min() != side.max():  # two blocks: each was compared within itself elsewhere
+            ask &= side[:, None] != side[None, :]
+        at = np.flatnonzero(ask.any(axis=1))
+        if not len(at):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        ids, n, comp, ask = pdf["class"].to_numpy(np.int64)[at], n[at], comp[at], ask[np.ix_(at, at)]
+        both = intersections([np.frombuffer(x, U) for x in pdf["hashes"].iloc[at]])
+        found = _forest(ask & (100 * both >= percent * (n[:, None] + n[None, :] - both)), comp)
+        return pd.DataFrame({"a": np.array([ids[i] for i, _ in found], np.int64), "b": np.array([ids[j] for _, j in found], np.int64)})
+
+    return run
+
+
+def _blocks(large: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``large`` (token, class, n, ...) for each pair of blocks of their token: (token, x, y, side, ...).
+
+    A token's classes form one block, or blocks of about BLOCK_CLASSES classes and BLOCK_SHINGLES shingles, by size class:
+    sizes of similar sets lie in the same size class or in neighbouring ones, so only such blocks meet.
+    """
+    step = float(np.log(100.5 / percent))
+    whole = large.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("k"))
+    cls = F.when(F.col("k") == 1, F.lit(0)).otherwise(F.floor(F.log(F.col("n").cast("double")) / step)).cast("int")
+    rows = cut(large.join(whole, "token").withColumn("s", cls).drop("k"))
+    size = rows.groupBy("token", "s").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
+    near = size
+    for d, name in ((-1, "before"), (1, "after")):
+        near = near.join(size.select("token", (F.col("s") - d).alias("s"), F.col("k").alias(name)), ["token", "s"], "left")
+    rows = rows.join(near, ["token", "s"]).withColumn("mine", F.struct("s", F.pmod(F.xxhash64("class"), F.col("k").cast("long")).cast("int").alias("i")))
+    of = lambda d, k: F.when(k > 0, F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct((F.col("s") + d).alias("s"), i.alias("i")))).otherwise(F.array().cast("array<struct<s:int,i:int>>"))
+    rows = rows.withColumn("other", F.explode(F.concat(of(0, F.col("k")), of(-1, F.coalesce("before", F.lit(0))), of(1, F.coalesce("after", F.lit(0))))))
+    return rows.select("token", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).alias("side"), "class", "comp", "n", "p")
+
+
+def _small_pairs(small: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that the filters leave, of tokens with at most SMALL_LIST classes."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("token", kind="stable")
+        token, n, p, comp, ids = (pdf[c].to_numpy(np.int64) for c in ("token", "n", "p", "comp", "class"))
+        a, b = [], []
+        for d in range(1, SMALL_LIST):
+            i = np.flatnonzero((token[d:] == token[:-d]) & (comp[d:] != comp[:-d]))
+            i = i[_fits(n[i], p[i], n[i + d], p[i + d], percent)]
+            a.append(ids[i])
+            b.append(ids[i + d])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    bundles = max(1, small.count() // BUNDLE)
+    return small.groupBy(F.pmod(F.xxhash64("token"), F.lit(bundles))).applyInPandas(run, "a long, b long").distinct()
 
 
 def link_classes(docs: DataFrame, table: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """(node, label) of the classes (equal sets) that are linked with another class."""
     live = table.where("prefix is not null")
     classes = cut(live.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("first").alias("first"), F.first("prefix").alias("prefix")).withColumn("grp", F.xxhash64("n", "prefix")))
-    member = classes.select("grp", F.col("set_key").alias("class"), "n")
+    member = classes.select("grp", F.col("set_key").alias("class"))
     group = classes.groupBy("grp").agg(F.min("set_key").alias("pivot"), F.min("n").alias("n"), F.min("first").alias("first"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
     # one entry per group and prefix shingle; p: its position in the set's order
-    entry = cut(group.select("grp", "pivot", "n", F.posexplode("prefix").alias("i", "token"), "first").select("grp", "pivot", "n", "token", (F.col("first") + F.col("i")).cast("long").alias("p")))
+    entry = cut(group.select("grp", "pivot", "n", "members", F.posexplode("prefix").alias("i", "token"), "first").select("grp", "pivot", "n", "members", "token", (F.col("first") + F.col("i")).cast("long").alias("p")))
+    # of shingles that the same groups hold, the first in order stands for all: two sets that share one share it first
+    shared = entry.groupBy("token").agg(F.sum("members").alias("m"), F.bit_xor(F.xxhash64("grp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "grp")).alias("y"), F.min(F.struct("grp", "p")).alias("at")).where("m > 1")
+    lists = shared.groupBy("x", "y", "m").agg(F.min(F.struct(F.col("at.p"), F.col("token"))).alias("t")).select("t.token")
+    entry = cut(entry.join(cut(lists), "token").drop("members"))
     sets = cut(_sets(docs, classes.select("doc_id", F.col("set_key").alias("class")), n))
-    none = classes.sparkSession.createDataFrame([], "a long, b long")
-    links, tried, label = none, none, None
-    for turn in range(2):
-        here = entry if label is None else entry.join(label, F.col("pivot") == F.col("node"), "left")
-        here = cut(here.select("grp", "pivot", "n", "token", "p", F.col("pivot").alias("comp") if label is None else F.coalesce("label", "pivot").alias("comp")))
-        top = here.groupBy("token").agg(F.min(F.struct("comp", "pivot", "n", "p")).alias("t"), F.max("comp").alias("most")).where("t.comp <> most")
-        top = top.select("token", F.col("t.comp").alias("tc"), F.col("t.pivot").alias("a"), F.col("t.n").alias("m"), F.col("t.p").alias("q"))
-        pairs = here.join(top, "token").where("comp <> tc").where(_fits(percent)).select("a", F.col("pivot").alias("b")).distinct()
-        if not turn:  # members of a group share its prefix: compare each with the group's pivot
-            pairs = pairs.union(member.join(group.where("members > 1").select("grp", "pivot"), "grp").where("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")))
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs)
-        tried = tried.union(pairs)
-        links = cut(links.union(_verify(pairs, sets, percent)))
-        label = cut(components(links))
-    # what is left: pairs across components, all of them, members of groups included
+    # a pivot for each shingle, and for each group: its own
+    top = entry.groupBy("token").agg(F.min(F.struct("pivot", "n", "p")).alias("t")).select("token", F.col("t.pivot").alias("a"), F.col("t.n").alias("m"), F.col("t.p").alias("q"))
+    pairs = entry.join(top, "token").where(F.col("pivot") != F.col("a")).where(_fits(F.col("n"), F.col("p"), F.col("m"), F.col("q"), percent)).select("a", F.col("pivot").alias("b")).distinct()
+    tried = cut(pairs.union(member.join(group.where("members > 1").select("grp", "pivot"), "grp").where("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b"))))
+    links = cut(_verify(tried, sets, percent))
+    label = cut(components(links))
+    # what is left: members of different components that share a shingle
     named = member.join(label, F.col("class") == F.col("node"), "left").select("grp", "class", F.coalesce("label", "class").alias("comp"))
-    spread = cut(entry.select("grp", "n", "token", "p").join(named.select("grp", "comp").distinct(), "grp"))
-    mixed = spread.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    spread = spread.join(mixed, "token", "left_semi")
-    cell = cut(spread.groupBy("token", "comp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n")))
-    other = cell.select("token", F.col("comp").alias("comp2"), F.col("least_n").alias("least_m"), F.col("most_n").alias("most_m"))
-    cells = cell.join(other, "token").where(f"comp < comp2 and 100 * most_n >= {percent} * least_m and 100 * most_m >= {percent} * least_n").select("token", "comp", "comp2")
-    near = spread.select("token", "comp", "grp", "n", "p")
-    far = spread.select("token", F.col("comp").alias("comp2"), F.col("grp").alias("grp2"), F.col("n").alias("m"), F.col("p").alias("q"))
-    groups = cells.join(near, ["token", "comp"]).join(far, ["token", "comp2"]).where(_fits(percent)).select("grp", "grp2", "comp", "comp2").distinct()
-    left = named.select("grp", "comp", F.col("class").alias("a"))
-    right = named.select(F.col("grp").alias("grp2"), F.col("comp").alias("comp2"), F.col("class").alias("b"))
-    rest = groups.join(left, ["grp", "comp"]).join(right, ["grp2", "comp2"]).select("a", "b").distinct()
-    # within a group, members that the pivot did not reach
-    own = named.join(named.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp"), "grp", "left_semi")
-    own = own.select("grp", F.col("class").alias("a"), "comp").join(own.select("grp", F.col("class").alias("b"), F.col("comp").alias("comp2")), "grp").where("comp < comp2").select("a", "b")
-    rest = cut(rest.union(own).distinct().join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
-    return components(links.union(_verify(rest, sets, percent)))
+    spread = cut(entry.select("grp", "n", "token", "p").join(named, "grp"))
+    mixed = spread.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("c")).where("least <> most").select("token", "c")
+    spread = cut(spread.join(mixed, "token"))
+    rest = _small_pairs(spread.where(F.col("c") <= SMALL_LIST).drop("c"), percent)
+    rest = cut(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    met = _blocks(spread.where(F.col("c") > SMALL_LIST).drop("c"), percent).join(sets, "class")
+    far = met.groupBy("token", "x", "y").applyInPandas(_block_links(percent), "a long, b long")
+    return components(links.union(_verify(rest, sets, percent)).union(cut(far)))
 
 
 def near_copies(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, set_key, component_id) for each row of ``docs``."""
     table = cut(prefixes(docs, n, percent))
-    label = cut(link_classes(docs, table, n, percent))
-    named = table.join(label, F.col("set_key") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), "set_key", F.coalesce("label", "set_key").alias("comp"), (F.col("prefix").isNotNull()).alias("live"))
-    named = cut(named)
-    least = named.where("live").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    live = named.where("live").join(least, "comp").select("doc_id", "n_shingles", "set_key", F.col("least").alias("component_id"))
-    return live.union(named.where("not live").select("doc_id", "n_shingles", "set_key", F.col("doc_id").alias("component_id")))
+    label = link_classes(docs, table, n, percent)
+    live = table.where("prefix is not null").select("doc_id", F.col("n").alias("n_shingles"), "set_key")
+    own = live.groupBy("set_key").agg(F.min("doc_id").alias("least"))
+    own = cut(own.join(label, F.col("set_key") == F.col("node"), "left").select("set_key", "least", F.coalesce("label", "set_key").alias("comp")))
+    least = own.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = hot_join(live, hot_join(own.select("set_key", "comp"), least, "comp").select("set_key", "component_id"), "set_key")
+    rest = table.where("prefix is null").select("doc_id", F.col("n").alias("n_shingles"), "set_key", F.col("doc_id").alias("component_id"))
+    return named.select("doc_id", "n_shingles", "set_key", "component_id").union(rest)
 
 
 def drop_near_copies(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
