@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences by a configuration linear program.
 
 Pieces are at most ``LENGTH`` tokens, so the problem is a histogram over at most ``LENGTH`` lengths, however large the
-corpus.  Configurations (multisets of lengths that fit in a sequence) are priced by multiplicative weights: a knapsack
-dynamic program finds the configuration of largest weight, which is then used as far as its scarcest length allows, and
-weights of used lengths fall.  The fractional solution is rounded down; what is left is packed best fit, longest first.
-Each task then looks up its pieces' places by number within their length.
+corpus.  Configurations (multisets of lengths that fit in a sequence) are priced by multiplicative weights: each round a
+knapsack dynamic program finds the configuration of largest value, which is used for a part of the sequences, and the
+weights of its lengths fall with the demand covered.  What the rounded program leaves over, a few hundredths of the
+pieces, goes best fit, longest first, into gaps and new sequences.  Each task then looks up its pieces' places by number
+within their length.
 
 Cases: a null text counts as empty: its one piece is the end token; a document of exactly ``LENGTH`` tokens is one
 piece; rows that share a doc_id are packed separately; equal lengths are numbered in the order of their tasks; an empty
@@ -29,8 +30,16 @@ from ledgerline.llm.common import cut, lean, mix64, tokens, U
 
 LENGTH = 2048
 END = 0
-ROUNDS = 100  #: of multiplicative weights
-MOST_UNITS = 300_000  #: parts of words whose ids a worker remembers (about 12 MB); then it starts anew
+ROUNDS = 64  #: a configuration is used for one in so many of the sequences still to fill
+ETA = 1.0  #: how far the price of a length falls while its demand is covered
+FOR_LONG = 0.5  #: exponent that makes long pieces dearer than short ones
+PRICED = 1024  #: lengths of which one round picks its configuration
+BEARABLE = 0.7  #: part of the tokens left whose lengths bear the uses of a round
+LEFT = 0.005  #: part of the tokens that the program leaves over
+HELD = 0.002  #: part of the tokens, in the shortest pieces, that it does not touch
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS  #: units whose ids a worker remembers (20 MB, and 16 MB of ids)
+MOST_IDS = 4_000_000  #: ids that it remembers; then it starts anew
 
 #: bytes: 0 white space, 1 letter, 2 digit, 3 other, 4 of a word that is asked for as a whole
 _CLASS = np.full(256, 3, dtype=np.uint8)
@@ -43,7 +52,11 @@ _ODD[[*range(9), *range(14, 32), 39, 127, 0xC2, *range(0xC6, 256)]] = True
 
 
 class Memory:
-    """The tokenizer of a file and the ids of the units (parts of words) that a worker has met, by 64-bit hash."""
+    """The tokenizer of a file and the ids of units (parts of words) that a worker has met, by 64-bit hash.
+
+    A table of ``SLOTS`` places holds for each unit where its ids lie in ``pool``; a unit whose place another has taken is
+    asked for again.  So memory is bounded and a chunk costs what its own units cost.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -56,35 +69,56 @@ class Memory:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.offsets, self.ids = np.zeros(0, U), np.zeros(1, np.int64), np.zeros(0, "<u4")
+        self.keys, self.offset, self.size = np.zeros(SLOTS, U), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def ask(self, plain: list[str], odd: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, one after the other, and their numbers, of plain units (asked for in one text) and then of odd ones."""
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+
+        def each(units: list[str]) -> None:
+            for e in self.tok.encode_batch(units, add_special_tokens=False) if units else []:
+                ids.append(np.array(e.ids, dtype="<u4"))
+                sizes.append(np.array([len(e.ids)]))
 
-    def ask(self, plain: list[str], odd: list[str]) -> list[np.ndarray]:
-        """Ids of plain units (each one part, asked for in one text) and of odd ones (each asked for by itself)."""
-        out: list[np.ndarray] = []
         for at in range(0, len(plain), 20_000):
             some = plain[at : at + 20_000]
-            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
+            got = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[got]) + 1
             if len(ends) == len(some):
-                out += np.split(ids, ends[:-1])
+                ids.append(got)
+                sizes.append(np.diff(ends, prepend=0))
             else:
-                out += [np.array(e.ids, dtype="<u4") for e in self.tok.encode_batch(some, add_special_tokens=False)]
-        return out + [np.array(e.ids, dtype="<u4") for e in (self.tok.encode_batch(odd, add_special_tokens=False) if odd else [])]
+                each(some)
+        each(odd)
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
-    def learn(self, hashes: np.ndarray, units: list[bytes], odd: np.ndarray) -> None:
-        if len(self.hashes) > MOST_UNITS:
+    def ids_of(self, h: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, one after the other, and their numbers; unit i is ``text[start[i]:end[i]]`` with hash ``h[i]``."""
+        if self.used > MOST_IDS:
             self.forget()
-        order = np.argsort(odd, kind="stable")
-        text = [units[i].decode("utf-8", "replace") for i in order]
-        n = int((~odd).sum())
-        found = self.ask(text[:n], text[n:])
-        sizes = np.concatenate([np.diff(self.offsets), [len(x) for x in found]]).astype(np.int64)
-        all_ids = np.concatenate([self.ids, *found]) if found else self.ids
-        all_hashes = np.concatenate([self.hashes, hashes[order]])
-        at = np.argsort(all_hashes)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.hashes, self.offsets = all_hashes[at], np.concatenate([[0], np.cumsum(sizes[at])])
-        self.ids = all_ids[spread(starts[at], sizes[at])]
+        slot = (h >> U(64 - SLOT_BITS)).astype(np.int64)
+        at, size = self.offset[slot], self.size[slot].astype(np.int64)
+        miss = np.flatnonzero((self.keys[slot] != h) | (size == 0))
+        if len(miss):
+            _, first, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
+            new = miss[first]
+            order = np.argsort(odd[new], kind="stable")
+            words = [text[a:z].tobytes().decode("utf-8", "replace") for a, z in zip(start[new[order]].tolist(), end[new[order]].tolist(), strict=True)]
+            n = int((~odd[new]).sum())
+            ids, sizes = self.ask(words[:n], words[n:])
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), "<u4")])
+            self.pool[self.used : self.used + len(ids)] = ids
+            begin = self.used + np.cumsum(sizes) - sizes
+            self.used += len(ids)
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            begin, sizes = begin[back], sizes[back]
+            self.keys[slot[new]], self.offset[slot[new]], self.size[slot[new]] = h[new], begin, sizes
+            at[miss], size[miss] = begin[inverse], sizes[inverse]
+        return self.pool[spread(at, size)], size
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -114,8 +148,8 @@ def token_ids(column: pa.Array, path: str) -> Iterator[np.ndarray]:
         cls = _CLASS[buf]
         bad = _ODD[buf]
         if len(buf) > 1:
-            pair = (buf[:-1].astype(np.uint16) << 8) | buf[1:]
-            bad[:-1] |= np.isin(pair, np.array([0xC397, 0xC3B7, 0xC4B0, 0x3C7C], np.uint16))
+            for x, y in ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0), (0x3C, 0x7C)):
+                bad[:-1] |= (buf[:-1] == x) & (buf[1:] == y)
         if bad.any():
             total = np.concatenate([[0], np.cumsum(bad)])
             for i in np.flatnonzero(total[t.ends] > total[t.starts]):
@@ -134,18 +168,7 @@ def token_ids(column: pa.Array, path: str) -> Iterator[np.ndarray]:
             h = mix64((t.total[end] - t.total[start]) * down[start] + (end - start).astype(U) * U(0x2545F4914F6CDD1D))
         for i in np.flatnonzero(cls[start] == 4):  # case counts: a special token's text is lower case
             h[i] = xxhash.xxh3_64_intdigest(t.raw[start[i] : end[i]].tobytes())
-        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(m.hashes, distinct)
-        new = np.ones(len(distinct), bool) if not len(m.hashes) else m.hashes[np.minimum(at, len(m.hashes) - 1)] != distinct
-        if new.any():
-            if len(m.hashes) > MOST_UNITS:
-                m.forget()
-                new[:] = True
-            f = first[new]
-            m.learn(distinct[new], [t.raw[a:z].tobytes() for a, z in zip(start[f], end[f], strict=True)], cls[start[f]] == 4)
-            at = np.searchsorted(m.hashes, distinct)
-        sizes = np.diff(m.offsets)[at][inverse]
-        flat = m.ids[spread(m.offsets[at][inverse], sizes)]
+        flat, sizes = m.ids_of(h, t.raw, start, end, cls[start] == 4)
         # units of a text are those that start in its tokens
         owner = np.searchsorted(start, np.append(t.starts, len(buf)))[t.bounds]
         cuts = np.concatenate([[0], np.cumsum(sizes)])[owner]
@@ -174,97 +197,88 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 
-def _price(weights: np.ndarray, sizes: np.ndarray, most: np.ndarray, room: int) -> np.ndarray:
-    """Counts of the configuration of (nearly) largest weight: knapsack dynamic program, then counts cut to what there is."""
-    best, pick = np.zeros(room + 1), np.full(room + 1, -1)
-    for c in range(1, room + 1):
-        k = int(np.searchsorted(sizes, c, side="right"))
-        best[c], pick[c] = best[c - 1], -1
-        if k:
-            v = best[c - sizes[:k]] + weights[:k]
-            j = int(v.argmax())
-            if v[j] > best[c] + 1e-15:
-                best[c], pick[c] = v[j], j
-    out, c = np.zeros(len(sizes), dtype=np.int64), room
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            out[pick[c]] += 1
-            c -= sizes[pick[c]]
-    out = np.minimum(out, most)
-    left = room - int(out @ sizes)  # cut counts leave room: fill it with the longest that fit
-    for j in np.argsort(-sizes):
-        n = min(left // sizes[j], most[j] - out[j])
-        if n > 0:
-            out[j] += n
-            left -= int(n * sizes[j])
+def _price(values: np.ndarray, sizes: np.ndarray, most: np.ndarray, room: int) -> np.ndarray:
+    """Counts, of each size at most ``most``, of the filling of largest value: a bounded knapsack by dynamic programming."""
+    best = np.zeros(room + 1)
+    taken = []  # (size's place, how many at once, where they are in the best filling)
+    for k, (size, value, left) in enumerate(zip(sizes.tolist(), values.tolist(), np.minimum(most, room // sizes).tolist(), strict=True)):
+        times = 1
+        while left > 0:
+            times = min(times, left)
+            new, old = best[: room + 1 - times * size] + times * value, best[times * size :]
+            won = new > old
+            np.copyto(old, new, where=won)
+            taken.append((k, times, won))
+            left -= times
+            times *= 2
+    out, at = np.zeros(len(sizes), np.int64), room
+    for k, times, won in reversed(taken):
+        under = at - times * int(sizes[k])
+        if under >= 0 and won[under]:
+            out[k] += times
+            at = under
     return out
 
 
-def solve(histogram: dict[int, int], room: int = LENGTH, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
+def program(histogram: dict[int, int], room: int = LENGTH) -> tuple[list[tuple[int, dict[int, int]]], dict[int, int]]:
+    """(times, {length: count}) of the configurations that the covering program uses, and the pieces left over.
+
+    The program asks for the fewest sequences that cover the demand of every length.  A length's price starts at its share
+    of a sequence, a little more for the long ones, and falls by ``exp(-ETA)`` while its demand is covered: the
+    multiplicative weights.  Each round the knapsack finds the dearest configuration, of at most ``PRICED`` lengths in
+    turn (partial pricing), and uses it for about 1/ROUNDS of the sequences still to fill; configurations are held to
+    what is left for that many uses, so the uses are whole numbers and rounding is part of each step.  The last ``LEFT``
+    of the tokens, for which a step holds hardly any length, are left over, and the shortest pieces, ``HELD`` of the tokens.
+    """
+    sizes = np.array(sorted((s for s, n in histogram.items() if n), reverse=True), dtype=np.int64)
+    demand = np.array([histogram[s] for s in sizes.tolist()], dtype=np.int64)
+    # the shortest pieces are held back: they fill what rounding leaves of sequences
+    shorter = np.cumsum((demand * sizes)[::-1])[::-1] - demand * sizes
+    held = np.clip((HELD * float(demand @ sizes) - shorter) // sizes, 0, demand).astype(np.int64)
+    left, plan, turn = demand - held, [], 0
+    price = (sizes / room) ** (1 + FOR_LONG)
+    least = LEFT * float(demand @ sizes)
+    while len(sizes) and (total := int(left @ sizes)) > least:
+        # uses: no more than the lengths that hold most of what is left can bear
+        order = np.argsort(-left, kind="stable")
+        bearable = left[order][np.searchsorted(np.cumsum((left * sizes)[order]), BEARABLE * total)]
+        uses = max(1, min(total // room // ROUNDS, int(bearable)))
+        on = np.flatnonzero(left >= uses)
+        turns = -(-len(on) // PRICED)
+        on = on[turn % turns :: turns]
+        turn += 1
+        a = _price(price[on] * np.exp(-ETA * (1 - left[on] / demand[on])), sizes[on], left[on] // uses, room)
+        left[on] -= uses * a
+        plan.append((uses, dict(zip(sizes[on][a > 0].tolist(), a[a > 0].tolist(), strict=True))))
+    return plan, {s: n for s, n in zip(sizes.tolist(), (left + held).tolist(), strict=True) if n}
+
+
+def solve(histogram: dict[int, int], room: int = LENGTH) -> list[tuple[int, dict[int, int]]]:
     """(times, {length: count}) of sequences that hold every piece of the histogram exactly once."""
-    sizes = np.array(sorted(s for s, n in histogram.items() if n and s < room), dtype=np.int64)
-    out: list[tuple[int, dict[int, int]]] = [(histogram[room], {room: 1})] if histogram.get(room) else []
-    left = np.array([histogram[s] for s in sizes.tolist()], dtype=np.int64)
-    if not len(sizes):
-        return out
-    # covering program: min sum x, sum a x >= demand; weights of lengths are the dual prices
-    demand = left.astype(float)
-    bulk = left @ sizes / room
-    used: dict[bytes, float] = {}
-    if bulk > 2 * len(sizes) / 8:
-        covered = np.zeros(len(sizes))
-        price = sizes / room
-        turns = min(rounds, int(bulk))
-        for _ in range(turns):
-            a = _price(price * np.exp(-np.minimum(8 * covered / demand * np.log1p(turns) / turns * 8, 60)), sizes, left, room)
-            if not a.any():
-                break
-            share = max(bulk / turns, 0.0)
-            on = a > 0
-            step = min(share, float(((demand - covered)[on] / a[on]).min()))
-            if step < 1e-9:
-                price = np.where(on & (demand - covered <= 1e-9 * demand), 0.0, price)
-                if not (price > 0).any():
-                    break
-                continue
-            covered += step * a
-            price = np.where(demand - covered <= 1e-9 * demand, 0.0, sizes / room)
-            key = a.astype("<i8").tobytes()
-            used[key] = used.get(key, 0.0) + step
-        for key, x in sorted(used.items(), key=lambda kv: -kv[1]):
-            a = np.frombuffer(key, "<i8")
-            on = a > 0
-            n = min(int(x + 1e-6), int((left[on] // a[on]).min()))
-            if n > 0:
-                left = left - n * a
-                out.append((n, dict(zip(sizes[on].tolist(), a[on].tolist(), strict=True))))
-    return out + _best_fit(dict(zip(sizes.tolist(), left.tolist(), strict=True)), room)
-
-
-def _best_fit(histogram: dict[int, int], room: int) -> list[tuple[int, dict[int, int]]]:
-    """Best fit, longest first, on runs of equal sequences: as many at once as have the same filling."""
+    plan, left = program(histogram, room)
+    return _best_fit(left, room, plan)
+
+
+def _best_fit(histogram: dict[int, int], room: int, plan: list[tuple[int, dict[int, int]]] = ()) -> list[tuple[int, dict[int, int]]]:
+    """``plan`` with the pieces added best fit, longest first, to runs of equal sequences: as many at once as have the same filling."""
     open_: dict[int, list[list]] = {}  # free room -> [times, filling]
-    out: list[tuple[int, dict[int, int]]] = []
+    for times, filling in plan:
+        open_.setdefault(room - sum(s * n for s, n in filling.items()), []).append([times, filling])
     for s in sorted((s for s, n in histogram.items() if n), reverse=True):
         n = histogram[s]
         for free in range(s, room):
             while n and open_.get(free):
                 times, filling = open_[free].pop()
                 per = free // s
-                full = min(times, n // per)
+                full, rest = (n // per, n % per) if times > n // per else (times, 0)
+                n -= full * per + rest
+                more = lambda c: {**filling, s: filling.get(s, 0) + c}  # noqa: E731, B023
                 if full:
-                    open_.setdefault(free - per * s, []).append([full, {**filling, s: per}])
-                    n -= full * per
-                if times > full:
-                    if 0 < n < per and times > full:
-                        open_.setdefault(free - n * s, []).append([1, {**filling, s: n}])
-                        full, n = full + 1, 0
-                    if times > full:
-                        open_.setdefault(free, []).append([times - full, filling])
-                        if not n:
-                            break
+                    open_.setdefault(free - per * s, []).append([full, more(per)])
+                if rest:
+                    open_.setdefault(free - rest * s, []).append([1, more(rest)])
+                if times > full + (rest > 0):
+                    open_.setdefault(free, []).append([times - full - (rest > 0), filling])
             if not n:
                 break
         per = room // s
@@ -272,9 +286,7 @@ def _best_fit(histogram: dict[int, int], room: int) -> list[tuple[int, dict[int,
             open_.setdefault(room - per * s, []).append([n // per, {s: per}])
         if n % per:
             open_.setdefault(room - n % per * s, []).append([1, {s: n % per}])
-    for rows in open_.values():
-        out += [(times, filling) for times, filling in rows]
-    return out
+    return [(times, filling) for rows in open_.values() for times, filling in rows]
 
 
 def places(plan: list[tuple[int, dict[int, int]]]) -> np.ndarray:

@@ -124,18 +124,62 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
-def test_packing_program():
+def _histogram(sizes):
+    sizes, n = np.unique(sizes, return_counts=True)
+    return dict(zip(sizes.tolist(), n.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "large", "thirds", "one length", "tiny"])
+def test_packing_program(kind):
+    """Every piece has a place, most of them by the program's configurations, and no more sequences than best fit needs (but 0.1 %)."""
     rng = np.random.default_rng(3)
-    sizes, n = np.unique(np.minimum(rng.lognormal(5.5, 1.2, 60_000).astype(int) + 1, 2048), return_counts=True)
-    histogram = dict(zip(sizes.tolist(), n.tolist(), strict=True))
-    plan = packing.solve(histogram)
+    sizes = {"lognormal": lambda: np.minimum(rng.lognormal(5.5, 1.2, 6_000).astype(int) + 1, 2048), "large": lambda: rng.integers(300, 1400, 5_000), "thirds": lambda: rng.integers(600, 760, 6_000), "one length": lambda: np.full(1_000, 700), "tiny": lambda: rng.integers(1, 9, 5)}[kind]()
+    histogram = _histogram(sizes)
+    plan, left = packing.program(histogram)
+    if kind != "tiny":
+        assert sum(left.values()) <= 0.1 * len(sizes)
+    full = packing.solve(histogram)
     held = {}
-    for times, filling in plan:
-        assert sum(s * c for s, c in filling.items()) <= 2048
+    for times, filling in full:
+        assert times > 0 and sum(s * c for s, c in filling.items()) <= 2048
         for s, c in filling.items():
             held[s] = held.get(s, 0) + c * times
     assert held == histogram
-    assert sum(t for t, _ in plan) <= 1.01 * math.ceil(sum(s * c for s, c in histogram.items()) / 2048)
+    n = sum(t for t, _ in full)
+    assert n <= math.ceil(1.001 * sum(t for t, _ in packing._best_fit(histogram, 2048)))
+    if kind == "thirds":  # three fit only if the program pairs long ones with short ones: best fit needs a tenth more
+        assert n <= 1.02 * sum(s * c for s, c in histogram.items()) / 2048
+    assert packing.solve({}) == []
+
+
+def test_packing_knapsack():
+    """The dynamic program against all fillings."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        sizes, most, value = np.sort(rng.choice(np.arange(1, 15), 4, replace=False))[::-1], rng.integers(0, 4, 4), rng.random(4)
+        got = packing._price(value, sizes, most, 20)
+        assert (got <= most).all() and got @ sizes <= 20
+        best = max(np.array(c) @ value for c in itertools.product(*(range(m + 1) for m in most)) if np.array(c) @ sizes <= 20)
+        assert math.isclose(got @ value, best, abs_tol=1e-9)
+
+
+def test_packing_memory(monkeypatch):
+    """Ids stay those of the tokenizer when units share places of the memory and when it starts anew."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "SLOT_BITS", 4)
+    monkeypatch.setattr(packing, "SLOTS", 16)
+    monkeypatch.setattr(packing, "MOST_IDS", 50)
+    monkeypatch.setattr(packing, "_memory", {})
+    texts = ["alpha beta alpha 12 don't", "", None, "gamma, delta! (alpha) 3.14 \u00e9t\u00e9 \u4f60\u597d", "alpha beta"] * 40
+    got = list(packing.token_ids(pa.array(texts, pa.string()), path)) + list(packing.token_ids(pa.array(texts[::-1], pa.string()), path))
+    for t, ids in zip(texts + texts[::-1], got, strict=True):
+        assert ids.tolist() == tok.encode(t or "", add_special_tokens=False).ids
 
 
 def test_licenses(docs, empty):
