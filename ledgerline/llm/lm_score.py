@@ -6,10 +6,11 @@ probability.  The ``WORDS`` most frequent words form classes of about equal root
 within them; all other words, seen or not, fall in classes by their first and last bytes and share the class's
 probability in proportion to count + 1, so the model is a proper distribution over words and one unknown word per class.
 
-Training is truncated backpropagation in numpy, over windows of ``WINDOW`` tokens with the state carried on; tasks train
-on their own texts and the weights are averaged, ``ROUNDS`` times.  It learns from the whole text of every training
-document: the rounds take disjoint parts of them, by hash, which together are all.  Scoring carries the state across
-windows to the end of each text.  Words beyond the ``HEAD`` most frequent meet their counts in a join.
+Texts are tokenised twice, for counts and for ids, which are written once and read by training and scoring.  Training is
+truncated backpropagation in numpy, over windows of ``WINDOW`` tokens with the state carried on; shards of texts, picked
+by hash, train apart and the weights are averaged, ``ROUNDS`` times.  It learns from the whole text of every training
+document: the rounds take disjoint parts of them, by hash, which together are all.  Scores do not depend on how the table
+is laid out.  Scoring carries the state across windows to the end of each text.  Words beyond the ``HEAD`` most frequent meet their counts in a join.
 
 Cases: a null text counts as empty and is scored as its end token; doc_id null counts as the empty id; repeated rows get
 equal scores; without training documents every count is 0; an empty table gives an empty result; extra columns are
@@ -43,6 +44,7 @@ END = U(0x1D0C5E17AB54A98C)  #: hash of the end token
 RATE = 0.01
 START = WORDS + KINDS  #: input before a text's first token
 STREAM = 64  #: windows that a task's texts fill before they are learnt
+SHARD = 1 << 20  #: training tokens that one shard holds at least
 
 _LETTER = np.full(256, 3, dtype=np.int64)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 0
@@ -269,12 +271,32 @@ class Network:
         return g, h
 
 
-def _encode(column: pa.Array, v: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, known, log10(count + 1), hashes) of the tokens of each text, without its end."""
-    for t in tokens(column):
-        ids, known, log = v.look(t.hash, kinds(t))
-        for a, z in zip(t.bounds[:-1], t.bounds[1:], strict=True):
-            yield ids[a:z], known[a:z], log[a:z], t.hash[a:z]
+def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """One row per row of ``docs``: its number, doc_id, ids of its tokens, sums over those in the head, and the other tokens' hashes and counts."""
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        mass = np.log10(np.maximum(v.mass, 1.0))
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            cols: list[list] = [[] for _ in range(7)]
+            for t in tokens(b.column("text")):
+                ids, known, log = v.look(t.hash, kinds(t))
+                own = log - np.where(ids >= WORDS, mass[np.maximum(ids - WORDS, 0)], log)
+                small = ids.astype("<u2")
+                for a, z in zip(t.bounds[:-1], t.bounds[1:], strict=True):
+                    rest = t.hash[a:z][~known[a:z]]
+                    d, c = np.unique(rest, return_counts=True) if len(rest) else (rest, np.zeros(0, np.int64))
+                    for col, x in zip(cols, (small[a:z].tobytes(), int(z - a), int(known[a:z].sum()), float(log[a:z].sum()), float(own[a:z].sum()), d.view(np.int64), c), strict=True):
+                        col.append(x)
+            n = b.num_rows
+            lists = [pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in col])]), np.concatenate([np.zeros(0, np.int64), *col])).cast(pa.list_(pa.int64())) for col in cols[5:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), b.column("doc_id"), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64()), *lists], ["row", "doc_id", "ids", "size", "n_head", "log", "own", "tail", "tail_n"])
+            row += n
+
+    rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "row long, doc_id long, ids binary, size long, n_head long, log double, own double, tail array<long>, tail_n array<long>")
 
 
 def _windows(seqs: list[np.ndarray], end: int, start: int, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -298,9 +320,14 @@ def _end(v: Vocabulary) -> int:
     return int(v.look(np.array([END]), np.zeros(1, np.int64))[0][0])
 
 
-def _train(docs: DataFrame, v: Vocabulary, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """One round: each task trains from ``weights`` on its texts; the results' mean, weighted by tokens."""
-    spark = docs.sparkSession
+def _train(rows: DataFrame, v: Vocabulary, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """One round: each shard trains from ``weights`` on its texts (``ids``), in order; the results' mean, weighted by tokens.
+
+    Shards are as many as the tokens ask for and hold texts by hash, so they are the same however the table is laid out.
+    """
+    spark = rows.sparkSession
+    shards = max(1, (rows.agg(F.sum(F.col("size") + 1).alias("n")).first()["n"] or 0) // SHARD)
+    rows = rows.select("ids", F.xxhash64(F.lit(7), "doc_id", "ids").alias("at")).repartition(shards, "at").sortWithinPartitions("at", "ids")
     shared = spark.sparkContext.broadcast((v, weights))
     shapes = [(n, weights[n].shape) for n in Network.NAMES]
     cuts = np.cumsum([weights[n].size for n in Network.NAMES])
@@ -333,7 +360,8 @@ def _train(docs: DataFrame, v: Vocabulary, weights: dict[str, np.ndarray]) -> di
                     net.w[k] -= RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)
 
         for b in batches:
-            for ids, _, _, _ in _encode(b.column("text"), v):
+            for raw in b.column("ids").to_pylist():
+                ids = np.frombuffer(raw, "<u2")
                 held += [ids, end]
                 size += len(ids) + 1
                 if size >= TRAIN_BATCH * WINDOW * STREAM:
@@ -354,37 +382,38 @@ def _train(docs: DataFrame, v: Vocabulary, weights: dict[str, np.ndarray]) -> di
         return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "grp": [pdf["grp"].iloc[0]], "n": [pdf["n"].sum()], "w": [total.tobytes()]})
 
     schema = "segment int, grp int, n double, w binary"
-    rows = lean(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(run, schema).groupBy("segment", "grp").applyInPandas(add, schema).groupBy("segment").applyInPandas(add, schema).collect()  # one set of weights
+    rows = lean(rows).select("ids").mapInArrow(run, schema).groupBy("segment", "grp").applyInPandas(add, schema).groupBy("segment").applyInPandas(add, schema).collect()  # one set of weights
     if not rows:
         return weights
     flat = np.concatenate([np.frombuffer(r["w"]) / r["n"] for r in sorted(rows, key=lambda r: r["segment"])]).astype(np.float32)
     return {n: p.reshape(s) for (n, s), p in zip(shapes, np.split(flat, cuts[:-1]), strict=True)}
 
 
-def learn(docs: DataFrame) -> tuple[DataFrame, Vocabulary, dict[str, np.ndarray]]:
-    """Counts, vocabulary and weights from the training documents ``docs``."""
+def learn(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
+    """Counts and vocabulary of the training documents ``docs``."""
     counts = cut(count_tokens(docs))
-    v = vocabulary(counts)
+    return counts, vocabulary(counts)
+
+
+def train(rows: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
+    """Weights learnt from encoded training documents, all of them, a disjoint part a round."""
     weights = Network(v).w
+    part = F.pmod(F.xxhash64(F.lit(5), "doc_id", "ids"), F.lit(ROUNDS))
     for r in range(ROUNDS):
-        weights = _train(docs.where(F.pmod(F.xxhash64(F.lit(5), "doc_id", F.col("text").cast("string")), F.lit(ROUNDS)) == r), v, weights)
-    return counts, v, weights
+        weights = _train(rows.where(part == r), v, weights)
+    return weights
 
 
-def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, weights: dict[str, np.ndarray]) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) for each row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast((v, weights))
-    text = F.col("text").cast("string")
-    rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+def score(rows: DataFrame, counts: DataFrame, v: Vocabulary, weights: dict[str, np.ndarray]) -> DataFrame:
+    """(row, doc_id, n_tokens, n_known, base_score, score) for each of the encoded ``rows`` (a table cut from its lineage)."""
+    shared = rows.sparkSession.sparkContext.broadcast((v, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w = shared.value
         net, end = Network(v, w), _end(v)
-        _, ends_known, end_log = (x[0] for x in v.look(np.array([END]), np.zeros(1, np.int64)))
-        mass = np.log10(np.maximum(v.mass, 1.0))
         ids: list = []
         seqs: list[np.ndarray] = []
-        sums: list[tuple] = []
+        held = 0
 
         def flush() -> pa.RecordBatch:
             order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
@@ -397,55 +426,37 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, weights: dict[str,
                 total[:n] += np.bincount(flat % n, p, n)
             ln = np.empty(len(mine))
             ln[order] = total / np.log(10)
-            cols = [pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int64())]
-            s = list(zip(*sums, strict=True))
-            out = pa.RecordBatch.from_arrays([*cols, pa.array(s[0], pa.int64()), pa.array(s[1], pa.int64()), pa.array(s[2], pa.int64()), pa.array(s[3], pa.float64()), pa.array(np.array(s[4]) + ln)], ["doc_id", "key", "n_tokens", "n_head", "n_tail", "base", "score"])
-            ids.clear(), seqs.clear(), sums.clear()
+            out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ln)], ["row", "net"])
+            ids.clear(), seqs.clear()
             return out
 
-        held = 0
         for b in batches:
-            for i, k, (x, known, log, _) in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), _encode(b.column("text"), v), strict=True):
-                rare = x >= WORDS
-                own = log[rare].sum() - mass[x[rare] - WORDS].sum()
-                own_end = (end_log - mass[end - WORDS]) if end >= WORDS else 0.0
-                ids.append((i, k))
-                seqs.append(x)
-                sums.append((len(x) + 1, int(known.sum()) + int(ends_known), int((~known).sum()), float(log.sum() + end_log), float(own + own_end)))
-                held += len(x) + 1
+            for i, raw in zip(b.column("row").to_pylist(), b.column("ids").to_pylist(), strict=True):
+                ids.append(i)
+                seqs.append(np.frombuffer(raw, "<u2").astype(np.int64))
+                held += len(seqs[-1]) + 1
                 if len(seqs) >= SCORE_DOCS or held > 8_000_000:
                     yield flush()
                     held = 0
         if seqs:
             yield flush()
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value[0]
-        for b in batches:
-            at, hs, cs = [], [], []
-            for j, (_, known, _, h) in enumerate(_encode(b.column("text"), v)):
-                d, c = np.unique(h[~known], return_counts=True)
-                at.append(np.full(len(d), j))
-                hs.append(d)
-                cs.append(c)
-            if at:
-                take = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("key").take(take), pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(cs).astype(np.int64))], ["doc_id", "key", "h", "n"])
-
-    main = rows.mapInArrow(run, "doc_id long, key long, n_tokens long, n_head long, n_tail long, base double, score double")
-    tail = rows.mapInArrow(rest, "doc_id long, key long, h long, n long").join(counts.select("h", "c"), "h", "left")
-    tail = tail.groupBy("doc_id", "key").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("log"))
-    tail = tail.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "n", "known", "log")
-    met = main.join(tail, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left")
-    # repeated rows add to one sum: each takes its part
-    part = F.when(F.col("n") > 0, F.col("n_tail") / F.col("n")).otherwise(0.0)
-    log = F.coalesce(F.col("log") * part, F.lit(0.0))
-    known = F.col("n_head") + F.coalesce(F.round(F.col("known") * part), F.lit(0)).cast("long")
-    return met.select("doc_id", "n_tokens", known.alias("n_known"), (F.col("base") + log - F.col("n_tokens") * F.lit(float(np.log10(v.total + v.distinct + 1)))).alias("base_score"), (F.col("score") + log).alias("score"))
+    _, end_known, end_log = (x[0] for x in v.look(np.array([END]), np.zeros(1, np.int64)))
+    end = _end(v)
+    end_own = float(end_log - np.log10(max(v.mass[end - WORDS], 1.0))) if end >= WORDS else 0.0
+    net = lean(rows).select("row", "ids").mapInArrow(run, "row long, net double")
+    tail = rows.where(F.size("tail") > 0).select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("h"), F.col("t.tail_n").alias("n")).join(counts.select("h", "c"), "h")
+    tail = tail.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_log"))
+    met = rows.select("row", "doc_id", "size", "n_head", "log", "own").join(net, "row").join(tail, "row", "left")
+    log, n = F.coalesce("more_log", F.lit(0.0)), F.col("size") + 1
+    known = F.col("n_head") + F.lit(int(end_known)) + F.coalesce("more", F.lit(0))
+    base = F.col("log") + F.lit(float(end_log)) + log - n * F.lit(float(np.log10(v.total + v.distinct + 1)))
+    return met.select("row", "doc_id", n.alias("n_tokens"), known.alias("n_known"), base.alias("base_score"), (F.col("net") + F.col("own") + F.lit(end_own) + log).alias("score"))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): trained where crc32(doc_id) mod 7 is not 2."""
-    counts, v, weights = learn(docs.where(crc_mod("doc_id", 7) != 2))
-    got = score(docs, counts, v, weights)
+    counts, v = learn(docs.where(crc_mod("doc_id", 7) != 2))
+    rows = cut(encode(docs, v))
+    got = score(rows, counts, v, train(rows.where(crc_mod("doc_id", 7) != 2), v))
     return got.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"), "base_score", "score")

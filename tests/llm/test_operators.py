@@ -309,11 +309,59 @@ def test_lm_trains_on_every_document(spark, monkeypatch):
     table = spark.createDataFrame([(i, f"text {i} of many", "s", "a", "en") for i in range(400)] + [(None, "no id", "s", "a", "en"), (400, None, "s", "a", "en")], SCHEMA)
     seen = []
     monkeypatch.setattr(lm_score, "_train", lambda part, v, weights: seen.append([r["doc_id"] for r in part.collect()]) or weights)
-    lm_score.learn(table)
+    _, v = lm_score.learn(table)
+    lm_score.train(lm_score.encode(table, v), v)
     assert len(seen) == lm_score.ROUNDS and all(seen)
     assert sorted(map(str, sum(seen, []))) == sorted(map(str, [*range(401), None]))
 
 
+def test_lm_layout_and_gain(spark, monkeypatch):
+    """Scores are the same for 1 and 16 partitions, and better than the base on held-out texts that follow a grammar."""
+    monkeypatch.setattr(lm_score, "SHARD", 4000)  # several shards
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(x for _ in range(20) for x in (("a", "b", "c"), ("d", "e", "f"))[rng.integers(2)])) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (lm_score.score_documents(table.repartition(n)).toPandas().sort_values("doc_id", ignore_index=True) for n in (1, 16))
+    assert np.allclose(one["score"], many["score"], rtol=0, atol=1e-4) and (one["n_known"] == many["n_known"]).all()
+    held = one[one["held_out"]]
+    assert len(held) > 50 and held["score"].sum() > held["base_score"].sum() * 0.9
+
+
+def test_lm_probabilities():
+    """Probabilities of all words and of the unknown one of each class sum to 1, in any state."""
+    rng = np.random.default_rng(9)
+    kind = rng.integers(0, lm_score.KINDS, 3000)
+    c = np.arange(3000, 0, -1)
+    v = lm_score.Vocabulary(np.arange(3000), c, kind, np.bincount(kind, c + 1.0, lm_score.KINDS), int(c.sum()), 3000)
+    net = lm_score.Network(v)
+    net.w = {k: w + rng.normal(0, 0.3, w.shape).astype(np.float32) for k, w in net.w.items()}
+    for h in rng.normal(0, 0.5, (3, lm_score.STATE)).astype(np.float32):
+        y = np.arange(lm_score.WORDS + lm_score.KINDS)
+        assert math.isclose(np.exp(net.log_p(np.repeat(h[None], len(y), 0), y).astype(float)).sum(), 1, abs_tol=1e-3)
+    rare = np.bincount(kind[lm_score.WORDS :], c[lm_score.WORDS :] + 1.0, lm_score.KINDS) + 1  # of the words of a class, and its unknown one
+    assert np.allclose(rare, v.mass)
+
+
+def test_lm_state_is_carried():
+    """Windows of any width give a text the same probability."""
+    rng = np.random.default_rng(2)
+    kind = rng.integers(0, lm_score.KINDS, 50)
+    v = lm_score.Vocabulary(np.arange(50), np.full(50, 3), kind, np.bincount(kind, np.full(50, 4.0), lm_score.KINDS), 150, 50)
+    net = lm_score.Network(v)
+    net.w = {k: w + rng.normal(0, 0.3, w.shape).astype(np.float32) for k, w in net.w.items()}
+    seqs = sorted((rng.integers(0, 50, n) for n in (0, 1, 16, 33, 70)), key=len, reverse=True)
+
+    def total(width):
+        h, out = np.zeros((len(seqs), lm_score.STATE), np.float32), np.zeros(len(seqs))
+        for n, x, y, real in lm_score._windows(seqs, lm_score._end(v), lm_score.START, width):
+            hs, h = net.run(x, h[:n])
+            flat = np.flatnonzero(real.ravel())
+            out[:n] += np.bincount(flat % n, net.log_p(hs.reshape(-1, lm_score.STATE)[flat], y.ravel()[flat]), n)
+        return out
+
+    assert np.allclose(total(7), total(100), atol=1e-3) and np.allclose(total(16), total(100), atol=1e-3)
+
+
 def test_lm_gradients():
     """Gradients against differences of the mean log probability, texts' starts and padding included."""
     rng = np.random.default_rng(4)
