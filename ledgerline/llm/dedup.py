@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, lean, U
+from ledgerline.llm.common import cut, hot_join, KeyFilter, lean, U
 
 HASHES = 2  #: bit positions of a row
 BITS_PER_ROW = 16
@@ -132,16 +132,25 @@ def copies(docs: DataFrame) -> DataFrame:
     bits = _bits(marks.count())
     asked = cut(suspects(marks, bits, repeated_positions(marks, bits)))
     some, single = asked.where("suspect"), asked.where("not suspect")
-    some = some.join(_best(some), "sha").select("doc_id", "row", "sha", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"))
+    best = cut(_best(some).select("sha", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"))
+    some = hot_join(some, best, "sha").select("doc_id", "row", "sha", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"))
     return some.union(single.select("doc_id", "row", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text another row repeats; the row with the largest doc_id stays, once."""
+    """``docs`` without the rows whose text another row repeats; the row with the largest doc_id stays, once.
+
+    Of a group of copies only the row that stays is shuffled, whatever the group's size: the others miss a filter of the
+    digests and ids of rows that stay.
+    """
     marks = cut(digests(docs))
     bits = _bits(marks.count())
     filter_ = repeated_positions(marks, bits)
-    best = _best(suspects(marks, bits, filter_).where("suspect")).select(F.col("sha").alias("_sha"), F.col("best.doc_id").alias("_keep"))
+    name = f"_look_{uuid.uuid4().hex}"
+    best = _best(suspects(marks, bits, filter_).where("suspect"))
+    best = cut(best.select(F.col("sha").alias(f"{name}_sha"), F.col("best.doc_id").alias(f"{name}_keep")))
+    key = lambda sha, doc_id: F.xxhash64(sha, doc_id, doc_id.isNull())
+    stays = KeyFilter(best.select(key(F.col(f"{name}_sha"), F.col(f"{name}_keep"))))
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
     per = min(SEGMENT, bits)
 
@@ -152,9 +161,13 @@ def drop_copies(docs: DataFrame) -> DataFrame:
             sha = [hashlib.sha256(normalise(x)).digest() for x in t]
             yield pd.DataFrame({"suspect": _hit(bitmap, pa.array(sha, pa.binary()), bits), "sha": sha})
 
-    name = f"_look_{uuid.uuid4().hex}"
+    @F.pandas_udf("boolean")
+    def maybe(x: pd.Series) -> pd.Series:
+        return pd.Series(stays.has(x.to_numpy()))
+
     seen = lean(docs).withColumn(name, look(F.col("text").cast("string")))
-    met = (F.col(f"{name}.sha") == F.col("_sha")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep"))
-    stay = seen.where(F.col(f"{name}.suspect")).join(best, met, "left_semi")
-    stay = stay.withColumn(name, F.col(f"{name}.sha")).dropDuplicates([name, "doc_id"])
+    sha, doc_id = F.col(f"{name}.sha"), F.col("doc_id").cast("long")
+    some = seen.where(F.col(f"{name}.suspect")).where(maybe(key(sha, doc_id)))
+    stay = some.join(best, (sha == F.col(f"{name}_sha")) & doc_id.eqNullSafe(F.col(f"{name}_keep")), "left_semi")
+    stay = stay.withColumn(name, sha).dropDuplicates([name, "doc_id"])
     return seen.where(~F.col(f"{name}.suspect")).drop(name).unionByName(stay.drop(name))

@@ -15,6 +15,8 @@ empty table gives an empty result; extra columns are passed over or kept (``mixe
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,15 +95,17 @@ def takes(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = E
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: each whole repetition is a row, and of a part of a document its first words.
 
-    Rows that share doc_id and text count together here: each is repeated as the first of them in order would be.
+    Rows that share doc_id, text and source share evenly what is taken of them all, each rounded up, so that such a group
+    may give up to one word a row more than its part.
     """
-    mine = takes(docs, weights, epochs, seed).where("taken > 0").groupBy("doc_id", "key", "source").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.count("*").alias("_rows"))
-    mine = cut(mine)
-    d, m = docs.alias("d"), mine.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("source").alias("_source"), F.ceil(F.col("_taken") / F.col("_rows")).cast("long").alias("_taken"), "_size").alias("m")
-    key = F.xxhash64(F.col("d.text").cast("string"))
-    met = d.join(m, F.col("d.doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key")) & F.col("d.source").cast("string").eqNullSafe(F.col("_source")))
-    times = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    copies = met.select("d.*", "_taken", "_size", F.explode(F.sequence(F.lit(1), times)).alias("_copy"))
-    left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
+    mine = takes(docs, weights, epochs, seed).where("taken > 0").groupBy("doc_id", "key", "source").agg(F.ceil(F.sum("taken") / F.count("*")).cast("long").alias("taken"), F.max("size").alias("size"))
+    name = f"_mix_{uuid.uuid4().hex}"
+    mine = cut(mine).select(F.struct("doc_id", "key", "source", "taken", "size").alias(name))
+    mix = lambda field: F.col(f"{name}.{field}")
+    d, text = docs.alias("d"), F.col("d.text").cast("string")
+    met = d.join(mine, F.col("d.doc_id").cast("long").eqNullSafe(mix("doc_id")) & (F.xxhash64(text) == mix("key")) & F.col("d.source").cast("string").eqNullSafe(mix("source")))
+    times = F.ceil(mix("taken") / mix("size")).cast("int")
+    copies = met.select("d.*", name, F.explode(F.sequence(F.lit(1), times)).alias(f"{name}_copy"))
+    left = mix("taken") - (F.col(f"{name}_copy") - 1) * mix("size")
     first = F.array_join(F.slice(F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), left.cast("int")), "")
-    return copies.withColumn("text", F.when(left >= F.col("_size"), F.col("text")).otherwise(first)).select(*docs.columns)
+    return copies.withColumn("text", F.when(left >= mix("size"), F.col("text")).otherwise(first)).drop(name, f"{name}_copy")

@@ -103,6 +103,22 @@ def test_mixing(docs, empty):
     assert sum(len(low(r["text"]).split()) for r in copies.collect()) == got["taken"].sum()
 
 
+CLASHES = ["_sha", "_keep", "_taken", "_size", "_copy", "_rows", "_id", "_key", "_source", "_gone", "_maybe", "a.b", "size", "key", "row", "sha", "taken", "d", "g", "p"]
+
+
+def test_clashing_columns(spark):
+    """Extra columns of any name are passed over, or kept with what they hold."""
+    rows = [(i, t, s, *[f"{c}{i}" for c in CLASHES]) for i, t, s in texts()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    model = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    for out in (dedup.drop_copies(docs), mixing.mixed(docs), toxicity.drop_toxic(docs, model)):
+        assert out.columns == docs.columns
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in out.collect() for c in CLASHES)
+    assert dedup.copies(docs).count() == mixing.takes(docs).count() == licenses.scan(docs).count() == len(rows)
+    assert token_counts.count_tokens(docs, vocabulary("piece_bpe_32k.model")).count() == lm_score.score_documents(docs).count() == len(rows)
+    assert packing.pack(docs, vocabulary("word_bpe_49k.json")).count() >= len(rows)
+
+
 def vocabulary(name):
     return pytest.importorskip("public_tokenizers").path(name)
 
