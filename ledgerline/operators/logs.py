@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerline.functions import text
+
 EMAIL = r"[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
@@ -19,9 +21,9 @@ def group_errors(df: DataFrame, message: str, order: str) -> DataFrame:
     return df.groupBy(normalised(F.col(message)).alias("pattern")).agg(F.count("*").alias("n"), F.min(order).alias("first_seen"), F.max(order).alias("last_seen"), F.min_by(message, order).alias("sample"))
 
 
-def mask(text: Column) -> tuple[Column, Column]:
+def mask(column: Column) -> tuple[Column, Column]:
     """The text with e-mail addresses masked, and how many were."""
-    return F.regexp_replace(text, EMAIL, "***"), F.regexp_count(text, F.lit(EMAIL)).cast("long")
+    return F.regexp_replace(column, EMAIL, "***"), F.regexp_count(column, F.lit(EMAIL)).cast("long")
 
 
 def keep_traces(df: DataFrame, trace: str, hit: Column) -> DataFrame:
@@ -40,3 +42,50 @@ def islands(df: DataFrame, trace: str, order: str, label: str) -> DataFrame:
 def newest(df: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
     """The ``n`` first rows of each group in the order given."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def error_report(df: DataFrame, level: str, logger: str, message: str, at: str, trace: str, order: str, least: str = "TRACE") -> DataFrame:
+    """Errors grouped by level, logger and the key of their message: count, first and last time, traces, first record."""
+    key = text.error_key(F.col(message))
+    return at_least(df, level, least).groupBy(level, logger, key.alias("key")).agg(F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count_distinct(trace).alias("n_traces"), F.min(order).alias("sample_id"))
+
+
+LEVELS = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR")
+
+
+def at_least(df: DataFrame, level: str, least: str) -> DataFrame:
+    """Records of a level or a graver one."""
+    return df.where(F.col(level).isin(*LEVELS[LEVELS.index(least.upper()) :]))
+
+
+#: ts [trace] [tenant] [user] [ip] [thread] LEVEL logger - message
+HEADER = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) \[([^\]]*)\] \[([^\]]*)\] \[([^\]]*)\] \[([^\]]*)\] \[([^\]]*)\] +([A-Z]+) +(\S+) +- ?(.*)$"
+
+
+def records(lines: DataFrame, file: str, number: str, line: str) -> DataFrame:
+    """Log records from numbered lines: a line without a header continues the record before it in its file.
+
+    Files are cut into chunks where a header stands in the data anyway: a running count of headers numbers the records,
+    so that no file is gathered by more than a sort.  Lines before a file's first header are left out.
+    """
+    head = F.rlike(F.col(line), F.lit(HEADER))
+    w = Window.partitionBy(file).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
+    part = lines.withColumn("_head", head).withColumn("record", F.sum(F.when(F.col("_head"), 1).otherwise(0)).over(w)).where("record > 0")
+    folded = part.groupBy(file, "record").agg(F.max(F.when(F.col("_head"), F.col(line))).alias("_first"), F.array_sort(F.collect_list(F.when(~F.col("_head"), F.struct(F.col(number).alias("n"), F.col(line).alias("l"))))).alias("_rest"))
+    got = lambda i: F.nullif(F.nullif(F.regexp_extract("_first", HEADER, i), F.lit("-")), F.lit("SYSTEM"))
+    names = {2: "trace", 3: "tenant", 4: "user", 5: "ip", 6: "thread"}
+    return folded.select(file, "record", F.regexp_extract("_first", HEADER, 1).cast("timestamp_ntz").alias("ts"), *[got(i).alias(n) for i, n in names.items()], F.regexp_extract("_first", HEADER, 7).alias("level"), F.regexp_extract("_first", HEADER, 8).alias("logger"), F.regexp_extract("_first", HEADER, 9).alias("message"), F.transform("_rest", lambda x: x["l"]).alias("extra"))
+
+
+def keep_first(df: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The first of records alike in ``key``: pre-aggregated, whole rows only travel once."""
+    best = df.groupBy(*key).agg(F.min(order).alias(order))
+    return df.join(best, [*key, order], "left_semi")
+
+
+def pair_statements(df: DataFrame, trace: str, order: str, kind: str) -> DataFrame:
+    """Statement, parameters and result records of one call: each prepare opens a call, which the next one of its trace ends."""
+    w = Window.partitionBy(trace).orderBy(order)
+    calls = df.withColumn("call", F.sum(F.when(F.col(kind) == "prepare", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("call > 0")
+    first = lambda k: F.min(F.when(F.col(kind) == k, F.col(order)))
+    return calls.groupBy(trace, "call").agg(first("prepare").alias("prepared_at"), first("parameters").alias("parameters_at"), first("total").alias("total_at"), F.count("*").alias("n_records"))
