@@ -304,7 +304,7 @@ def stream_windows(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy(w.alias("window_start"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-from ledgerline import text_queries  # noqa: E402, F401  registers its queries
+from ledgerline import rule_queries, text_queries  # noqa: E402, F401  register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
