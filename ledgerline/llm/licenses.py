@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in DataFrame operations only.
 
-Rules are regular expressions over a text's words (lower case, joined by single spaces), built from license names and
-the phrases that grant or mention them.  A rule is tried only on texts that hold its keyword.  Where detections overlap,
+Rules (``license_rules.py``) are regular expressions over a text's words (lower case, joined by single spaces): names,
+identifiers, headers and sentences of licenses.  A rule is tried only on texts that hold its keyword.  Where detections overlap,
 one that lies within another is suppressed; of equal places the rule of higher priority stays.
 
 Cases: words are runs of bytes 0-9, a-z (after lower-casing A-Z) and everything beyond ASCII; a null text counts as
@@ -16,112 +16,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerline.llm.common import cut
+from ledgerline.llm.license_rules import rule_rows
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: label, name as a pattern over words, keywords (with | between) of which every match holds one
-NAMES = (
-    ("mit", "mit", "mit"),
-    ("mit-0", "mit (?:0|no attribution)", "mit"),
-    ("apache-1.1", "apache(?: software)?(?: license)?(?: version)? 1 1", "apache"),
-    ("apache-2.0", "apache(?: software)?(?: license)?(?: version| v)? (?:2 0|2|v2)", "apache"),
-    ("gpl-1.0", "(?:gnu )?(?:gpl|general public license)(?: version| v)? (?:1|v1)", "gpl|general public"),
-    ("gpl-2.0", "(?:gnu )?(?:gpl|general public license)(?: version| v)? (?:2|v2)", "gpl|general public"),
-    ("gpl-3.0", "(?:gnu )?(?:gpl|general public license)(?: version| v)? (?:3|v3)", "gpl|general public"),
-    ("lgpl-2.1", "(?:gnu )?(?:lgpl|lesser general public license|library general public license)(?: version| v)? (?:2 1|2|v2)", "lgpl|lesser general|library general"),
-    ("lgpl-3.0", "(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? (?:3|v3)", "lgpl|lesser general"),
-    ("agpl-3.0", "(?:gnu )?(?:agpl|affero general public license)(?: version| v)? (?:3|v3)", "agpl|affero"),
-    ("gfdl", "(?:gnu )?(?:gfdl|free documentation license)", "gfdl|free documentation"),
-    ("bsd-2-clause", "(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)", "bsd"),
-    ("bsd-3-clause", "(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd|revised bsd)", "bsd"),
-    ("bsd-4-clause", "(?:original bsd|bsd 4 clause|4 clause bsd)", "bsd"),
-    ("0bsd", "(?:zero clause bsd|0bsd)", "bsd"),
-    ("isc", "(?:isc|internet systems consortium)", "isc|internet systems"),
-    ("mpl-1.1", "(?:mozilla public license|mpl)(?: version| v)? 1 1", "mozilla|mpl"),
-    ("mpl-2.0", "(?:mozilla public license|mpl)(?: version| v)? (?:2 0|2)", "mozilla|mpl"),
-    ("epl-1.0", "(?:eclipse public license|epl)(?: version| v)? (?:1 0|1)", "eclipse|epl"),
-    ("epl-2.0", "(?:eclipse public license|epl)(?: version| v)? (?:2 0|2)", "eclipse|epl"),
-    ("cddl-1.0", "(?:common development and distribution license|cddl)", "cddl|common development"),
-    ("cpl-1.0", "common public license", "common public"),
-    ("ms-pl", "(?:microsoft public license|ms pl)", "microsoft|ms pl"),
-    ("ms-rl", "(?:microsoft reciprocal license|ms rl)", "microsoft|ms rl"),
-    ("artistic", "artistic", "artistic"),
-    ("zlib", "(?:zlib libpng|zlib)", "zlib"),
-    ("boost", "(?:boost software|bsl 1 0)", "boost|bsl"),
-    ("unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "(?:wtfpl|do what the f u c k you want to public)", "wtfpl|do what the"),
-    ("cc0", "(?:cc0|creative commons zero|cc zero)", "cc0|creative commons|cc zero"),
-    ("cc-by", "(?:cc by|creative commons attribution)", "cc by|creative commons"),
-    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)", "cc by|creative commons"),
-    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)", "cc by|creative commons"),
-    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?derivat(?:iv)?es)", "cc by|creative commons"),
-    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "cc by|creative commons"),
-    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?derivat(?:iv)?es)", "cc by|creative commons"),
-    ("ofl-1.1", "(?:sil open font license|ofl)", "open font|ofl"),
-    ("postgresql", "postgresql", "postgresql"),
-    ("python", "(?:python software foundation|psf)", "python software|psf"),
-    ("openssl", "openssl", "openssl"),
-    ("php", "php", "php"),
-    ("ruby", "ruby", "ruby"),
-    ("perl", "perl", "perl"),
-    ("vim", "vim", "vim"),
-    ("x11", "x11", "x11"),
-    ("ncsa", "(?:university of illinois ncsa|ncsa)", "ncsa"),
-    ("eupl", "(?:european union public|eupl)", "european union|eupl"),
-    ("osl-3.0", "(?:open software license|osl)(?: version| v)? (?:3 0|3)", "open software|osl"),
-    ("afl-3.0", "(?:academic free license|afl)(?: version| v)? (?:3 0|3)", "academic free|afl"),
-    ("odbl", "(?:open database|odbl)", "open database|odbl"),
-    ("upl", "universal permissive", "universal permissive"),
-    ("w3c", "w3c", "w3c"),
-    ("json", "json", "json"),
-    ("proprietary", "proprietary", "proprietary"),
-    ("commercial", "commercial", "commercial"),
-)
-
-#: phrase around a name, confidence, priority; every phrase holds "licens" or stands for one of the notices below
-FORMS = (
-    ("licensed under (?:the )?(?:terms of )?(?:the )?(?:gnu )?{}(?: license| licence)?(?: version)?(?: [0-9]+(?: [0-9]+)?)?", 1.0, 5),
-    ("released under (?:the )?(?:terms of )?(?:the )?{} (?:license|licence)", 1.0, 5),
-    ("(?:distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?{} (?:license|licence)", 1.0, 5),
-    ("spdx license identifier {}", 1.0, 6),
-    ("{} (?:license|licence)", 0.8, 3),
-    ("(?:license|licence)(?: type| name| is)? {}", 0.7, 2),
-)
-#: notices of their own: label, pattern, keyword, confidence, priority
-NOTICES = (
-    ("gpl", "gnu general public license", "general public license", 0.8, 3),
-    ("gpl-3.0", "gnu general public license(?: as published by the free software foundation)? (?:either )?(?:version|v) 3", "general public license", 1.0, 6),
-    ("gpl-2.0", "gnu general public license(?: as published by the free software foundation)? (?:either )?(?:version|v) 2", "general public license", 1.0, 6),
-    ("lgpl", "(?:lesser|library) general public license", "general public license", 0.8, 4),
-    ("agpl", "affero general public license", "general public license", 0.8, 4),
-    ("cc-by-nc-4.0", "cc by nc 4 0", "cc by nc 4 0", 0.9, 6),
-    ("cc-by-4.0", "cc by 4 0", "cc by 4 0", 0.9, 5),
-    ("cc-by-sa-4.0", "cc by sa 4 0", "cc by sa 4 0", 0.9, 6),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted", 1.0, 6),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use", 1.0, 6),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy", 1.0, 6),
-    ("public-domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain", "public domain", 0.9, 4),
-    ("public-domain", "public domain", "public domain", 0.5, 1),
-    ("proprietary", "all rights reserved", "all rights reserved", 0.5, 1),
-)
 #: words or parts of them of which a text, lower-cased, holds one if any rule or base phrase can match it, whatever separates
 #: its words; or "cc" and "by", next to each other
-GATE = ("licen", "reserved", "permission", "redistribution", "domain")
+GATE = ("licen", "reserved", "permission", "redistribution", "domain", "warrant", "copyright", "spdx", "acknowledg")
 GATE_CC = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
 
-def rule_rows() -> list[tuple[int, str, str, str, float, int]]:
-    """(rule, label, pattern, keyword, confidence, priority), a few hundred, in order."""
-    rows = [(label, form.format(name), key, sure, rank) for label, name, key in NAMES for form, sure, rank in FORMS]
-    rows += list(NOTICES)
-    return [(i, label, rf"(?<![^ ]){p}(?![^ ])", key, sure, rank) for i, (label, p, key, sure, rank) in enumerate(rows)]
-
-
 def _rules(spark: SparkSession) -> DataFrame:
     rows = [f"({i}, '{label}', '{p}', '{key}', {sure}D, {rank})".replace("\\", "\\\\") for i, label, p, key, sure, rank in rule_rows()]
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS r(rule, label, pattern, keyword, sure, rank)").withColumn("keywords", F.split("keyword", r"\|")).withColumn("keyword", F.explode("keywords"))
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS r(rule, label, pattern, keyword, sure, rank)")
 
 
 def _places(norm: Column, pattern: Column) -> Column:
@@ -155,11 +64,9 @@ def scan(docs: DataFrame) -> DataFrame:
     # method: rules whose keyword the text holds
     rules = F.broadcast(_rules(docs.sparkSession)).alias("r")  # a few hundred rows
     texts = rows.where("norm is not null").select("doc_id", "key", "norm")
-    words = sorted({w for r in rule_rows() for w in r[3].split("|")})
+    words = sorted({r[3] for r in rule_rows()})
     held_words = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("norm"), w))
-    # a rule that several held keywords lead to is tried for the first of them
-    tried = texts.withColumn("words", held_words).withColumn("keyword", F.explode("words")).join(rules, "keyword")
-    tried = tried.where(F.element_at(F.filter("words", lambda w: F.array_contains(F.col("keywords"), w)), 1) == F.col("keyword"))
+    tried = texts.withColumn("keyword", F.explode(held_words)).join(rules, "keyword")
     tried = tried.where(F.call_function("rlike", F.col("norm"), F.col("pattern")))
     found = tried.select("doc_id", "key", "label", "sure", "rank", "rule", F.explode(_places(F.col("norm"), F.col("pattern"))).alias("p")).select("*", "p.first", "p.last").drop("p").distinct()  # repeated rows find the same places; the texts themselves never shuffle
     before = Window.partitionBy("doc_id", "key").orderBy("first", F.desc("last"), F.desc("rank"), "rule").rowsBetween(Window.unboundedPreceding, -1)

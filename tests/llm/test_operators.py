@@ -204,7 +204,6 @@ def test_licenses(docs, empty):
     assert got[11]["n_base"] == 3 and "gpl-3.0" in got[11]["labels"].split(",") and got[11]["first_word"] == 1
     assert got[4]["labels"] == "" and got[4]["n_words"] == 0 and got[1]["score"] == 0 and got[1]["first_word"] is None
     assert len(got) + 1 == licenses.scan(docs).count() and licenses.scan(empty).count() == 0
-    assert len(licenses.rule_rows()) > 200
 
 
 def test_licenses_separators(spark):
@@ -222,6 +221,64 @@ def test_licenses_separators(spark):
     assert all("cc by" in p for p in rest)
 
 
+def _matches(pattern, most):
+    """A match of a rule's pattern: first branches, and optional parts left out or taken (``most``)."""
+    from re import _parser
+
+    def walk(items):
+        out = ""
+        for op, arg in items:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op == "SUBPATTERN":
+                out += walk(arg[3])
+            elif op == "BRANCH":
+                out += walk(arg[1][-1 if most else 0])
+            elif op == "NOT_LITERAL":
+                out += "x"
+            elif op == "IN":
+                out += "x" if str(arg[0][0]) == "NEGATE" else chr(arg[-1 if most else 0][1])
+            elif op == "MAX_REPEAT":
+                lo, hi, part = arg
+                out += walk(part) * (min(hi, lo + 1) if most else lo)
+            else:
+                assert op == "ASSERT_NOT", op
+        return out
+
+    return walk(_parser.parse(pattern))
+
+
+def test_license_rules(spark):
+    """Every rule finds its own text, and the scan finds what all rules find without the gate and the keywords."""
+    import re
+
+    rules = licenses.rule_rows()
+    assert len(rules) > 200 and len({r[2] for r in rules}) == len(rules)
+    cases = [_matches(r[2], most) for r in rules for most in (False, True)]
+    for (_, label, pattern, key, _, _), one, two in zip(rules, cases[::2], cases[1::2], strict=True):
+        assert re.search(pattern, one) and re.search(pattern, two) and key in one and key in two, label
+        assert all(any(g in x for g in (*licenses.GATE, "cc by")) for x in (one, two)), label
+    cases += [" and ".join(cases[i : i + 5]) for i in range(0, len(cases), 37)] + ["licenses of mitten apachelike", "no license"]
+
+    def brute(words):
+        found = []
+        for i, label, pattern, _, _, rank in rules:
+            for m in re.finditer(pattern, words):
+                a = len(words[: m.start()].split())
+                found.append((a, -(a + len(m[0].split())), -rank, i, label))
+        labels, reach = {label for p, label in licenses.BASE if f" {p} " in f" {words} "}, -1
+        for _, last, _, _, label in sorted(found):
+            if -last > reach:
+                labels.add(label)
+            reach = max(reach, -last)
+        return ",".join(sorted(labels))
+
+    rows = [(i, c.upper() if i % 2 else c.replace(" ", "\n ")) for i, c in enumerate(cases)]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(c, got[i], brute(c)) for i, c in enumerate(cases) if got[i] != brute(c)] == []
+
+
 def test_html():
     page = "<html><head><title>t</title><style>p{}</style></head><body><nav><a>Home</a></nav><div class='cookie-notice'>We use cookies on this site, please accept them all.</div><article><h1>Head &amp; tail</h1><p>A first   paragraph of some length,\nover two lines.<p>Second <b>bold</b> one.</article><div id=comments>A reader's comment that is quite long, longer than forty characters.</div><footer>&copy; x</footer><script>var a='<p>'</script></body></html>"
     assert html_text.extract(page) == "Head & tail\nA first paragraph of some length, over two lines.\nSecond bold one."
