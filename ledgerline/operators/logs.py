@@ -89,3 +89,16 @@ def pair_statements(df: DataFrame, trace: str, order: str, kind: str) -> DataFra
     calls = df.withColumn("call", F.sum(F.when(F.col(kind) == "prepare", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("call > 0")
     first = lambda k: F.min(F.when(F.col(kind) == k, F.col(order)))
     return calls.groupBy(trace, "call").agg(first("prepare").alias("prepared_at"), first("parameters").alias("parameters_at"), first("total").alias("total_at"), F.count("*").alias("n_records"))
+
+
+def grep_context(df: DataFrame, key: str, column: str, needle: str, around: int) -> DataFrame:
+    """(key, line_no, line, hit) of lines that hold ``needle`` and of ``around`` lines before and after, each once.
+
+    Lines are marked in their array, so that only marked ones become rows.
+    """
+    lines = F.split(F.col(column), "\n")
+    marked = df.where(F.col(column).contains(needle)).select(key, lines.alias("_lines"))
+    marked = marked.withColumn("_hits", F.filter(F.transform("_lines", lambda x, i: F.when(x.contains(needle), i)), lambda i: i.isNotNull()))
+    near = F.array_distinct(F.flatten(F.transform("_hits", lambda i: F.sequence(F.greatest(i - around, F.lit(0)), F.least(i + around, F.size("_lines") - 1)))))
+    rows = marked.select(key, F.explode(F.transform(near, lambda i: F.struct((i + 1).cast("long").alias("line_no"), F.get("_lines", i).alias("line")))).alias("_l"))
+    return rows.select(key, "_l.line_no", "_l.line", F.col("_l.line").contains(needle).alias("hit"))

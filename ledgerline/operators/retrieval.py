@@ -1,17 +1,60 @@
-"""Nearest vectors by squared Euclidean distance, and exact-plus-vector lookup."""
+"""Nearest vectors by squared Euclidean distance: every query against every vector, in blocks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+BLOCK = 1024  #: vectors, and queries, that are compared at once
+
+
+def _blocks(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
+    """(keys, matrix): blocks of at most BLOCK vectors of one length, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            by: dict[int, list] = {}
+            for k, v in zip(b.column("k").to_pylist(), b.column("v").to_pylist(), strict=True):
+                if v is not None and None not in v:
+                    by.setdefault(len(v), []).append((k, v))
+            for size, rows in by.items():
+                for at in range(0, len(rows), BLOCK):
+                    part = rows[at : at + BLOCK]
+                    yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([np.array([k for k, _ in part], np.int64).tobytes()]), pa.array([np.array([v for _, v in part], np.float64).tobytes()])], ["size", "keys", "matrix"])
+
+    rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(embedding).cast("array<double>").alias("v")).where("k is not null")
+    return rows.mapInArrow(run, "size int, keys binary, matrix binary")
+
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int | None, farthest: float | None = None, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(query_id, vec_id, distance): the ``k`` nearest of each query, those within ``farthest``, or both.
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda acc, x: acc + x)
+    Blocks of vectors meet blocks of queries, so rows shuffle as blocks, once for each block of queries; of a pair of
+    blocks only what is near enough, at most ``k`` a query, leaves its task.
+    """
+    b = _blocks(vectors, key, embedding).alias("b")
+    q = _blocks(queries, key, embedding).select("size", F.col("keys").alias("qkeys"), F.col("matrix").alias("qmatrix")).alias("q")
+    met = b.join(q, "size").select("size", "keys", "matrix", "qkeys", "qmatrix")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys, qkeys = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["qkeys"], np.int64)
+                x, y = np.frombuffer(r["matrix"]).reshape(len(keys), -1), np.frombuffer(r["qmatrix"]).reshape(len(qkeys), -1)
+                d = np.abs((y * y).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * y @ x.T).round(6)
+                hit = np.ones(d.shape, bool) if farthest is None else d <= farthest
+                if k is not None and k < len(keys):  # ties at the k-th place stay for the last choice
+                    hit &= d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                i, j = np.nonzero(hit)
+                yield pa.RecordBatch.from_arrays([pa.array(qkeys[i]), pa.array(keys[j]), pa.array(d[i, j])], ["query_id", key, "distance"])
 
-def distances(vectors: DataFrame, query_id: int) -> DataFrame:
-    """(vec_id, label, distance) to one vector; the query is a single row."""
-    q = vectors.where(F.col("vec_id") == query_id).select(F.col("embedding").alias("_q"))
-    met = vectors.crossJoin(F.broadcast(q.limit(1)))
-    return met.select("vec_id", "label", F.round(squared_distance(F.col("embedding"), F.col("_q")), 6).alias("distance"))
+    near = met.mapInArrow(run, f"query_id long, {key} long, distance double")
+    if k is None:
+        return near
+    w = Window.partitionBy("query_id").orderBy("distance", key)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")

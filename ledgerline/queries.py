@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerline.operators import compare, integrity, lineage, logs, profile, retrieval
+from ledgerline.operators import catalog, compare, integrity, lineage, logs, profile, retrieval
+from ledgerline.plans import gateway
+from ledgerline.shared import shared_dir
+from ledgerline.sources import files
+from ledgerline.streaming import events
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -28,6 +32,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def columns_of(spark, sf_dir, tables):
+    return catalog.scan(spark, {t: read(spark, sf_dir, t) for t in tables})
+
+
+_ROOT = "regexp_replace({}, '^[a-z]+_', '')"
+_SCHEMA = "SELECT table_name, column_name, " + _ROOT.format("column_name") + " AS c, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE data_type END AS t, ordinal_position AS i FROM information_schema.columns"
+
+
 @query("SELECT count(DISTINCT o_orderstatus) AS n_distinct, count(*) FILTER (WHERE o_orderstatus IS NULL) AS n_null, count(*) AS n_rows FROM orders")
 def column_profile(spark, sf_dir):
     return profile.column_profile(read(spark, sf_dir, "orders"), "o_orderstatus")
@@ -63,15 +75,15 @@ def orphans_summary(spark, sf_dir):
     return integrity.orphan_summary([("orders.o_custkey", r("orders"), "o_custkey", r("customer").where("c_acctbal >= 0"), "c_custkey"), ("lineitem.l_suppkey", r("lineitem"), "l_suppkey", r("supplier").where("s_acctbal >= 0"), "s_suppkey"), ("nation.n_regionkey", r("nation"), "n_regionkey", r("region"), "r_regionkey")])
 
 
-_CATALOG = [("orders", "o_custkey"), ("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("lineitem", "l_partkey"), ("lineitem", "l_suppkey"), ("lineitem", "l_tax"), ("nation", "n_regionkey"), ("customer", "c_nationkey"), ("customer", "c_custkey"), ("supplier", "s_nationkey")]
-_KEYS = [("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"), ("supplier", "s_suppkey"), ("region", "r_regionkey"), ("nation", "n_nationkey")]
-_VALUES = lambda rows: ", ".join(str(r) for r in rows)
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
-@query(f"""SELECT table_name, column_name, parent, key_column FROM (VALUES {_VALUES(_CATALOG)}) a(table_name, column_name), (VALUES {_VALUES(_KEYS)}) b(parent, key_column)
-WHERE regexp_replace(column_name, '^[a-z]+_', '') = regexp_replace(key_column, '^[a-z]+_', '') AND table_name <> parent""")
+@query(f"""SELECT a.table_name, a.column_name, b.table_name AS parent, b.column_name AS key_column FROM (SELECT * FROM information_schema.columns WHERE table_name IN {_TABLES}) a JOIN (SELECT * FROM information_schema.columns WHERE table_name IN {_TABLES} AND ordinal_position = 1) b
+ON {_ROOT.format("a.column_name")} = {_ROOT.format("b.column_name")} AND a.table_name <> b.table_name AND length({_ROOT.format("a.column_name")}) >= 4""")
 def fk_inference(spark, sf_dir):
-    return integrity.infer_foreign_keys(spark.createDataFrame(_CATALOG, "table_name string, column_name string"), spark.createDataFrame(_KEYS, "parent string, key_column string"))
+    c = columns_of(spark, sf_dir, _TABLES)
+    keys = c.where("position = 1").select(F.col("table_name").alias("parent"), F.col("column_name").alias("key_column"))
+    return integrity.infer_foreign_keys(c.select("table_name", "column_name"), keys)
 
 
 @query("""SELECT o_orderstatus AS name, count(*) FILTER (WHERE o_orderdate < TIMESTAMP '1995-06-01') AS expected, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1995-06-01') AS actual,
@@ -83,17 +95,19 @@ def batch_compare(spark, sf_dir):
     return c.withColumn("status", compare.verdict(F.col("expected"), F.col("actual")))
 
 
-@query("SELECT event_id, event_type, 'left' AS side FROM events WHERE NOT (value > 50 AND event_id % 7 <> 0) OR value IS NULL")
+@query("""WITH b AS (SELECT event_id, CASE WHEN value > 300 THEN 'large ' || event_type ELSE event_type END AS event_type FROM events)
+SELECT event_id, event_type, 'left' AS side FROM (SELECT event_id, event_type FROM events EXCEPT ALL SELECT * FROM b) UNION ALL SELECT event_id, event_type, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT event_id, event_type FROM events)""")
 def row_diff(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    return compare.row_diff(e.select("event_id", "event_type"), e.where("value > 50 and event_id % 7 <> 0").select("event_id", "event_type"))
+    e = read(spark, sf_dir, "events")
+    after = F.when(F.col("value") > 300, F.concat(F.lit("large "), "event_type")).otherwise(F.col("event_type"))
+    return compare.row_diff(e.select("event_id", "event_type"), e.select("event_id", after.alias("event_type")))
 
 
-@query("""SELECT coalesce(a.c, b.c) AS column_name, a.t AS left_value, b.t AS right_value, CASE WHEN a.c IS NULL THEN 'added' WHEN b.c IS NULL THEN 'removed' WHEN a.t = b.t THEN 'same' ELSE 'changed' END AS status
-FROM (VALUES ('id', 'bigint'), ('name', 'text'), ('note', 'text'), ('size', 'int')) a(c, t) FULL JOIN (VALUES ('id', 'bigint'), ('name', 'varchar'), ('size', 'int'), ('made', 'date')) b(c, t) ON a.c = b.c""")
+@query(f"""SELECT coalesce(a.c, b.c) AS column_name, a.t AS left_value, b.t AS right_value, CASE WHEN a.c IS NULL THEN 'added' WHEN b.c IS NULL THEN 'removed' WHEN a.t = b.t THEN 'same' ELSE 'changed' END AS status
+FROM (SELECT c, t FROM ({_SCHEMA}) WHERE table_name = 'customer') a FULL JOIN (SELECT c, t FROM ({_SCHEMA}) WHERE table_name = 'supplier') b ON a.c = b.c""")
 def schema_diff(spark, sf_dir):
-    a = spark.createDataFrame([("id", "bigint"), ("name", "text"), ("note", "text"), ("size", "int")], "column_name string, type string")
-    b = spark.createDataFrame([("id", "bigint"), ("name", "varchar"), ("size", "int"), ("made", "date")], "column_name string, type string")
+    root = F.regexp_replace("column_name", "^[a-z]+_", "")
+    a, b = (columns_of(spark, sf_dir, [t]).select(root.alias("column_name"), "type") for t in ("customer", "supplier"))
     return compare.full_compare(a, b, ["column_name"], "type")
 
 
@@ -102,11 +116,11 @@ def state_values(spark, sf_dir):
     return read(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("state")).agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("n_customers"))
 
 
-@query("""SELECT coalesce(a.s, b.s) AS p_size, CASE WHEN a.s IS NOT NULL AND b.s IS NOT NULL THEN 'both' WHEN a.s IS NOT NULL THEN 'left' ELSE 'right' END AS side
-FROM (SELECT DISTINCT p_size AS s FROM part WHERE p_partkey % 40 = 1) a FULL JOIN (SELECT DISTINCT p_size AS s FROM part WHERE p_partkey % 40 = 2) b ON a.s = b.s""")
+@query("""SELECT coalesce(a.s, b.s) AS o_custkey, CASE WHEN a.s IS NOT NULL AND b.s IS NOT NULL THEN 'both' WHEN a.s IS NOT NULL THEN 'left' ELSE 'right' END AS side
+FROM (SELECT DISTINCT o_custkey AS s FROM orders WHERE o_orderdate < TIMESTAMP '1996-06-01') a FULL JOIN (SELECT DISTINCT o_custkey AS s FROM orders WHERE o_orderdate >= TIMESTAMP '1996-06-01') b ON a.s = b.s""")
 def state_compare(spark, sf_dir):
-    p = read(spark, sf_dir, "part")
-    return compare.side_of(p.where("p_partkey % 40 = 1"), p.where("p_partkey % 40 = 2"), "p_size")
+    o = read(spark, sf_dir, "orders")
+    return compare.side_of(o.where("o_orderdate < TIMESTAMP_NTZ '1996-06-01'"), o.where("o_orderdate >= TIMESTAMP_NTZ '1996-06-01'"), "o_custkey")
 
 
 _OP = "CASE event_id % 4 WHEN 0 THEN 'C' WHEN 1 THEN 'R' WHEN 2 THEN 'U' ELSE 'D' END"
@@ -117,11 +131,11 @@ def crud_matrix(spark, sf_dir):
     return lineage.crud_matrix(read(spark, sf_dir, "events").selectExpr("user_id", f"{_OP} AS op"), "user_id", "op")
 
 
-@query(f"""WITH e AS (SELECT user_id, {_OP} AS op, ts < TIMESTAMP '2024-01-04' AS early, ts >= TIMESTAMP '2024-01-27' AS late FROM events), a AS (SELECT DISTINCT user_id, op FROM e WHERE early), b AS (SELECT DISTINCT user_id, op FROM e WHERE late)
+@query(f"""WITH e AS (SELECT user_id, {_OP} AS op, ts < TIMESTAMP '2024-01-16' AS early, ts >= TIMESTAMP '2024-01-16' AS late FROM events WHERE value > 100), a AS (SELECT DISTINCT user_id, op FROM e WHERE early), b AS (SELECT DISTINCT user_id, op FROM e WHERE late)
 SELECT user_id, op, 'lost' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT user_id, op, 'added' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def crud_compare(spark, sf_dir):
-    e = read(spark, sf_dir, "events").selectExpr("user_id", f"{_OP} AS op", "ts")
-    return lineage.crud_diff(e.where("ts < TIMESTAMP_NTZ '2024-01-04'"), e.where("ts >= TIMESTAMP_NTZ '2024-01-27'"), "user_id", "op")
+    e = read(spark, sf_dir, "events").where("value > 100").selectExpr("user_id", f"{_OP} AS op", "ts")
+    return lineage.crud_diff(e.where("ts < TIMESTAMP_NTZ '2024-01-16'"), e.where("ts >= TIMESTAMP_NTZ '2024-01-16'"), "user_id", "op")
 
 
 @query("SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ROLLUP (c_nationkey, c_mktsegment)")
@@ -188,12 +202,20 @@ def mask_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(masked, 256).alias("masked_hash"), n.alias("n_masked"))
 
 
-@query("""WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 7 <> 0)
-SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' WHEN a.h = b.h THEN 'same' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
+#: documents after a change: some renumbered, some with other text
+_AFTER = "SELECT CASE WHEN doc_id % 7 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END AS text FROM documents"
+
+
+def after(docs):
+    i, t = F.col("doc_id"), F.col("text")
+    return docs.select(F.when(i % 7 == 0, i + 1_000_000_000).otherwise(i).alias("doc_id"), F.when(i % 5 == 0, F.concat(t, F.lit("!"))).otherwise(t).alias("text"))
+
+
+@query(f"""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' WHEN a.h = b.h THEN 'same' ELSE 'changed' END AS status
+FROM (SELECT doc_id, sha256(text) AS h FROM documents) a FULL JOIN (SELECT doc_id, sha256(text) AS h FROM ({_AFTER})) b ON a.doc_id = b.doc_id""")
 def drift_hash(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    a = d.where("doc_id % 3 <> 0").select("doc_id", F.sha2("text", 256).alias("h"))
-    b = d.where("doc_id % 7 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("h"))
+    a, b = (x.select("doc_id", F.sha2("text", 256).alias("h")) for x in (d, after(d)))
     return compare.full_compare(a, b, ["doc_id"], "h").select("doc_id", "status")
 
 
@@ -212,17 +234,19 @@ def interval_overlap(spark, sf_dir):
 
 @query("""SELECT r_name AS path, 1 AS depth FROM region UNION ALL SELECT r_name || ' > ' || n_name, 2 FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def menu_tree(spark, sf_dir):
-    read(spark, sf_dir, "region").createOrReplaceTempView("_menu_region")
-    read(spark, sf_dir, "nation").createOrReplaceTempView("_menu_nation")
-    return spark.sql("""WITH RECURSIVE item AS (SELECT 'r' || r_regionkey AS id, CAST(NULL AS STRING) AS parent, r_name AS name FROM _menu_region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM _menu_nation),
-        tree(id, path, depth) AS (SELECT id, name, 1 FROM item WHERE parent IS NULL UNION ALL SELECT i.id, t.path || ' > ' || i.name, t.depth + 1 FROM item i JOIN tree t ON i.parent = t.id) SELECT path, depth FROM tree""")
+    return spark.sql(
+        """WITH RECURSIVE item AS (SELECT 'r' || r_regionkey AS id, CAST(NULL AS STRING) AS parent, r_name AS name FROM {region} UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM {nation}),
+        tree(id, path, depth) AS (SELECT id, name, 1 FROM item WHERE parent IS NULL UNION ALL SELECT i.id, t.path || ' > ' || i.name, t.depth + 1 FROM item i JOIN tree t ON i.parent = t.id) SELECT path, depth FROM tree""",
+        region=read(spark, sf_dir, "region"),
+        nation=read(spark, sf_dir, "nation"),
+    )
 
 
-@query("""WITH s AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_custkey <= 5), o AS (SELECT 'o' || o_orderkey AS node FROM orders WHERE 'c' || o_custkey IN (SELECT node FROM s)), p AS (SELECT DISTINCT 'p' || l_partkey AS node FROM lineitem WHERE 'o' || l_orderkey IN (SELECT node FROM o))
+@query("""WITH s AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_acctbal < 0), o AS (SELECT 'o' || o_orderkey AS node FROM orders WHERE 'c' || o_custkey IN (SELECT node FROM s)), p AS (SELECT DISTINCT 'p' || l_partkey AS node FROM lineitem WHERE 'o' || l_orderkey IN (SELECT node FROM o))
 SELECT node, 0 AS depth FROM s UNION ALL SELECT node, 1 FROM o UNION ALL SELECT node, 2 FROM p""")
 def graph_closure(spark, sf_dir):
     edges = read(spark, sf_dir, "orders").selectExpr("'c' || o_custkey AS src", "'o' || o_orderkey AS dst").union(read(spark, sf_dir, "lineitem").selectExpr("'o' || l_orderkey AS src", "'p' || l_partkey AS dst"))
-    start = read(spark, sf_dir, "customer").where("c_custkey <= 5").selectExpr("'c' || c_custkey AS node")
+    start = read(spark, sf_dir, "customer").where("c_acctbal < 0").selectExpr("'c' || c_custkey AS node")
     return lineage.reach(edges, start, 2)
 
 
@@ -242,33 +266,38 @@ def scored_match(spark, sf_dir):
     return best.select("o_orderkey", F.col("m.score").alias("best"), F.col("m.n").alias("n_top"))
 
 
-_KNN = "SELECT vec_id, label, round(list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0)), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))), 6) AS distance FROM embeddings"
+_KNN = "SELECT q.vec_id AS query_id, v.vec_id, abs(round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))), 6)) AS distance, v.label, q.label AS ql FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0"
+
 
+def nearest(spark, sf_dir, k, farthest=None):
+    v = read(spark, sf_dir, "embeddings")
+    return retrieval.nearest(v, v.where("vec_id % 20 = 0"), k, farthest)
 
-@query(f"SELECT * FROM ({_KNN}) ORDER BY distance, vec_id LIMIT 5")
+
+@query(f"SELECT query_id, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS r FROM ({_KNN})) WHERE r <= 5")
 def knn_top5(spark, sf_dir):
-    return retrieval.distances(read(spark, sf_dir, "embeddings"), 0).orderBy("distance", "vec_id").limit(5)
+    return nearest(spark, sf_dir, 5)
 
 
-@query(f"SELECT * FROM ({_KNN}) WHERE distance <= 1.4")
+@query(f"SELECT query_id, vec_id, distance FROM ({_KNN}) WHERE distance <= 1.4")
 def knn_threshold(spark, sf_dir):
-    return retrieval.distances(read(spark, sf_dir, "embeddings"), 0).where("distance <= 1.4")
+    return nearest(spark, sf_dir, None, 1.4)
 
 
-@query(f"SELECT vec_id, min(tier) AS tier FROM (SELECT vec_id, 0 AS tier FROM embeddings WHERE label = (SELECT label FROM embeddings WHERE vec_id = 0) UNION ALL SELECT vec_id, 1 FROM ({_KNN}) WHERE distance <= 1.6) GROUP BY 1")
+@query(f"SELECT query_id, vec_id, min(tier) AS tier FROM (SELECT q.vec_id AS query_id, v.vec_id, 0 AS tier FROM embeddings v JOIN embeddings q ON q.label = v.label AND q.vec_id % 20 = 0 UNION ALL SELECT query_id, vec_id, 1 FROM ({_KNN}) WHERE distance <= 1.6) GROUP BY 1, 2")
 def hybrid_lookup(spark, sf_dir):
-    d = retrieval.distances(read(spark, sf_dir, "embeddings"), 0)
-    q = read(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.col("label").alias("ql"))
-    hit = F.when(F.col("label") == F.col("ql"), 0).when(F.col("distance") <= 1.6, 1)
-    return d.crossJoin(F.broadcast(q)).select("vec_id", hit.alias("tier")).where("tier is not null").groupBy("vec_id").agg(F.min("tier").alias("tier"))
+    # by label exactly, then by distance
+    v = read(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    exact = v.select("vec_id", "label").join(asked, "label").select("query_id", "vec_id", F.lit(0).alias("tier"))
+    return exact.union(nearest(spark, sf_dir, None, 1.6).select("query_id", "vec_id", F.lit(1).alias("tier"))).groupBy("query_id", "vec_id").agg(F.min("tier").alias("tier"))
 
 
-@query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS action
-FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 4 <> 0) a FULL JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 6 = 0 THEN upper(lang) || text ELSE text END) AS h FROM documents WHERE doc_id % 9 <> 0) b ON a.doc_id = b.doc_id""")
+@query(f"""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS action
+FROM (SELECT doc_id, sha256(text) AS h FROM documents) a FULL JOIN (SELECT doc_id, sha256(text) AS h FROM ({_AFTER})) b ON a.doc_id = b.doc_id""")
 def incremental_upsert(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    new = d.where("doc_id % 9 <> 0").withColumn("text", F.when(F.col("doc_id") % 6 == 0, F.concat(F.upper("lang"), "text")).otherwise(F.col("text")))
-    return compare.upsert_plan(d.where("doc_id % 4 <> 0"), new, "doc_id", "text")
+    return compare.upsert_plan(d, after(d), "doc_id", "text")
 
 
 @query("SELECT l_partkey, count(*) AS n_refs FROM lineitem GROUP BY 1")
@@ -279,10 +308,7 @@ def ref_ranking(spark, sf_dir):
 @query("""WITH l AS (SELECT doc_id, i AS line_no, t[i] AS line FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents))), h AS (SELECT doc_id, line_no FROM l WHERE contains(line, '@'))
 SELECT DISTINCT l.doc_id, l.line_no, sha256(l.line) AS line_hash, contains(l.line, '@') AS hit FROM l JOIN h ON l.doc_id = h.doc_id AND l.line_no BETWEEN h.line_no - 1 AND h.line_no + 1""")
 def grep_context(spark, sf_dir):
-    lines = F.split("text", "\n")
-    near = lambda at: F.exists(F.slice(F.col("lines"), F.greatest(at, F.lit(1)), F.when(at < 1, 2).otherwise(3)), lambda x: x.contains("@"))
-    rows = read(spark, sf_dir, "documents").where(F.col("text").contains("@")).select("doc_id", lines.alias("lines")).select("doc_id", "lines", F.posexplode("lines").alias("i", "line"))
-    return rows.where(near(F.col("i"))).select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), F.sha2("line", 256).alias("line_hash"), F.col("line").contains("@").alias("hit"))
+    return logs.grep_context(read(spark, sf_dir, "documents"), "doc_id", "text", "@", 1).select("doc_id", "line_no", F.sha2("line", 256).alias("line_hash"), "hit")
 
 
 @query("SELECT event_type, event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events) WHERE r <= 10")
@@ -300,8 +326,53 @@ def synth_rows(spark, sf_dir):
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_windows(spark, sf_dir):
-    w = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
-    return read(spark, sf_dir, "events").groupBy(w.alias("window_start"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    w = F.col("w.start").cast("timestamp_ntz")
+    got = events.collected(events.windows(events.source(spark, f"{sf_dir}/events.parquet"), "1 hour"), "complete", shared_dir(spark))
+    return got.select(w.alias("window_start"), "event_type", "n", "total")
+
+
+@query("SELECT window_start, event_type, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS window_start, event_type FROM events) GROUP BY 1, 2")
+def stream_sliding(spark, sf_dir):
+    got = events.collected(events.windows(events.source(spark, f"{sf_dir}/events.parquet"), "2 hours", "1 hour"), "complete", shared_dir(spark))
+    return got.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query("""WITH e AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS edge FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(edge) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
+SELECT user_id, min(ts) AS begun_at, count(*) AS n FROM r GROUP BY user_id, s""")
+def stream_sessions(spark, sf_dir):
+    got = events.collected(events.sessions(events.source(spark, f"{sf_dir}/events.parquet"), "30 minutes"), "complete", shared_dir(spark))
+    return got.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("begun_at"), "n")
+
+
+@query("SELECT DISTINCT event_id, user_id, event_type FROM events")
+def stream_dedup(spark, sf_dir):
+    stream = events.source(spark, f"{sf_dir}/events.parquet")
+    twice = stream.unionByName(stream)  # every record arrives twice
+    return events.collected(events.first_records(twice, ["event_id"]).select("event_id", "user_id", "event_type"), "append", shared_dir(spark))
+
+
+@query("""WITH c AS (SELECT *, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS call FROM events), g AS (SELECT user_id, CAST(call AS BIGINT) AS call, count(*) AS n FROM c WHERE call > 0 GROUP BY 1, 2)
+SELECT user_id, call, n FROM (SELECT *, max(call) OVER (PARTITION BY user_id) AS last FROM g) WHERE call < last""")
+def stream_calls(spark, sf_dir):
+    return events.collected(events.calls(events.source(spark, f"{sf_dir}/events.parquet")), "append", shared_dir(spark))
+
+
+@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
+def stream_upsert(spark, sf_dir):
+    return events.upsert(events.source(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id"), "user_id", "event_id", shared_dir(spark))
+
+
+@query("SELECT o_orderpriority, count(*) AS n, (SELECT count(DISTINCT o_orderpriority) FROM orders WHERE o_totalprice > 250000) AS total_rows FROM orders WHERE o_totalprice > 250000 GROUP BY 1")
+def gateway_preview(spark, sf_dir):
+    got = gateway.run(spark, "SELECT o_orderpriority, count(*) AS n FROM {orders} WHERE o_totalprice > :least GROUP BY 1", {"least": 250_000}, orders=read(spark, sf_dir, "orders"))
+    return gateway.preview(got, 100)
+
+
+@query("SELECT p_partkey, replace(p_name, ' ', chr(92) || 't') || chr(9) || chr(92) || 'N' || chr(9) || p_brand AS copy_line, CASE WHEN contains(p_name, 'r') THEN '\"' || p_name || ',\"\"x\"\"\"' ELSE p_name END || ',' || p_brand AS csv_line, '| ' || p_name || chr(92) || '|' || p_brand || ' | ' || p_size || ' |' AS markdown_line FROM part")
+def sink_lines(spark, sf_dir):
+    name, brand = F.col("p_name"), F.col("p_brand")
+    quoted = F.when(name.contains("r"), F.concat(name, F.lit(',"x"'))).otherwise(name)
+    return read(spark, sf_dir, "part").select("p_partkey", files.copy_line(F.replace(name, F.lit(" "), F.lit("\t")), F.lit(None), brand).alias("copy_line"), files.csv_line(quoted, brand).alias("csv_line"), files.markdown_line(F.concat(name, F.lit("|"), brand), F.col("p_size")).alias("markdown_line"))
 
 
 from ledgerline import rule_queries, text_queries  # noqa: E402, F401  register their queries
