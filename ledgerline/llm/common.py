@@ -7,16 +7,17 @@ its token everywhere; among 10**9 distinct tokens a collision is expected about
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.shared import shared_dir
+
 U = np.uint64
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
@@ -31,18 +32,11 @@ _WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _powers: list[np.ndarray] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset (tests), a new temporary one."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def lean(df: DataFrame) -> DataFrame:
-    """``df``, with Arrow batches of its session held to ``BATCH_ROWS`` rows and ``BATCH_BYTES``: texts may be long."""
+    """``df``, with Arrow batches of its session held to ``BATCH_ROWS`` rows and ``BATCH_BYTES``: texts may be long.
+
+    The settings stay for the session, since plans run after they are made; smaller batches change no result.
+    """
     conf = df.sparkSession.conf
     rows = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if rows <= 0 or rows > BATCH_ROWS:

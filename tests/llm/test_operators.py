@@ -465,7 +465,8 @@ def test_lm_gradients():
         assert math.isclose((up - down) / 2e-3, np.abs(g[name]).sum(), rel_tol=0.02)
 
 
-def test_exact_dedup_sql(spark):
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op8_ngram_jaccard_join", "op9_embedding_near_dedup"])
+def test_matches_sql(spark, name):
     """The query and its SQL twin give the same rows on driver tables."""
     import os
 
@@ -477,9 +478,10 @@ def test_exact_dedup_sql(spark):
     if not os.path.isdir(sf):
         pytest.skip("driver tables are not here")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    want = con.execute(queries.oracle_sql()["op2_exact_dedup"])
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in want.description]
-    got = queries.queries()["op2_exact_dedup"](spark, sf)
+    got = queries.queries()[name](spark, sf)
     assert got.columns == names
     assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
