@@ -36,12 +36,12 @@ CLASSES = 48  #: classes of those words
 KINDS = 64  #: classes of all other words
 STATE = 16
 WINDOW = 16
-TRAIN_BATCH = 128
+TRAIN_BATCH = 256
 CHUNK = 2048  #: tokens whose probabilities are found at once, small enough for the cache
 ROUNDS = 2
 SCORE_DOCS = 4096  #: texts that are scored side by side
 END = U(0x1D0C5E17AB54A98C)  #: hash of the end token
-RATE = 0.01
+RATE = 0.015
 START = WORDS + KINDS  #: input before a text's first token
 STREAM = 64  #: windows that a task's texts fill before they are learnt
 SHARD = 1 << 20  #: training tokens that one shard holds at least
