@@ -1,0 +1 @@
+"""Scalar functions as column expressions."""

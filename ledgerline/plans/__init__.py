@@ -1,0 +1 @@
+"""Guarded statements."""

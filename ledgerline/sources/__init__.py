@@ -1,0 +1 @@
+"""Readers of files, and lines for writers."""

@@ -1,0 +1 @@
+"""Structured Streaming over event records."""
