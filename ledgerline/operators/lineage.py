@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.shared import shared_dir
+
 OPS = ("C", "R", "U", "D")
 
 
@@ -28,3 +32,28 @@ def reach(edges: DataFrame, start: DataFrame, most_hops: int) -> DataFrame:
         frontier = frontier.select("node").join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(hop))
         seen = seen.unionByName(frontier)
     return seen.groupBy("node").agg(F.min("depth").alias("depth"))
+
+
+def closure(edges: DataFrame, start: DataFrame, stop: DataFrame | None = None, most_hops: int = 1000) -> DataFrame:
+    """(node, depth): all nodes that can be reached, at their least depth; ``stop`` nodes are reached but not left.
+
+    edges: (src, dst); start and stop: (node).  Each hop joins the frontier with the edges, and nodes seen before drop out,
+    so cycles end; hops go on until the frontier is empty.  Every hop is cut from its lineage in the shared folder.
+    """
+    frontier = kept(start.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen = frontier
+    for hop in range(1, most_hops + 1):
+        left = frontier if stop is None else frontier.join(stop.select("node"), "node", "left_anti")
+        step = left.select("node").join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        frontier = kept(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(hop)))
+        if frontier.isEmpty():
+            return seen
+        seen = seen.union(frontier)
+    raise ValueError(f"nodes are still found after {most_hops} hops")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once in the shared folder and read back."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import catalog, logs, ranking, verdicts
+from ledgerline.operators import catalog, intervals, lineage, logs, ranking, verdicts
 from ledgerline.queries import query, read
 from ledgerline.text_queries import log_table
 
@@ -419,3 +419,38 @@ def endpoint_menus(spark, sf_dir):
     calls = read(spark, sf_dir, "events").select(F.when(F.col("user_id") % 2 == 0, F.col("event_type")).otherwise("other").alias("path"))
     menus = read(spark, sf_dir, "events").where("value > 100").select(F.col("event_type").alias("path")).distinct()
     return calls.groupBy("path").agg(F.count("*").alias("n")).join(menus, "path", "left_semi")
+
+
+_BUYERS = "SELECT DISTINCT l_partkey AS k, c_custkey, c_nationkey, o_orderkey, o_orderstatus FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey"
+
+
+def _edges(spark, sf_dir):
+    """Nations to customers, to orders, to parts."""
+    e = read(spark, sf_dir, "customer").selectExpr("'n' || c_nationkey AS src", "'c' || c_custkey AS dst")
+    e = e.union(read(spark, sf_dir, "orders").selectExpr("'c' || o_custkey AS src", "'o' || o_orderkey AS dst"))
+    return e.union(read(spark, sf_dir, "lineitem").selectExpr("'o' || l_orderkey AS src", "'p' || l_partkey AS dst"))
+
+
+@query("""WITH s AS (SELECT 'n' || n_nationkey AS node FROM nation WHERE n_regionkey = 0), c AS (SELECT c_custkey FROM customer WHERE 'n' || c_nationkey IN (SELECT node FROM s)), o AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
+SELECT node, 0 AS depth FROM s UNION ALL SELECT 'c' || c_custkey, 1 FROM c UNION ALL SELECT 'o' || o_orderkey, 2 FROM o UNION ALL SELECT DISTINCT 'p' || l_partkey, 3 FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o WHERE o_orderstatus <> 'F')""")
+def closure_until(spark, sf_dir):
+    start = read(spark, sf_dir, "nation").where("n_regionkey = 0").selectExpr("'n' || n_nationkey AS node")
+    stop = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").selectExpr("'o' || o_orderkey AS node")
+    return lineage.closure(_edges(spark, sf_dir), start, stop)
+
+
+@query(f"SELECT 'n' || c_nationkey AS host, count(DISTINCT k) AS n_parts FROM ({_BUYERS}) JOIN part ON p_partkey = k WHERE p_size > 25 GROUP BY 1")
+def host_screens(spark, sf_dir):
+    # which hosts reach which parts: parts are few beside edges, so pairs go up one level at a time
+    parts = read(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"))
+    pairs = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(parts, "l_partkey", "left_semi").distinct()
+    pairs = pairs.join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").distinct()
+    pairs = pairs.join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "l_partkey").distinct()
+    return pairs.groupBy(F.concat(F.lit("n"), "c_nationkey").alias("host")).agg(F.count("*").alias("n_parts"))
+
+
+@query("SELECT o_orderkey, s_suppkey FROM (SELECT o_orderkey, o_custkey * 3 AS lo, o_custkey * 3 + o_orderkey % 20 AS hi FROM orders) a JOIN (SELECT s_suppkey, s_suppkey * 31 AS lo, s_suppkey * 31 + s_suppkey % 9 AS hi FROM supplier) b ON a.lo <= b.hi AND b.lo <= a.hi")
+def unit_overlap(spark, sf_dir):
+    a = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") * 3).alias("lo"), (F.col("o_custkey") * 3 + F.col("o_orderkey") % 20).alias("hi"))
+    b = read(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 31).alias("lo"), (F.col("s_suppkey") * 31 + F.col("s_suppkey") % 9).alias("hi"))
+    return intervals.overlaps(a, b, 16).select("o_orderkey", "s_suppkey")
