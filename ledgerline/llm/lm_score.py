@@ -37,6 +37,7 @@ KINDS = 64  #: classes of all other words
 STATE = 16
 WINDOW = 16
 TRAIN_BATCH = 256
+SAFE = 60.0  #: logits whose exponents single precision holds, and sums of them
 CHUNK = 2048  #: tokens whose probabilities are found at once, small enough for the cache
 ROUNDS = 2
 SCORE_DOCS = 4096  #: texts that are scored side by side
@@ -140,6 +141,13 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(head["h"].to_numpy(np.int64), head["c"].to_numpy(np.int64), head["kind"].to_numpy(np.int64), m, int(sum(r["c"] for r in mass)), int(sum(r["n"] for r in mass)))
 
 
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    """States as columns, with a last row of ones that biases meet."""
+    out = np.ones((h.shape[1] + 1, len(h)), h.dtype)
+    out[:-1] = h.T
+    return out
+
+
 class Network:
     """Parameters: e (inputs), u (state), wc/bc (classes), ww/bw (words within classes)."""
 
@@ -181,34 +189,38 @@ class Network:
         """The class of each target."""
         return np.where(y < WORDS, self.cls[np.minimum(y, len(self.cls) - 1)] if len(self.cls) else 0, y - WORDS + CLASSES)
 
+    def _stacked(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Weights of classes and words with their biases as a last row or column, and whether all logits lie within
+        ``SAFE``: then exponents need no shift, as states lie within 1."""
+        wc, ww = np.concatenate([self.w["wc"], self.w["bc"][None]]), np.concatenate([self.w["ww"], self.w["bw"][:, None]], axis=1)
+        return wc, ww, max(np.abs(wc).sum(axis=0).max(), np.abs(ww).sum(axis=1).max()) < SAFE
+
     def log_p(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """ln of the probability of the class of each target, times that within the class for learnt words."""
-        out = np.empty(len(y), np.float32)
+        out, stacked = np.empty(len(y), np.float32), self._stacked()
         for at in range(0, len(y), CHUNK):
-            self._log_p(h[at : at + CHUNK], y[at : at + CHUNK], out[at : at + CHUNK])
+            self._log_p(h[at : at + CHUNK], y[at : at + CHUNK], out[at : at + CHUNK], *stacked)
         return out
 
-    def _log_p(self, h: np.ndarray, y: np.ndarray, out: np.ndarray) -> None:
+    def _log_p(self, h: np.ndarray, y: np.ndarray, out: np.ndarray, wc: np.ndarray, ww: np.ndarray, safe: bool) -> None:
         # tokens lie along the last axis throughout, sorted by class: sums over words then run over whole rows
         k = self._kinds(y)
         order = np.argsort(k, kind="stable")
-        k, y, ht = k[order], y[order], np.ascontiguousarray(h[order].T)
-        logits = self.w["wc"].T @ ht
-        logits += self.w["bc"][:, None]
+        k, y, ht = k[order], y[order], _with_ones(h[order])
+        logits = wc.T @ ht
+        if not safe:
+            logits -= logits.max(axis=0)
         got = logits[k, np.arange(len(y))]
-        top = logits.max(axis=0)
-        logits -= top
-        got -= top + np.log(np.exp(logits, out=logits).sum(axis=0))
+        got -= np.log(np.exp(logits, out=logits).sum(axis=0))
         cuts = np.searchsorted(k, np.arange(CLASSES + 1))
         for c in range(CLASSES):
             lo, hi, a, z = cuts[c], cuts[c + 1], self.first[c], self.first[c + 1]
             if hi > lo and z - a > 1:
-                l = self.w["ww"][a:z] @ ht[:, lo:hi]
-                l += self.w["bw"][a:z, None]
+                l = ww[a:z] @ ht[:, lo:hi]
+                if not safe:
+                    l -= l.max(axis=0)
                 own = l[y[lo:hi] - a, np.arange(hi - lo)]
-                top = l.max(axis=0)
-                l -= top
-                got[lo:hi] += own - top - np.log(np.exp(l, out=l).sum(axis=0))
+                got[lo:hi] += own - np.log(np.exp(l, out=l).sum(axis=0))
         out[order] = got
 
     def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, h0: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -222,12 +234,13 @@ class Network:
         order = np.argsort(k, kind="stable")
         flat, k, yf = flat[order], k[order], yf[order]
         hf = hs.reshape(-1, STATE)[flat]
-        ht = np.ascontiguousarray(hf.T)
-        p = self.w["wc"].T @ ht
-        p += self.w["bc"][:, None]
-        p -= p.max(axis=0)
+        ht = _with_ones(hf)
+        wc, ww, safe = self._stacked()
+        p = wc.T @ ht
+        if not safe:
+            p -= p.max(axis=0)
         np.exp(p, out=p)
-        p /= p.sum(axis=0) * n
+        p *= 1 / (p.sum(axis=0) * n)
         p[k, np.arange(len(yf))] -= 1 / n
         g = {"wc": (p @ hf).T, "bc": p.sum(axis=1), "ww": np.zeros_like(self.w["ww"]), "bw": np.zeros_like(self.w["bw"])}
         dh = self.w["wc"] @ p
@@ -235,15 +248,14 @@ class Network:
         for c in range(CLASSES):
             lo, hi, a, z = cuts[c], cuts[c + 1], self.first[c], self.first[c + 1]
             if hi > lo and z - a > 1:
-                ww = self.w["ww"][a:z]
-                q = ww @ ht[:, lo:hi]
-                q += self.w["bw"][a:z, None]
-                q -= q.max(axis=0)
+                q = ww[a:z] @ ht[:, lo:hi]
+                if not safe:
+                    q -= q.max(axis=0)
                 np.exp(q, out=q)
-                q /= q.sum(axis=0) * n
+                q *= 1 / (q.sum(axis=0) * n)
                 q[yf[lo:hi] - a, np.arange(hi - lo)] -= 1 / n
                 g["ww"][a:z], g["bw"][a:z] = q @ hf[lo:hi], q.sum(axis=1)
-                dh[:, lo:hi] += ww.T @ q
+                dh[:, lo:hi] += self.w["ww"][a:z].T @ q
         full = np.zeros((hs.shape[0] * hs.shape[1], STATE), np.float32)
         full[flat] = dh.T
         full = full.reshape(hs.shape)

@@ -421,6 +421,20 @@ def test_lm_probabilities():
     assert np.allclose(rare, v.mass)
 
 
+def test_lm_large_logits(monkeypatch):
+    """Logits beyond what exponents hold give the same probabilities as small ones, shifted or not."""
+    rng = np.random.default_rng(9)
+    kind = rng.integers(0, lm_score.KINDS, 300)
+    c = np.arange(300, 0, -1)
+    v = lm_score.Vocabulary(np.arange(300), c, kind, np.bincount(kind, c + 1.0, lm_score.KINDS), int(c.sum()), 300)
+    net, h, y = lm_score.Network(v), rng.uniform(-1, 1, (40, lm_score.STATE)).astype(np.float32), rng.integers(0, 300, 40)
+    plain = net.log_p(h, y)
+    monkeypatch.setattr(lm_score, "SAFE", 0.0)
+    assert np.allclose(plain, net.log_p(h, y), atol=1e-4)
+    net.w["bc"] = net.w["bc"] + np.float32(500)
+    assert np.allclose(plain, net.log_p(h, y), atol=1e-3)
+
+
 def test_lm_state_is_carried():
     """Windows of any width give a text the same probability."""
     rng = np.random.default_rng(2)
