@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import dedup, embedding_dedup, html_text, licenses, lm_score, mixing, ngram_join, packing, token_counts, toxicity
+from ledgerline.llm import conversations, dedup, embedding_dedup, filter_audit, html_text, licenses, lm_score, mixing, ngram_join, packing, token_counts, toxicity, weighted_sampling
 from ledgerline.llm.common import crc_mod
 
 TOKENIZER = "word_bpe_49k.json"
@@ -69,6 +69,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.fingerprints(_read(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(_read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_score": op1_lm_score,
@@ -81,6 +93,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_token_counts": op10_token_counts,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_document_fingerprints": op12_document_fingerprints,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
@@ -105,4 +120,28 @@ def oracle_sql() -> dict[str, str]:
             l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
             r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
             SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY 1) LEFT JOIN (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY 1) USING (vec_id)""",
+        "op11_filter_audit": r"""
+            WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+            w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+            e AS (SELECT t, min(doc_id) AS least FROM d GROUP BY 1),
+            g AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
+            f AS (SELECT part, (g.quality = 1) IS TRUE AS good, (g.toxic = 1) IS TRUE AS bad,
+                    [x.l FOR x IN [{'l': 'A', 'f': len(w) < 200}, {'l': 'B', 'f': 100 * len(list_distinct(w)) < 50 * len(w)},
+                      {'l': 'C', 'f': 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t)}, {'l': 'D', 'f': regexp_matches(t, '[#$%&*|]')},
+                      {'l': 'E', 'f': coalesce(w.doc_id > e.least, false)}] IF x.f] AS m
+                  FROM w JOIN e USING (t) LEFT JOIN g ON g.doc_id = w.doc_id),
+            c AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f GROUP BY 1, 2),
+            l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+            o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+            s AS (SELECT part, filter_order, step, filter_order[step] AS x, string_split(filter_order[1:step - 1], '') AS prior FROM (SELECT DISTINCT part FROM d), o, range(1, 6) r(step)),
+            r AS (SELECT s.part, s.filter_order, s.step, s.x,
+                    coalesce(sum(n) FILTER (NOT list_contains(m, x) AND NOT list_has_any(m, prior)), 0) AS kept,
+                    coalesce(sum(n) FILTER (list_contains(m, x) AND NOT list_has_any(m, prior)), 0) AS removed,
+                    coalesce(sum(n) FILTER (list_contains(m, x) AND list_has_any(m, prior)), 0) AS redundant,
+                    coalesce(sum(n) FILTER (m = [x]), 0) AS unique_fails,
+                    coalesce(sum(good) FILTER (list_contains(m, x) AND NOT list_has_any(m, prior)), 0) AS good_lost,
+                    coalesce(sum(bad) FILTER (list_contains(m, x) AND NOT list_has_any(m, prior)), 0) AS toxic_lost
+                  FROM s JOIN c ON c.part = s.part GROUP BY 1, 2, 3, 4)
+            SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+                   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM r""",
     }
