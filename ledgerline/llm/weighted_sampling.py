@@ -69,20 +69,20 @@ def draws(place: int) -> tuple[str, str, str]:
     return f"(-ln({unit(one, 0, 21)} * {unit(one, 21, 21)}))", f"ln(-ln({unit(two, 0, 32)} * {unit(two, 32, 32)}))", f"({unit(one, 42, 22)})"
 
 
-def sampled(terms: DataFrame, by: list[str], weights: list[str], samples: int = SAMPLES) -> DataFrame:
-    """``by`` and, for each column of ``weights`` (0: the term is absent), an array of 32-bit samples under the column's name.
-
-    terms: one row per term (a long ``term``) of what ``by`` names.
-    """
-    logs = terms.select(*by, "term", *[F.expr(f"CASE WHEN {w} > 0 THEN ln({w}) END AS _log_{w}") for w in weights])
+def sampled(terms: DataFrame, by: list[str], samples: int = SAMPLES) -> DataFrame:
+    """``by`` and the least ln a of each place, p0, p1 ...; terms: rows of ``by``, a long ``term`` and its ``weight`` (0: no term)."""
+    logs = terms.select(*by, "term", F.expr("CASE WHEN weight > 0 THEN ln(weight) END AS log_w"))
     least = []
     for k in range(samples):
         r, log_c, b = draws(k)
-        least += [F.expr(f"min({log_c} - {r} * (floor(_log_{w} / {r} + {b}) - {b} + 1D)) AS _{w}_{k}") for w in weights]
-    slots = lambda w: F.expr("array(" + ", ".join(f"coalesce(cast(xxhash64(_{w}_{k}) & 4294967295L AS bigint), 0L)" for k in range(samples)) + f") AS {w}")
-    none = lambda w: F.expr(f"CASE WHEN _{w}_0 IS NULL THEN array_repeat(0L, {samples}) ELSE {w} END AS {w}")
-    found = logs.groupBy(*by).agg(*least)
-    return found.select(*by, *[slots(w) for w in weights], *[f"_{w}_0" for w in weights]).select(*by, *[none(w) for w in weights])
+        # a weight of 1 always has t = 0
+        least.append(F.expr(f"min({log_c} - if(log_w = 0D, {r} * (1D - {b}), {r} * (floor(log_w / {r} + {b}) - {b} + 1D)) + log_w * 0D) AS p{k}"))
+    return logs.groupBy(*by).agg(*least)
+
+
+def places(least: list[str]) -> Column:
+    """An array of 32 bits a place from the columns of least values; all 0 without terms."""
+    return F.expr("array(" + ", ".join(f"if({p} IS NULL, 0L, xxhash64({p}) & 4294967295L)" for p in least) + ")")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -99,14 +99,18 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """A row per row of ``docs``: fingerprints of its text and of its edited text, and their likenesses."""
     order = cut(neighbours(docs))
     texts = edited(docs, order)
-    both = texts.select("id", "key", F.sha2("edited", 256).alias("edited_sha256"), F.split("text", SPACE).alias("own"), F.split("edited", SPACE).alias("changed"))
+    both = texts.select("id", "key", F.split("text", SPACE).alias("own"), F.split("edited", SPACE).alias("changed"))
     # every text splits into one piece at least, so each document has rows; an empty piece is no term, but keeps its document
-    words = both.select("id", "key", "edited_sha256", F.size("own").alias("n_own"), F.posexplode(F.concat("own", "changed")).alias("at", "word"))
-    words = words.select("id", "key", "edited_sha256", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"), (F.col("at") < F.col("n_own")).alias("is_own"))
-    own = F.sum(F.when(F.col("is_own") & F.col("term").isNotNull(), 1).otherwise(0)).alias("fingerprint")
-    new = F.sum(F.when(~F.col("is_own") & F.col("term").isNotNull(), 1).otherwise(0)).alias("edited_fingerprint")
-    terms = words.groupBy("id", "key", "edited_sha256", "term").agg(own, new)
-    found = cut(sampled(terms, ["id", "key", "edited_sha256"], ["fingerprint", "edited_fingerprint"], samples))
+    words = both.select("id", "key", F.size("own").alias("n_own"), F.posexplode(F.concat("own", "changed")).alias("at", "word"))
+    words = words.select("id", "key", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"), (F.col("at") < F.col("n_own")).alias("is_own"))
+    count = lambda which: F.sum(F.when(which & F.col("term").isNotNull(), 1).otherwise(0))
+    terms = words.groupBy("id", "key", "term").agg(count(F.col("is_own")).alias("own"), count(~F.col("is_own")).alias("new"))
+    # a term that weighs the same in both texts is sampled once
+    sides = "CASE WHEN own = new THEN array(struct('both' AS side, own AS weight)) ELSE array(struct('own' AS side, own AS weight), struct('new' AS side, new AS weight)) END"
+    least = sampled(terms.select("id", "key", "term", F.expr(f"inline({sides})")), ["id", "key", "side"], samples)
+    each = least.groupBy("id", "key").agg(*[F.min(F.when(F.col("side") != other, F.col(f"p{k}"))).alias(f"{name}{k}") for name, other in (("a", "new"), ("b", "own")) for k in range(samples)])
+    found = each.select("id", "key", *[places([f"{name}{k}" for k in range(samples)]).alias(to) for name, to in (("a", "fingerprint"), ("b", "edited_fingerprint"))])
+    found = cut(found.join(texts.select("id", "key", F.sha2("edited", 256).alias("edited_sha256")), ["id", "key"]))
     after = found.select(F.col("id").alias("next_id"), F.col("key").alias("next_key"), F.col("fingerprint").alias("next_fingerprint"))
     rows = order.join(found, ["id", "key"]).join(after, ["next_id", "next_key"]).withColumn("copy", F.explode(F.expr("sequence(1L, n)")))
     return rows.select(
