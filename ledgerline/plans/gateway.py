@@ -5,32 +5,57 @@ from __future__ import annotations
 import re
 from typing import Any
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: fixed values: first words of statements that read
-READS = ("select", "with", "values", "table", "show", "describe", "explain")
-#: fixed values: words that write or change something, wherever a statement holds them outside quotes and comments
-WRITES = ("insert", "update", "delete", "merge", "truncate", "drop", "alter", "create", "grant", "revoke", "call", "refresh", "cache", "uncache", "load", "set", "reset", "use", "msck", "analyze", "optimize", "vacuum", "copy")
-_QUIET = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", re.S)
+#: fixed values: first words of queries, and of statements that only describe
+QUERIES = ("select", "with", "values", "table")
+DESCRIBES = ("show", "describe", "desc", "explain")
+#: fixed values: functions that call anything by name, and the clause that makes names from text; refused wherever they stand
+REFUSED = re.compile(r"\b(reflect|try_reflect|java_method)\b|\bidentifier\b[\s`]*\(", re.I)
+#: fixed values: plan nodes that run programs
+RUNS_PROGRAMS = re.compile(r"^[\s:|+\-]*'?ScriptTransformation\b", re.M)
+_FILES = "spark.sql.runSQLOnFiles"
 
 
-def check_read_only(statement: str) -> None:
-    """Raise unless the text is one statement that only reads."""
-    plain = _QUIET.sub(" ", statement).strip().rstrip(";").strip().lower()
-    words = re.findall(r"[a-z_]+", plain)
-    if ";" in plain:
-        raise ValueError("more than one statement")
-    if not words or words[0] not in READS:
+def _first_word(statement: str) -> str:
+    """The first word, lower case, behind white space, comments and parentheses."""
+    text = re.sub(r"^(?:\s|\(|--[^\n]*(?:\n|$)|/\*.*?\*/)*", "", statement, flags=re.S)
+    return (re.match(r"[A-Za-z_]*", text) or [""])[0].lower()
+
+
+def check_read_only(spark: SparkSession, statement: str, args: dict[str, Any] | None = None, **tables: DataFrame) -> None:
+    """Raise ``ValueError`` unless the text is one statement that only reads.  Nothing runs.
+
+    A statement is read by Spark's own parser, as the subquery of another, where no grammar lets it write: no reading of
+    quotes and comments here decides.  Files as tables are refused, and so are functions and clauses that run any code by its name.
+    """
+    plain = statement.strip().rstrip(";").rstrip()
+    if found := REFUSED.search(plain):
+        raise ValueError(f"a statement that reads may not hold {found[0].strip('( `')}")
+    if re.match(rf"({'|'.join(DESCRIBES)})\b", plain, re.I):
+        if ";" in plain:
+            raise ValueError("more than one statement, or a semicolon within one that describes")
+        return
+    if _first_word(plain) not in QUERIES:
         raise ValueError("not a statement that reads")
-    if found := sorted(set(words) & set(WRITES)):
-        raise ValueError(f"a statement that reads holds {', '.join(found)}")
+    before = spark.conf.get(_FILES)
+    spark.conf.set(_FILES, "false")
+    try:
+        analysed = spark.sql(f"SELECT * FROM (\n{plain}\n)", args=args or {}, **tables)._jdf.queryExecution().analyzed().toString()
+    except ParseException as e:
+        raise ValueError(f"not one statement that reads: {str(e).splitlines()[0][:200]}") from e
+    finally:
+        spark.conf.set(_FILES, before)
+    if RUNS_PROGRAMS.search(analysed):
+        raise ValueError("a statement that reads may not run a program")
 
 
 def run(spark: SparkSession, statement: str, args: dict[str, Any] | None = None, **tables: DataFrame) -> DataFrame:
     """The result of a read-only statement; ``:name`` takes arguments as literals, ``{table}`` names DataFrames."""
-    check_read_only(statement)
-    return spark.sql(statement, args=args or {}, **tables)
+    check_read_only(spark, statement, args, **tables)
+    return spark.sql(statement.strip().rstrip(";"), args=args or {}, **tables)
 
 
 def preview(df: DataFrame, most: int) -> DataFrame:

@@ -44,13 +44,13 @@ def test_dbml(spark):
 
 
 @pytest.mark.parametrize("statement", ["DELETE FROM t", "SELECT 1; DROP TABLE t", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "", "-- SELECT\nUPDATE t SET a = 1"])
-def test_gateway_refuses(statement):
+def test_gateway_refuses(spark, statement):
     with pytest.raises(ValueError):
-        gateway.check_read_only(statement)
+        gateway.check_read_only(spark, statement)
 
 
 def test_gateway(spark):
-    gateway.check_read_only("SELECT 'drop; it' AS x -- delete\n;")
+    gateway.check_read_only(spark, "SELECT 'drop; it' AS x -- delete\n;")
     df = gateway.run(spark, "SELECT id FROM {t} WHERE id > :least", {"least": 6}, t=spark.range(10))
     assert [tuple(r) for r in gateway.preview(df.orderBy("id"), 2).collect()] == [(7, 3), (8, 3)]
     assert gateway.scalar(gateway.run(spark, "SELECT count(*) FROM {t}", t=spark.range(4))) == 4
