@@ -82,7 +82,7 @@ def sampled(terms: DataFrame, by: list[str], samples: int = SAMPLES) -> DataFram
 
 def places(least: list[str]) -> Column:
     """An array of 32 bits a place from the columns of least values; all 0 without terms."""
-    return F.expr("array(" + ", ".join(f"if({p} IS NULL, 0L, xxhash64({p}) & 4294967295L)" for p in least) + ")")
+    return F.expr("array(" + ", ".join(f"if({p} IS NULL, 0, cast(shiftright(xxhash64({p}), 32) AS int))" for p in least) + ")")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -92,7 +92,7 @@ def likeness(a: str, b: str) -> Column:
 
 def written(samples: Column) -> Column:
     """A fingerprint as text: eight hexadecimal digits a place."""
-    return F.array_join(F.transform(samples, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    return F.array_join(F.transform(samples, lambda x: F.lower(F.right(F.lpad(F.hex(x.cast("long")), F.lit(16), F.lit("0")), F.lit(8)))), "")
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
