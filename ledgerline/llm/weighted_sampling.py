@@ -7,8 +7,8 @@ with a probability of their generalised Jaccard similarity, sum(min) / sum(max)
 term and t alone, the least value stands for them: a place keeps 32 bits of its hash.
 
 Texts shuffle once by (doc_id, hash of the text), where repeated rows collapse before the shuffle; what a neighbour's text lends
-to an edited one shuffles besides.  Words are counted and sampled where their text lies: a word that both texts hold draws once for
-both.  The order of documents is found by ranges of ids and their ends, never in one task.
+to an edited one shuffles besides.  Words are counted and sampled where their text lies: those before the change are read once for
+both texts, and a word that weighs the same in both draws once.  The order of documents is found by ranges of ids and their ends, never in one task.
 
 Cases: a null text counts as empty; a null doc_id comes first; documents that share a doc_id follow each other by the hash of
 their texts; rows alike in doc_id and text are one document, returned once a row; texts without words are alike (all places 0)
@@ -53,13 +53,17 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame, order: DataFrame, part: int = 4) -> DataFrame:
-    """(id, key, text, edited): the last floor(n_chars / part) code points replaced by the next document's first ones."""
+    """(id, key, text, edited, shared): the last floor(n_chars / part) code points replaced by the next document's first ones.
+
+    shared: how many code points both have in common up to the last white space before the change, so that no word crosses it.
+    """
     texts = _keyed(docs).groupBy("id", "key").agg(F.any_value("text").alias("text"))
     taken = F.floor(F.col("n_chars") / part).cast("int")
     lent = order.select(F.col("next_id").alias("id"), F.col("next_key").alias("key"), F.col("id").alias("to_id"), F.col("key").alias("to_key"), taken.alias("taken"))
     pieces = texts.join(lent, ["id", "key"]).select(F.col("to_id").alias("id"), F.col("to_key").alias("key"), F.expr("substring(text, 1, taken)").alias("piece"))
     left = F.expr(f"substring(text, 1, length(text) - cast(floor(length(text) / {part}) AS int))")
-    return texts.join(pieces, ["id", "key"]).select("id", "key", "text", F.concat(left, F.col("piece")).alias("edited"))
+    shared = F.length(F.regexp_extract(left, r"(?s)^.*[\x20\x09-\x0D]", 0))
+    return texts.join(pieces, ["id", "key"]).select("id", "key", "text", F.concat(left, F.col("piece")).alias("edited"), shared.alias("shared"))
 
 
 def draws(place: int) -> tuple[str, str, str]:
@@ -99,16 +103,17 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """A row per row of ``docs``: fingerprints of its text and of its edited text, and their likenesses."""
     order = cut(neighbours(docs))
     texts = edited(docs, order)
-    both = texts.select("id", "key", F.split("text", SPACE).alias("own"), F.split("edited", SPACE).alias("changed"))
+    pieces = {"both": "substring(text, 1, shared)", "own": "substring(text, shared + 1)", "new": "substring(edited, shared + 1)"}
+    split = texts.select("id", "key", *[F.split(F.expr(of), SPACE).alias(name) for name, of in pieces.items()])
     # every text splits into one piece at least, so each document has rows; an empty piece is no term, but keeps its document
-    words = both.select("id", "key", F.size("own").alias("n_own"), F.posexplode(F.concat("own", "changed")).alias("at", "word"))
-    words = words.select("id", "key", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"), (F.col("at") < F.col("n_own")).alias("is_own"))
-    count = lambda which: F.sum(F.when(which & F.col("term").isNotNull(), 1).otherwise(0))
-    terms = words.groupBy("id", "key", "term").agg(count(F.col("is_own")).alias("own"), count(~F.col("is_own")).alias("new"))
+    words = split.select("id", "key", F.size("both").alias("n_both"), (F.size("both") + F.size("own")).alias("n_own"), F.posexplode(F.concat(*pieces)).alias("at", "word"))
+    is_term, at = F.col("word") != "", F.col("at")
+    words = words.select("id", "key", F.when(is_term, F.xxhash64("word")).alias("term"), (is_term & (at < F.col("n_own"))).cast("int").alias("own"), (is_term & ((at < F.col("n_both")) | (at >= F.col("n_own")))).cast("int").alias("new"))
+    terms = words.groupBy("id", "key", "term").agg(F.sum("own").alias("own"), F.sum("new").alias("new"))
     # a term that weighs the same in both texts is sampled once
-    sides = "CASE WHEN own = new THEN array(struct('both' AS side, own AS weight)) ELSE array(struct('own' AS side, own AS weight), struct('new' AS side, new AS weight)) END"
+    sides = "CASE WHEN own = new THEN array(struct(0 AS side, own AS weight)) ELSE array(struct(1 AS side, own AS weight), struct(2 AS side, new AS weight)) END"
     least = sampled(terms.select("id", "key", "term", F.expr(f"inline({sides})")), ["id", "key", "side"], samples)
-    each = least.groupBy("id", "key").agg(*[F.min(F.when(F.col("side") != other, F.col(f"p{k}"))).alias(f"{name}{k}") for name, other in (("a", "new"), ("b", "own")) for k in range(samples)])
+    each = least.groupBy("id", "key").agg(*[F.min(F.when(F.col("side") != other, F.col(f"p{k}"))).alias(f"{name}{k}") for name, other in (("a", 2), ("b", 1)) for k in range(samples)])
     found = each.select("id", "key", *[places([f"{name}{k}" for k in range(samples)]).alias(to) for name, to in (("a", "fingerprint"), ("b", "edited_fingerprint"))])
     found = cut(found.join(texts.select("id", "key", F.sha2("edited", 256).alias("edited_sha256")), ["id", "key"]))
     after = found.select(F.col("id").alias("next_id"), F.col("key").alias("next_key"), F.col("fingerprint").alias("next_fingerprint"))
