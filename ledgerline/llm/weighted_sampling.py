@@ -68,7 +68,7 @@ def edited(docs: DataFrame, order: DataFrame, part: int = 4) -> DataFrame:
 
 def draws(place: int) -> tuple[str, str, str]:
     """SQL of r, ln c and b of the column ``term`` at a place."""
-    one, two = f"xxhash64(term, {2 * place})", f"xxhash64(term, {2 * place + 1})"
+    one, two = (f"xxhash64(term ^ {(2 * place + i) * 0x9E3779B97F4A7C15 % (1 << 63)}L)" for i in (1, 2))
     unit = lambda h, shift, bits: f"((shiftrightunsigned({h}, {shift}) & {(1 << bits) - 1}L) + 0.5D) * {2.0 ** -bits!r}D"
     return f"(-ln({unit(one, 0, 21)} * {unit(one, 21, 21)}))", f"ln(-ln({unit(two, 0, 32)} * {unit(two, 32, 32)}))", f"({unit(one, 42, 22)})"
 

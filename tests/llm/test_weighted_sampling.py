@@ -20,9 +20,8 @@ def signed(x):
 
 
 
-def hash_ints(value, place):
-    h = xxhash.xxh64(int(value).to_bytes(8, "little", signed=True), seed=42).intdigest()
-    return xxhash.xxh64(int(place).to_bytes(4, "little", signed=True), seed=h).intdigest()
+def hash_at(term, number):
+    return xxhash.xxh64(int(term ^ (number * 0x9E3779B97F4A7C15 % (1 << 63))).to_bytes(8, "little", signed=True), seed=42).intdigest()
 
 
 def samples(text, n):
@@ -33,7 +32,7 @@ def samples(text, n):
     for k in range(n):
         best = None
         for w, count in weights.items():
-            one, two = hash_ints(terms[w], 2 * k), hash_ints(terms[w], 2 * k + 1)
+            one, two = hash_at(terms[w], 2 * k + 1), hash_at(terms[w], 2 * k + 2)
             unit = lambda h, shift, bits: (((h >> shift) & ((1 << bits) - 1)) + 0.5) / 2**bits
             r, c, b = -math.log(unit(one, 0, 21) * unit(one, 21, 21)), -math.log(unit(two, 0, 32) * unit(two, 32, 32)), unit(one, 42, 22)
             t = math.floor(math.log(count) / r + b)
@@ -98,12 +97,19 @@ def test_against_plain_python(spark):
 
 
 def test_collision_rate_is_generalised_jaccard(spark):
+    """Pairs hold words of their own, so that errors are independent: 4 standard errors for each, 3 for their mean."""
     rng = random.Random(9)
-    words = [f"w{i}" for i in range(400)]
-    rows = [(i, " ".join(rng.choice(words[i * 3 : i * 3 + 120]) for _ in range(400))) for i in range(40)]
-    got = {r["doc_id"]: r for r in ws.fingerprints(spark.createDataFrame([(*r, "", "", "") for r in rows], SCHEMA), 256).collect()}
-    errors = [got[i]["near_next"] - generalised(rows[i][1], rows[i + 1][1]) for i in range(39)]
-    assert max(map(abs, errors)) < 0.14 and abs(sum(errors) / len(errors)) < 0.02
+    n, pairs = 128, 60
+    rows = []
+    for p in range(pairs):
+        words = [f"p{p}w{i}" for i in range(60)]
+        rows += [(2 * p + j, " ".join(w for w in words for _ in range(rng.randint(0, 5)))) for j in range(2)]
+    got = {r["doc_id"]: r for r in ws.fingerprints(spark.createDataFrame([(*r, "", "", "") for r in rows], SCHEMA), n).collect()}
+    errors = []
+    for p in range(pairs):
+        like = generalised(rows[2 * p][1], rows[2 * p + 1][1])
+        errors.append((got[2 * p]["near_next"] - like) / math.sqrt(like * (1 - like) / n))
+    assert max(map(abs, errors)) < 4 and abs(sum(errors) / pairs) < 3 / math.sqrt(pairs)
 
 
 def test_no_documents_and_one(spark):
