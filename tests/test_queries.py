@@ -15,7 +15,16 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    clean = lambda x: None if x is None or (not isinstance(x, (list, dict)) and pd.isna(x)) else round(float(x), 4) if isinstance(x, float) or hasattr(x, "dtype") and getattr(x, "dtype").kind == "f" else str(pd.Timestamp(x)) if hasattr(x, "year") else int(x) if hasattr(x, "dtype") and x.dtype.kind in "iu" else x
+    def clean(x):
+        if x is None or (not isinstance(x, (list, dict)) and not hasattr(x, "__len__") and pd.isna(x)):
+            return None
+        if isinstance(x, float) or getattr(getattr(x, "dtype", None), "kind", "") == "f":
+            x = round(float(x), 4)
+            return int(x) if x == int(x) else x  # a column of whole numbers with nulls
+        if hasattr(x, "year"):
+            return str(pd.Timestamp(x))
+        return int(x) if getattr(getattr(x, "dtype", None), "kind", "") in ("i", "u") else x
+
     return sorted((tuple(clean(x) for x in r) for r in df.itertuples(index=False)), key=str)
 
 
