@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerline.functions import text
+from ledgerline.operators import ordered
 
 EMAIL = r"[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
@@ -50,7 +51,7 @@ def error_report(df: DataFrame, level: str, logger: str, message: str, at: str,
     return at_least(df, level, least).groupBy(level, logger, key.alias("key")).agg(F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count_distinct(trace).alias("n_traces"), F.min(order).alias("sample_id"))
 
 
-LEVELS = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR")
+LEVELS = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR")  #: fixed values, from light to grave
 
 
 def at_least(df: DataFrame, level: str, least: str) -> DataFrame:
@@ -58,19 +59,21 @@ def at_least(df: DataFrame, level: str, least: str) -> DataFrame:
     return df.where(F.col(level).isin(*LEVELS[LEVELS.index(least.upper()) :]))
 
 
-#: ts [trace] [tenant] [user] [ip] [thread] LEVEL logger - message
+#: fixed value, the format of a log line: ts [trace] [tenant] [user] [ip] [thread] LEVEL logger - message; any level of capitals
+#: and any number of spaces are let in, so that a level of another name begins a record too
 HEADER = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) \[([^\]]*)\] \[([^\]]*)\] \[([^\]]*)\] \[([^\]]*)\] \[([^\]]*)\] +([A-Z]+) +(\S+) +- ?(.*)$"
 
 
 def records(lines: DataFrame, file: str, number: str, line: str) -> DataFrame:
     """Log records from numbered lines: a line without a header continues the record before it in its file.
 
-    Files are cut into chunks where a header stands in the data anyway: a running count of headers numbers the records,
-    so that no file is gathered by more than a sort.  Lines before a file's first header are left out.
+    A running count of headers over ranges of lines numbers the records, so a file of any size is read by as many tasks as
+    it has ranges; only the lines of one record meet.  Lines before a file's first header are left out; a null line continues
+    a record as an empty one.
     """
-    head = F.rlike(F.col(line), F.lit(HEADER))
-    w = Window.partitionBy(file).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
-    part = lines.withColumn("_head", head).withColumn("record", F.sum(F.when(F.col("_head"), 1).otherwise(0)).over(w)).where("record > 0")
+    text_of = F.coalesce(F.col(line), F.lit("")).alias(line)
+    rows = ordered.in_ranges(lines.select(file, number, text_of).withColumn("_head", F.rlike(F.col(line), F.lit(HEADER))), [file], [number])
+    part = ordered.running(rows, [file], "record", F.when(F.col("_head"), 1).otherwise(0)).where("record > 0")
     folded = part.groupBy(file, "record").agg(F.max(F.when(F.col("_head"), F.col(line))).alias("_first"), F.array_sort(F.collect_list(F.when(~F.col("_head"), F.struct(F.col(number).alias("n"), F.col(line).alias("l"))))).alias("_rest"))
     got = lambda i: F.nullif(F.nullif(F.regexp_extract("_first", HEADER, i), F.lit("-")), F.lit("SYSTEM"))
     names = {2: "trace", 3: "tenant", 4: "user", 5: "ip", 6: "thread"}
@@ -84,9 +87,12 @@ def keep_first(df: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def pair_statements(df: DataFrame, trace: str, order: str, kind: str) -> DataFrame:
-    """Statement, parameters and result records of one call: each prepare opens a call, which the next one of its trace ends."""
-    w = Window.partitionBy(trace).orderBy(order)
-    calls = df.withColumn("call", F.sum(F.when(F.col(kind) == "prepare", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("call > 0")
+    """Statement, parameters and result records of one call: each prepare opens a call, which the next one of its trace ends.
+
+    Calls are numbered by a running count over ranges, so no trace is gathered in a task.
+    """
+    rows = ordered.in_ranges(df.select(trace, order, kind), [trace], [order])
+    calls = ordered.running(rows, [trace], "call", F.when(F.col(kind) == "prepare", 1).otherwise(0)).where("call > 0")
     first = lambda k: F.min(F.when(F.col(kind) == k, F.col(order)))
     return calls.groupBy(trace, "call").agg(first("prepare").alias("prepared_at"), first("parameters").alias("parameters_at"), first("total").alias("total_at"), F.count("*").alias("n_records"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerline.operators.lineage import kept
+
 
 def capped(df: DataFrame, by: str, order: list[Column], most: int) -> DataFrame:
     """The first ``most`` rows of each group, with how many of the group were left out."""
@@ -31,7 +33,7 @@ def longest_depth(edges: DataFrame, nodes: DataFrame, child: str, parent: str, n
     total = 0
     for _ in range(most):
         up = edges.join(depth, F.col(parent) == F.col(node)).groupBy(child).agg((F.max("depth") + 1).alias("up"))
-        depth = depth.join(up, F.col(node) == F.col(child), "left").select(node, F.greatest("depth", F.coalesce("up", F.lit(0))).alias("depth"))
+        depth = kept(depth.join(up, F.col(node) == F.col(child), "left").select(node, F.greatest("depth", F.coalesce("up", F.lit(0))).alias("depth")))
         new = depth.agg(F.sum("depth")).first()[0] or 0
         if new == total:
             return depth

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +30,15 @@ def row_match(paged: Column, has_total: Column, rows_equal: Column, total_equal:
     return F.when(paged & has_total, rows_equal & total_equal).when(paged, plain | (total == sql_rows)).otherwise(plain)
 
 
-def drift_files(base: DataFrame, now: DataFrame, acknowledged: DataFrame, path: str, text: str) -> DataFrame:
+def drift_files(base: DataFrame, now: DataFrame, acknowledged: DataFrame, path: str, text: str, says: Callable[[Column], Column] | None = None) -> DataFrame:
     """(path, status) of each path of either side.
 
     A path that is gone has moved if its content stands elsewhere, else it was deleted; acknowledged changes are excluded;
-    equal content is the same, and so is content that differs in line ends alone (eol).
+    equal content is the same, and so is content that differs in line ends alone (eol), or, where ``says`` gives what a text
+    says (``statements.normalised``), in form alone (format).
     """
-    h = lambda d, n: d.select(path, F.sha2(F.col(text), 256).alias(n), F.sha2(F.regexp_replace(text, "\r\n", "\n"), 256).alias(f"{n}_eol"))
+    said = (lambda c: F.sha2(says(c), 256)) if says else (lambda c: F.lit(None).cast("string"))
+    h = lambda d, n: d.select(path, F.sha2(F.col(text), 256).alias(n), F.sha2(F.regexp_replace(text, "\r\n", "\n"), 256).alias(f"{n}_eol"), said(F.col(text)).alias(f"{n}_said"))
     elsewhere = h(now, "hash").select(F.col("hash").alias("old"), F.lit(True).alias("elsewhere")).distinct()
     met = h(base, "old").join(h(now, "new"), path, "full_outer").join(elsewhere, "old", "left").join(acknowledged.select(path, F.lit(True).alias("known")).distinct(), path, "left")
     status = (
@@ -43,6 +47,7 @@ def drift_files(base: DataFrame, now: DataFrame, acknowledged: DataFrame, path:
         .when(F.col("known"), "excluded")
         .when(F.col("old") == F.col("new"), "same")
         .when(F.col("old_eol") == F.col("new_eol"), "eol")
+        .when(F.col("old_said") == F.col("new_said"), "format")
         .otherwise("changed")
     )
     return met.select(path, status.alias("status"))
@@ -53,7 +58,7 @@ def drift_screen(deleted: Column, changed: Column, moved: Column) -> Column:
     return F.when(changed > 0, "changed").when(deleted > 0, "deleted").when(moved > 0, "moved").otherwise("same")
 
 
-SEVERITY = ("OK", "MOVED", "STALE", "MISSING")
+SEVERITY = ("OK", "MOVED", "STALE", "MISSING")  #: fixed values, from light to grave
 
 
 def evidence_status(lines: Column, line: Column, excerpt: Column) -> Column:

@@ -49,7 +49,11 @@ def catalog_foreign_keys(spark, sf_dir):
     return catalog.foreign_keys(_catalog(spark, sf_dir), _root)
 
 
-@query("SELECT * FROM (VALUES ('region', 0), ('part', 0), ('nation', 1), ('customer', 2), ('supplier', 2), ('orders', 3), ('lineitem', 3)) t(table_name, depth)")
+_FK = f"""SELECT DISTINCT child, parent FROM (SELECT c.table_name AS child, c.column_name, min(k.table_name) AS parent FROM ({_COLUMNS}) c JOIN ({_COLUMNS}) k ON k.position = 1 AND c.position > 1 AND c.table_name <> k.table_name AND {_ROOT.format("c.column_name")} = {_ROOT.format("k.column_name")}
+WHERE c.table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem') AND k.table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem') GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE e AS ({_FK}), w AS (SELECT DISTINCT table_name, 0 AS depth FROM ({_COLUMNS}) WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem') UNION SELECT child, depth + 1 FROM w JOIN e ON parent = table_name) SELECT table_name, max(depth) AS depth FROM w GROUP BY 1""")
 def topo_depth(spark, sf_dir):
     own = _catalog(spark, sf_dir).where(F.col("table_name").isin("region", "nation", "customer", "supplier", "part", "orders", "lineitem"))
     edges = catalog.foreign_keys(own, _root).select("child", "parent").distinct()
@@ -350,11 +354,12 @@ def grounding(spark, sf_dir):
 @query("""SELECT 'customer' AS table_name, count(*) AS n FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
 UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))""")
 def cascade_children(spark, sf_dir):
-    gone = read(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey")
-    orders = read(spark, sf_dir, "orders").join(gone, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
-    lines = read(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    gone = read(spark, sf_dir, "customer").where("c_acctbal < 0").selectExpr("0 AS row", "c_custkey AS node")
+    lines = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS src")
+    found = lineage.levels(gone, [read(spark, sf_dir, "orders").selectExpr("o_custkey AS src", "o_orderkey AS dst")])
     n = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
-    return n(gone, "customer").union(n(orders, "orders")).union(n(lines, "lineitem"))
+    rows = lines.join(found[-1], F.col("src") == F.col("node"), "left_semi")
+    return n(found[0], "customer").union(n(found[1], "orders")).union(n(rows, "lineitem"))
 
 
 @query("SELECT k, arg_min(name, rank) AS name, arg_min(origin, rank) AS origin FROM (SELECT c_custkey AS k, c_name AS name, 'customer' AS origin, 1 AS rank FROM customer UNION ALL SELECT s_suppkey, s_name, 'supplier', 2 FROM supplier UNION ALL SELECT p_partkey, p_name, 'part', 3 FROM part) GROUP BY 1")
@@ -442,11 +447,9 @@ def closure_until(spark, sf_dir):
 @query(f"SELECT 'n' || c_nationkey AS host, count(DISTINCT k) AS n_parts FROM ({_BUYERS}) JOIN part ON p_partkey = k WHERE p_size > 25 GROUP BY 1")
 def host_screens(spark, sf_dir):
     # which hosts reach which parts: parts are few beside edges, so pairs go up one level at a time
-    parts = read(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"))
-    pairs = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(parts, "l_partkey", "left_semi").distinct()
-    pairs = pairs.join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").distinct()
-    pairs = pairs.join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "l_partkey").distinct()
-    return pairs.groupBy(F.concat(F.lit("n"), "c_nationkey").alias("host")).agg(F.count("*").alias("n_parts"))
+    parts = read(spark, sf_dir, "part").where("p_size > 25").selectExpr("p_partkey AS row", "p_partkey AS node")
+    up = [read(spark, sf_dir, t).selectExpr(f"{a} AS src", f"{b} AS dst") for t, a, b in (("lineitem", "l_partkey", "l_orderkey"), ("orders", "o_orderkey", "o_custkey"), ("customer", "c_custkey", "c_nationkey"))]
+    return lineage.expand(parts, up).groupBy(F.concat(F.lit("n"), "node").alias("host")).agg(F.count("*").alias("n_parts"))
 
 
 @query("SELECT o_orderkey, s_suppkey FROM (SELECT o_orderkey, o_custkey * 3 AS lo, o_custkey * 3 + o_orderkey % 20 AS hi FROM orders) a JOIN (SELECT s_suppkey, s_suppkey * 31 AS lo, s_suppkey * 31 + s_suppkey % 9 AS hi FROM supplier) b ON a.lo <= b.hi AND b.lo <= a.hi")
