@@ -74,10 +74,15 @@ def records(lines: DataFrame, file: str, number: str, line: str) -> DataFrame:
     text_of = F.coalesce(F.col(line), F.lit("")).alias(line)
     rows = ordered.in_ranges(lines.select(file, number, text_of).withColumn("_head", F.rlike(F.col(line), F.lit(HEADER))), [file], [number])
     part = ordered.running(rows, [file], "record", F.when(F.col("_head"), 1).otherwise(0)).where("record > 0")
-    folded = part.groupBy(file, "record").agg(F.max(F.when(F.col("_head"), F.col(line))).alias("_first"), F.array_sort(F.collect_list(F.when(~F.col("_head"), F.struct(F.col(number).alias("n"), F.col(line).alias("l"))))).alias("_rest"))
-    got = lambda i: F.nullif(F.nullif(F.regexp_extract("_first", HEADER, i), F.lit("-")), F.lit("SYSTEM"))
+    folded = part.groupBy(file, "record").agg(F.max(F.when(F.col("_head"), F.col(line))).alias("first"), F.array_sort(F.collect_list(F.when(~F.col("_head"), F.struct(F.col(number).alias("n"), F.col(line).alias("l"))))).alias("rest"))
+    return parsed(folded.withColumn("rest", F.transform("rest", lambda x: x["l"])), file)
+
+
+def parsed(folded: DataFrame, file: str) -> DataFrame:
+    """Columns of log records from their header line ``first`` and the lines ``rest`` that follow; ``-`` and ``SYSTEM`` mean none."""
+    got = lambda i: F.nullif(F.nullif(F.regexp_extract("first", HEADER, i), F.lit("-")), F.lit("SYSTEM"))
     names = {2: "trace", 3: "tenant", 4: "user", 5: "ip", 6: "thread"}
-    return folded.select(file, "record", F.regexp_extract("_first", HEADER, 1).cast("timestamp_ntz").alias("ts"), *[got(i).alias(n) for i, n in names.items()], F.regexp_extract("_first", HEADER, 7).alias("level"), F.regexp_extract("_first", HEADER, 8).alias("logger"), F.regexp_extract("_first", HEADER, 9).alias("message"), F.transform("_rest", lambda x: x["l"]).alias("extra"))
+    return folded.select(file, "record", F.regexp_extract("first", HEADER, 1).cast("timestamp_ntz").alias("ts"), *[got(i).alias(n) for i, n in names.items()], F.regexp_extract("first", HEADER, 7).alias("level"), F.regexp_extract("first", HEADER, 8).alias("logger"), F.regexp_extract("first", HEADER, 9).alias("message"), F.col("rest").alias("extra"))
 
 
 def keep_first(df: DataFrame, key: list[str], order: str) -> DataFrame:
