@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one per block element.  Elements that hold menus, headers, footers, sidebars, notices,
-adverts, forms, scripts or reader comments, by tag or by class, id or role, are markup too; outside an article they leave
-a break of ``WINDOW`` empty lines.  Where a page marks its article (``<article>``, ``<main>``, articleBody), everything
-outside is such markup.
+adverts, forms, scripts or reader comments, by tag or by class, id or role, are markup too; outside an article blocks of
+them leave a break of ``WINDOW`` empty lines, and inline ones (a button, an advert in a sentence) leave their line whole.
+Where a page marks its article (``<article>``, ``<main>``, articleBody), everything outside is markup, and the lines of
+several articles follow each other.
 
 A line weighs its characters, those of links a quarter.  The weights of ``WINDOW`` lines in a row are summed; a stretch
 begins where the sum rises from zero and dives where it is zero again.  Main text are the stretches in which a sum surges
@@ -46,17 +47,20 @@ CONTAINER = frozenset("bar block box button buttons container content field grou
 LAYOUT = frozenset("has no with without is not layout page body".split())
 #: parts by which an article inside is not the page's own
 OTHERS = frozenset("comment comments commentlist respond replies disqus related recommended recommendations sidebar widget widgets promo".split())
-NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+NAMED = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 BODY = re.compile(r"itemprop\s*=\s*[\"']?articleBody", re.I)
 SPACE = re.compile(r"\s+")
 PART = re.compile(r"[-_]+")
 
 
-def _noise_name(attributes: str, in_article: bool) -> frozenset[str]:
-    """The parts of an element's class, id and role that say it holds no text of the page."""
+def _noise_name(element: str, attributes: str, in_article: bool) -> frozenset[str]:
+    """The parts of an element's class, id and role that say it holds no text of the page; a heading's id is made of its words."""
     found = set()
-    for a, b, c in NAMED.findall(attributes):
+    for key, a, b, c in NAMED.findall(attributes):
+        if element in HEADING and key.lower() == "id":
+            continue
         for name in (a or b or c).lower().split():
             parts = PART.split(name)
             if parts[0] in LAYOUT:
@@ -83,7 +87,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         return SPACE.sub(" ", _html.unescape("".join(text))).strip()
 
     def flush() -> None:
-        if buf and not noise:
+        if buf:
             text = clean(buf)
             if text:
                 inside = len(clean(linked)) if linked else 0
@@ -96,14 +100,14 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         while stack:
             top, *state = stack.pop()
             depth[top] -= 1
-            if noise and not state[0] and not state[1]:
+            if noise and not state[0] and not state[1] and (top in BLOCK or top == "head"):
                 out.extend([("", 0, False)] * WINDOW)
             noise, article, parts, link = state
             if top == name:
                 return
 
     def say(text: str) -> None:
-        if text:
+        if text and not noise:
             buf.append(text)
             if link:
                 linked.append(text)
@@ -146,7 +150,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         stack.append((name, noise, article, parts, link))
         depth[name] = depth.get(name, 0) + 1
-        named = _noise_name(m[3], article) if m[3] and name not in ("html", "body", "main") else frozenset()
+        named = _noise_name(name, m[3], article) if m[3] and name not in ("html", "body", "main") else frozenset()
         if name in ("article", "main") or (m[3] and BODY.search(m[3])):
             if noise and parts and not named and (name == "main" or not parts & OTHERS):
                 noise, parts = False, frozenset()  # named by a wrapper that holds the page's article
@@ -155,8 +159,9 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         # an article's own header holds its title
         if (name in ASIDE and not (name == "header" and article)) or named or (m[3] and HIDDEN.search(m[3])):
             if not noise:
-                flush()
-                if not article:
+                # an inline element leaves its line whole
+                if not article and (name in BLOCK or name == "head"):
+                    flush()
                     out.extend([("", 0, False)] * WINDOW)
                 parts = named
             noise = True
@@ -170,7 +175,7 @@ def extract(page: str | None) -> str:
         return ""
     rows = lines(page)
     if any(a for _, _, a in rows):
-        rows = [r if r[2] else ("", 0, False) for r in rows]
+        rows = [r for r in rows if r[2]]
     n = len(rows)
     total = [0]
     for _, weight, _ in rows:

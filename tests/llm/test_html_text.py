@@ -96,3 +96,25 @@ def test_rows(spark):
     assert [(r["text"], r["n_chars"]) for r in got if r["page_id"] == 1] == [(LONG, len(LONG))] * 2
     assert all(r["text"] == "" and r["n_chars"] == 0 for r in got if r["page_id"] != 1)
     assert html_text.main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("inside,want", [
+    ('<p>one <span class="ad">BUY NOW</span> two</p>', "one two"), ("<p>one <button>Copy link</button> two</p>", "one two"), ("<p>one <label>Term</label>two</p>", "one two"), ('<p>one <a class="share-link" href="#">Share on X</a> two</p>', "one two"),
+    ("<p>one <span hidden>secret</span> two</p>", "one two"), ('<p>one <span class="ad"><b>BUY</b> <i>NOW</i></span> two</p>', "one two"), ('<p>one</p><span class="ad">BUY</span><p>two</p>', "one\ntwo"), ('<p>one <span class="ad"><div>BUY</div></span> two</p>', "one\ntwo"),
+    ('<h2 id="search">Search</h2><p>one</p>', "Search\none"), ('<h2 id="legal">Legal</h2><h3 id="comments">Comments</h3><h4 id="navigation">Navigation</h4>', "Legal\nComments\nNavigation"), ('<h2 class="ad">Buy</h2><p>one</p>', "one"),
+])
+def test_inline_noise_and_headings(inside, want):
+    long = "A sentence that is long enough to be the main text of any page, whatever stands around it."
+    for page in (f"<html><body><nav>Menu</nav><article>{inside}<p>{long}</p></article></body></html>", f"<html><body><main>{inside}<p>{long}</p></main><footer>x</footer></body></html>"):
+        assert html_text.extract(page) == f"{want}\n{long}"
+
+
+def test_inline_noise_outside_an_article():
+    long = "A sentence that is long enough to be the main text of any page, whatever stands around it."
+    assert html_text.extract(f'<div>{long} <span class="ad">BUY NOW</span> and more.</div>') == f"{long} and more."
+
+
+def test_short_articles_are_kept():
+    long = "A sentence that is long enough to be the main text of any page, whatever stands around it."
+    between = "<div>a</div><div>b</div><div>c</div><div>d</div>"
+    assert html_text.extract(f"<article><p>{long}</p></article>{between}<article><p>Short.</p></article>") == f"{long}\nShort."
