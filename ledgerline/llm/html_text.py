@@ -42,7 +42,7 @@ IN_HEAD = frozenset("base link meta title style script noscript template".split(
 NOISE = frozenset("ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored sponsors breadcrumb breadcrumbs nav navbar navigation menu menubar masthead footer sidebar cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login disqus comment comments commentlist respond replies pagination pager toolbar complementary contentinfo".split())
 #: parts that do so at the end of a name, or before a word for a container
 NOISE_LAST = frozenset("header foot side aside widget widgets notice promo promotion promotions share sharing social related recommended recommendations search form legal copyright skip".split())
-CONTAINER = frozenset("bar block box button buttons container content field group icons area items links list media posts articles stories topics section text widget wrap wrapper row panel".split())
+CONTAINER = frozenset("bar block box button buttons container content field group icons area items link links list media posts articles stories topics section text widget wrap wrapper row panel".split())
 #: a name that begins so tells of the layout around the text
 LAYOUT = frozenset("has no with without is not layout page body".split())
 #: parts by which an article inside is not the page's own

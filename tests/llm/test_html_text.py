@@ -100,7 +100,7 @@ def test_rows(spark):
 
 @pytest.mark.parametrize("inside,want", [
     ('<p>one <span class="ad">BUY NOW</span> two</p>', "one two"), ("<p>one <button>Copy link</button> two</p>", "one two"), ("<p>one <label>Term</label>two</p>", "one two"), ('<p>one <a class="share-link" href="#">Share on X</a> two</p>', "one two"),
-    ("<p>one <span hidden>secret</span> two</p>", "one two"), ('<p>one <span class="ad"><b>BUY</b> <i>NOW</i></span> two</p>', "one two"), ('<p>one</p><span class="ad">BUY</span><p>two</p>', "one\ntwo"), ('<p>one <span class="ad"><div>BUY</div></span> two</p>', "one\ntwo"),
+    ("<p>one <span hidden>secret</span> two</p>", "one two"), ('<p>one <span class="ad"><b>BUY</b> <i>NOW</i></span> two</p>', "one two"), ('<p>one</p><span class="ad">BUY</span><p>two</p>', "one\ntwo"), ('<div>one <span class="ad"><div>BUY</div></span> two</div>', "one\ntwo"),
     ('<h2 id="search">Search</h2><p>one</p>', "Search\none"), ('<h2 id="legal">Legal</h2><h3 id="comments">Comments</h3><h4 id="navigation">Navigation</h4>', "Legal\nComments\nNavigation"), ('<h2 class="ad">Buy</h2><p>one</p>', "one"),
 ])
 def test_inline_noise_and_headings(inside, want):
