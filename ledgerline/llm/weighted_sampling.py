@@ -79,8 +79,7 @@ def sampled(terms: DataFrame, by: list[str], samples: int = SAMPLES) -> DataFram
     least = []
     for k in range(samples):
         r, log_c, b = draws(k)
-        # a weight of 1 always has t = 0
-        least.append(F.expr(f"min({log_c} - if(log_w = 0D, {r} * (1D - {b}), {r} * (floor(log_w / {r} + {b}) - {b} + 1D)) + log_w * 0D) AS p{k}"))
+        least.append(F.expr(f"min({log_c} - {r} * (floor(log_w / {r} + {b}) - {b} + 1D)) AS p{k}"))
     return logs.groupBy(*by).agg(*least)
 
 
