@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerline.operators import evidence as proofs
 from ledgerline.operators import lineage, names, ordered, pairing, statements
+from ledgerline.operators.synthesis import Made, Maker, key_faults
 from ledgerline.queries import query, read
+from ledgerline.shared import shared_dir
+from ledgerline.sources import snapshot
 
 # -- evidence: each document cites two of its lines; then texts are indented, wrapped anew, or changed at their head
 
@@ -187,3 +192,40 @@ SELECT doc_id, line_no, coalesce(own, CASE WHEN line_no - up.at < 4 THEN up.m EN
 def nearest_marks(spark, sf_dir):
     lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), "line")
     return ordered.nearest_mark(lines, "doc_id", "line_no", "line", r"\b([Tt]h[ae][a-z]*) ", r"^\s*$", 4)
+
+
+# -- made rows and catalogs
+
+
+@query("""SELECT 'region' AS table_name, count(*) AS n_rows, 0 AS n_repeated, 0 AS n_orphans FROM region UNION ALL SELECT 'nation', count(*), 0, 0 FROM nation UNION ALL SELECT 'supplier', count(*), 0, 0 FROM supplier UNION ALL SELECT 'customer', count(*), 0, 0 FROM customer
+UNION ALL SELECT 'part', count(*), 0, 0 FROM part UNION ALL SELECT 'orders', count(*), 0, 0 FROM orders UNION ALL SELECT 'lineitem', count(*), 0, 0 FROM lineitem""")
+def made_tables(spark, sf_dir):
+    """As many rows as each table has; foreign keys to made rows, and to the table's own rows."""
+    maker, made, out = Maker(spark), {}, None
+    keys = {"region": "r_regionkey", "nation": "n_nationkey", "supplier": "s_suppkey", "customer": "c_custkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey"}
+    refers = {"nation": ("region",), "supplier": ("nation",), "customer": ("nation",), "orders": ("customer",), "lineitem": ("orders", "part", "supplier")}
+    for name, key in keys.items():
+        own = read(spark, sf_dir, name)
+        columns = [Made(key, "key", rows=own), Made("code", "unique_text", prefix="T", length=12)] + [Made(f"{p}_key", "parent", table=p, column=keys[p]) for p in refers.get(name, ())]
+        columns += [Made("old_key", "existing", rows=own, column=key, nulls=10), Made("made_on", "day", values=("2024-01-01",), most=28), Made("amount", "number", most=1000, digits=2)]
+        made[name] = lineage.kept(maker.table(name, own.count(), columns))
+        parents = {f"{p}_key": made[p].select(keys[p]) for p in refers.get(name, ())} | {"old_key": own.select(key)}
+        rows = key_faults(made[name], [key], parents).withColumn("n_repeated", F.col("n_repeated") + F.col("n_rows") - made[name].select("code").distinct().count())
+        rows = rows.select(F.lit(name).alias("table_name"), "n_rows", "n_repeated", "n_orphans")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN quality = 1 OR source = 'src1' THEN 2 ELSE 1 END AS read_in, len(string_split(text, chr(10))) + CASE WHEN quality = 1 THEN 1 ELSE 0 END AS n_lines
+FROM documents LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels WHERE quality = 1) USING (doc_id) WHERE lang <> 'fr' OR source <> 'src0'""")
+def catalog_refresh(spark, sf_dir):
+    """A second version: one source of documents is new, one language of another is gone, good documents have a line more."""
+    d = read(spark, sf_dir, "documents")
+    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit("\n+").alias("more")).distinct()
+    later = d.where("lang <> 'fr' OR source <> 'src0'").join(good, "doc_id", "left").withColumn("text", F.concat("text", F.coalesce("more", F.lit(""))))
+    folder = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}"
+    for docs in (d.where("source <> 'src1'"), later):
+        texts = docs.select(F.col("doc_id").cast("string").alias("path"), "text")
+        listed = texts.select("path", F.length("text").alias("size"), F.lit(None).cast("timestamp").alias("changed_at"), F.sha2("text", 256).alias("hash"))
+        got = snapshot.refresh(listed, lambda stale, t=texts: t.join(stale.select("path"), "path").select("path", F.size(F.split("text", "\n")).alias("n_lines")), folder)
+    return got.select("path", "read_in", "n_lines")
