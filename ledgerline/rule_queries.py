@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import catalog, intervals, lineage, logs, ranking, verdicts
+from ledgerline.operators import catalog, facts, intervals, lineage, logs, ranking, verdicts
 from ledgerline.queries import query, read
 from ledgerline.text_queries import log_table
 
@@ -237,93 +237,83 @@ def menu_match(spark, sf_dir):
 @query("SELECT event_id, level FROM (" + "SELECT event_id, CASE WHEN event_type = 'error' THEN 'ERROR' WHEN value > 300 THEN 'WARN' ELSE 'INFO' END AS level, event_type FROM events" + ") WHERE level IN ('WARN', 'ERROR') AND event_type NOT LIKE '%urch%'")
 def level_filter(spark, sf_dir):
     kept = logs.at_least(log_table(spark, sf_dir), "level", "warn")
-    ignored = F.array(F.lit("urch"), F.lit("no such logger"))
-    return kept.where(~F.exists(ignored, lambda x: F.col("logger").contains(x))).select("event_id", "level")
+    return kept.where(facts.not_ignored(F.col("logger"), ["urch", "no such logger"])).select("event_id", "level")
 
 
 @query("SELECT page_id FROM pages WHERE contains(regexp_replace(url, '^https?://[^/]*', ''), '/en/') AND page_id % 2 = 0")
 def access_filter(spark, sf_dir):
     method = F.when(F.col("page_id") % 2 == 0, "get").otherwise("post")
-    path = F.regexp_replace("url", "^https?://[^/]*", "")  # the context before the path
-    return read(spark, sf_dir, "pages").where((F.upper(method) == "GET") & path.contains("/en/")).select("page_id")
+    return read(spark, sf_dir, "pages").where(facts.accessed(method, F.col("url"), "GET", "/en/", "https?://[^/]*")).select("page_id")
 
 
-@query("SELECT count(*) AS n_requests, count(*) FILTER (WHERE event_type = 'click') AS n_sql, count(*) FILTER (WHERE event_type <> 'error' AND value > 300) AS n_warn, count(*) FILTER (WHERE event_type = 'error') AS n_error, count(DISTINCT user_id) AS n_traces FROM events WHERE ts >= TIMESTAMP '2024-01-03'")
+@query("SELECT count(*) AS n_requests, count(*) FILTER (WHERE event_type = 'click') AS n_sql, count(*) FILTER (WHERE event_type <> 'error' AND value > 300) AS n_warn, count(*) FILTER (WHERE event_type = 'error') AS n_error, count(DISTINCT user_id) AS n_traces FROM events")
 def log_summary(spark, sf_dir):
-    r = log_table(spark, sf_dir).where("ts >= TIMESTAMP_NTZ '2024-01-03'")
-    level = lambda x: F.count_if(F.col("level") == x)
-    return r.agg(F.count("*").alias("n_requests"), F.count_if(F.col("logger") == "app.click").alias("n_sql"), level("WARN").alias("n_warn"), level("ERROR").alias("n_error"), F.count_distinct("user_id").alias("n_traces"))
+    return facts.request_summary(log_table(spark, sf_dir), "level", "user_id", F.col("logger") == "app.click")
 
 
 @query("SELECT p_partkey FROM part WHERE CAST(p_size AS VARCHAR) = '7' AND CAST(p_brand AS VARCHAR) <> 'Brand#1'")
 def row_equality(spark, sf_dir):
-    return read(spark, sf_dir, "part").where((F.col("p_size").cast("string") == "7") & (F.col("p_brand").cast("string") != "Brand#1")).select("p_partkey")
+    return read(spark, sf_dir, "part").where(facts.matches({"p_size": "7"}) & ~facts.matches({"p_brand": "Brand#1"})).select("p_partkey")
 
 
 @query("SELECT p_partkey, coalesce(TRY_CAST(CASE WHEN p_partkey % 3 = 0 THEN 'n/a' ELSE CAST(p_size + 1 AS VARCHAR) END AS INTEGER), p_size) AS p_size FROM part")
 def coerced_patch(spark, sf_dir):
     new = F.when(F.col("p_partkey") % 3 == 0, "n/a").otherwise((F.col("p_size") + 1).cast("string"))
-    return read(spark, sf_dir, "part").select("p_partkey", F.coalesce(new.try_cast("int"), "p_size").alias("p_size"))
+    part = read(spark, sf_dir, "part")
+    return part.select("p_partkey", facts.coerced(part, "p_size", new).alias("p_size"))
 
 
-@query("SELECT user_id, array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(a, x))), ',') AS added, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS removed FROM (SELECT user_id, coalesce(list(DISTINCT event_type) FILTER (WHERE ts < TIMESTAMP '2024-01-16' AND value > 60), []) AS a, coalesce(list(DISTINCT event_type) FILTER (WHERE ts >= TIMESTAMP '2024-01-16' AND value > 60), []) AS b FROM events GROUP BY 1)")
+@query("SELECT user_id, array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(a, x))), ',') AS added, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS removed FROM (SELECT user_id, coalesce(list(DISTINCT event_type) FILTER (WHERE ts < TIMESTAMP '2024-01-16'), []) AS a, coalesce(list(DISTINCT event_type) FILTER (WHERE ts >= TIMESTAMP '2024-01-16'), []) AS b FROM events GROUP BY 1)")
 def structural_delta(spark, sf_dir):
-    early, large = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), F.col("value") > 60
-    sets = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.when(early & large, F.col("event_type"))).alias("a"), F.collect_set(F.when(~early & large, F.col("event_type"))).alias("b"))  # event types are a handful
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    sets = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.when(early, F.col("event_type"))).alias("a"), F.collect_set(F.when(~early, F.col("event_type"))).alias("b"))  # event types are a handful
     removed, added = verdicts.deltas(F.col("a"), F.col("b"))
     return sets.select("user_id", F.array_join(added, ",").alias("added"), F.array_join(removed, ",").alias("removed"))
 
 
-@query("""WITH s AS (SELECT s_nationkey, count(*) AS n, min(s_suppkey) AS k FROM supplier WHERE s_acctbal > 0 GROUP BY 1), o AS (SELECT o_custkey, min(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS inside, min(o_orderkey) AS any_ FROM orders GROUP BY 1)
+@query("""WITH s AS (SELECT s_nationkey, count(*) AS n, min(s_suppkey) AS k FROM supplier GROUP BY 1), o AS (SELECT o_custkey, min(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS inside, min(o_orderkey) AS any_ FROM orders GROUP BY 1)
 SELECT c_custkey, CASE WHEN inside IS NOT NULL THEN 1 WHEN any_ IS NOT NULL THEN 2 WHEN n = 1 THEN 3 END AS tier, CASE WHEN inside IS NOT NULL THEN inside WHEN any_ IS NOT NULL THEN any_ WHEN n = 1 THEN k END AS match FROM customer LEFT JOIN o ON o_custkey = c_custkey LEFT JOIN s ON s_nationkey = c_nationkey""")
 def pair_priority(spark, sf_dir):
     # named in the chain, then named anywhere, then the only one alike
-    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("inside"), F.min("o_orderkey").alias("anywhere"))
-    s = read(spark, sf_dir, "supplier").where("s_acctbal > 0").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("alike"))
-    met = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(o, F.col("o_custkey") == F.col("c_custkey"), "left").join(s, F.col("s_nationkey") == F.col("c_nationkey"), "left")
-    alike = F.when(F.col("n") == 1, F.col("alike"))
-    tier = F.when(F.col("inside").isNotNull(), 1).when(F.col("anywhere").isNotNull(), 2).when(alike.isNotNull(), 3)
-    return met.select("c_custkey", tier.alias("tier"), F.coalesce("inside", "anywhere", alike).alias("match"))
+    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("match"), "o_orderstatus")
+    alone = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("match")).where("n = 1")
+    alike = c.join(alone, F.col("s_nationkey") == F.col("c_nationkey")).select("c_custkey", "match")
+    return facts.first_tier(c, "c_custkey", [(o.where("o_orderstatus = 'F'").select("c_custkey", "match"), False), (o.select("c_custkey", "match"), False), (alike, True)])
 
 
 @query("SELECT CASE WHEN n_top = 1 THEN 'certain' ELSE 'ambiguous' END AS verdict, count(*) AS n FROM (SELECT l_orderkey, count(*) FILTER (WHERE l_quantity = m) AS n_top FROM (SELECT l_orderkey, l_quantity, max(l_quantity) OVER (PARTITION BY l_orderkey) AS m FROM lineitem) GROUP BY 1) GROUP BY 1")
 def match_verdicts(spark, sf_dir):
-    by = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_quantity").agg(F.count("*").alias("n"))
-    top = by.groupBy("l_orderkey").agg(F.max(F.struct("l_quantity", "n")).alias("t"))
-    return top.groupBy(F.when(F.col("t.n") == 1, "certain").otherwise("ambiguous").alias("verdict")).agg(F.count("*").alias("n"))
+    return facts.best_scored(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_quantity").groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT n_name, coalesce(c, 0) AS n_customers, coalesce(s, 0) AS n_suppliers, CASE WHEN coalesce(c, 0) + coalesce(s, 0) = 0 THEN NULL ELSE 100 * coalesce(s, 0) // (coalesce(c, 0) + coalesce(s, 0)) END AS percent FROM nation
 LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey""")
 def domain_stats(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("c"))
-    s = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("s"))
-    met = read(spark, sf_dir, "nation").select("n_nationkey", "n_name").join(c, "n_nationkey", "left").join(s, "n_nationkey", "left").fillna(0, ["c", "s"])
-    return met.select("n_name", F.col("c").alias("n_customers"), F.col("s").alias("n_suppliers"), F.when(F.col("c") + F.col("s") > 0, F.expr("100 * s div (c + s)")).alias("percent"))
+    n = read(spark, sf_dir, "nation")
+    of = {"n_customers": read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey")), "n_suppliers": read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))}
+    return n.select("n_nationkey", "n_name").join(facts.domain_counts(n, of, "n_nationkey", "n_suppliers", ("n_customers", "n_suppliers")), "n_nationkey").drop("n_nationkey")
 
 
 @query("SELECT c_nationkey, arg_max(c_mktsegment, n * 1000000 - f) AS label FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n, min(c_custkey) AS f FROM customer GROUP BY 1, 2) GROUP BY 1")
 def domain_label(spark, sf_dir):
-    n = read(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
-    return n.groupBy("c_nationkey").agg(F.max_by("c_mktsegment", F.struct("n", -F.col("first"))).alias("label"))
+    return facts.mode_label(read(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment", "c_custkey")
 
 
 @query("SELECT w AS name, count(*) AS n_statements FROM (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS w FROM conversations) GROUP BY 1")
 def name_popularity(spark, sf_dir):
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
-    return read(spark, sf_dir, "conversations").select(F.explode(words).alias("name")).groupBy("name").agg(F.count("*").alias("n_statements"))
+    return facts.popularity(read(spark, sf_dir, "conversations"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
 
 
 @query("SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 8")
 def top_eight(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_partkey").limit(8)
+    return facts.top(read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'"), "l_partkey", 8)
 
 
 @query("SELECT r_name AS top_menu, count(*) AS n_menus, count(*) FILTER (WHERE n_nationkey IN (SELECT c_nationkey FROM customer)) AS n_with_screen FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
 def menu_rollup(spark, sf_dir):
     used = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("used")).distinct()
     paths = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).join(used, F.col("used") == F.col("n_nationkey"), "left").select(F.concat("r_name", F.lit(" > "), "n_name").alias("path"), "used")
-    return paths.groupBy(F.element_at(F.split("path", " > "), 1).alias("top_menu")).agg(F.count("*").alias("n_menus"), F.count("used").alias("n_with_screen"))
+    return facts.menu_rollup(paths, "path", {"n_with_screen": F.col("used").isNotNull()})
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type AS kind, count(*) AS n, count(DISTINCT user_id) AS n_files FROM events GROUP BY 1, 2")
@@ -334,21 +324,19 @@ def changes_by_kind(spark, sf_dir):
 @query("SELECT sum(n) AS n_tests, sum(failed) AS n_failed, count(*) AS n_suites, round(sum(t), 2) AS seconds FROM (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS failed, sum(value) AS t FROM events GROUP BY 1)")
 def test_totals(spark, sf_dir):
     suites = read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("failed"), F.sum("value").alias("t"))
-    return suites.agg(F.sum("n").alias("n_tests"), F.sum("failed").alias("n_failed"), F.count("*").alias("n_suites"), F.round(F.sum("t"), 2).alias("seconds"))
+    return facts.totals(suites, {"n": "n_tests", "failed": "n_failed", "t": "seconds"})
 
 
 @query("SELECT p_partkey, coalesce(o.price, p_retailprice) AS price, o.price IS NOT NULL AS overridden FROM part LEFT JOIN (SELECT l_partkey, max(l_extendedprice) AS price FROM lineitem WHERE l_discount = 0 GROUP BY 1) o ON l_partkey = p_partkey")
 def override_rows(spark, sf_dir):
-    o = read(spark, sf_dir, "lineitem").where("l_discount = 0").groupBy("l_partkey").agg(F.max("l_extendedprice").alias("own"))
-    met = read(spark, sf_dir, "part").join(o, F.col("l_partkey") == F.col("p_partkey"), "left")
-    return met.select("p_partkey", F.coalesce("own", "p_retailprice").alias("price"), F.col("own").isNotNull().alias("overridden"))
+    own = read(spark, sf_dir, "lineitem").where("l_discount = 0").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_extendedprice").alias("price"))
+    return facts.overridden(read(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("price")), own, "p_partkey", "price")
 
 
 @query("SELECT page_id, CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS cited, CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) IN (SELECT doc_id FROM documents) AS grounded FROM pages WHERE regexp_matches(url, '/[0-9]+')")
 def grounding(spark, sf_dir):
     cited = read(spark, sf_dir, "pages").where(F.rlike("url", F.lit("/[0-9]+"))).select("page_id", F.regexp_extract("url", "/([0-9]+)", 1).cast("long").alias("cited"))
-    known = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("known")).distinct()
-    return cited.join(known, F.col("cited") == F.col("known"), "left").select("page_id", "cited", F.col("known").isNotNull().alias("grounded"))
+    return facts.grounded(cited, read(spark, sf_dir, "documents").select("doc_id"), "cited")
 
 
 @query("""SELECT 'customer' AS table_name, count(*) AS n FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
@@ -364,15 +352,14 @@ def cascade_children(spark, sf_dir):
 
 @query("SELECT k, arg_min(name, rank) AS name, arg_min(origin, rank) AS origin FROM (SELECT c_custkey AS k, c_name AS name, 'customer' AS origin, 1 AS rank FROM customer UNION ALL SELECT s_suppkey, s_name, 'supplier', 2 FROM supplier UNION ALL SELECT p_partkey, p_name, 'part', 3 FROM part) GROUP BY 1")
 def union_of_sources(spark, sf_dir):
-    part = lambda t, k, n, rank: read(spark, sf_dir, t).select(F.col(k).alias("k"), F.col(n).alias("name"), F.lit(t).alias("origin"), F.lit(rank).alias("rank"))
-    rows = part("customer", "c_custkey", "c_name", 1).union(part("supplier", "s_suppkey", "s_name", 2)).union(part("part", "p_partkey", "p_name", 3))
-    return rows.groupBy("k").agg(F.min_by(F.struct("name", "origin"), "rank").alias("m")).select("k", "m.name", "m.origin")
+    part = lambda t, k, n: read(spark, sf_dir, t).select(F.col(k).alias("k"), F.col(n).alias("name"), F.lit(t).alias("origin"))
+    return facts.first_source([part("customer", "c_custkey", "c_name"), part("supplier", "s_suppkey", "s_name"), part("part", "p_partkey", "p_name")], "k")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'done in ' || CAST(round(value) AS BIGINT) || ' s' ELSE 'exit ' || event_id % 3 || ': ' || event_type END AS summary FROM events")
 def run_summary(spark, sf_dir):
     code = F.col("event_id") % 3
-    return read(spark, sf_dir, "events").select("event_id", F.when(code == 0, F.concat(F.lit("done in "), F.round("value").cast("long"), F.lit(" s"))).otherwise(F.concat(F.lit("exit "), code, F.lit(": "), "event_type")).alias("summary"))
+    return read(spark, sf_dir, "events").select("event_id", facts.run_summary(code, F.col("value"), F.col("event_type")).alias("summary"))
 
 
 @query("""WITH c AS (SELECT *, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS call FROM events)
@@ -402,9 +389,7 @@ def log_records(spark, sf_dir):
 
 @query("SELECT table_name, column_name FROM information_schema.columns WHERE data_type = 'INTEGER' AND contains(lower(column_name), 'key')" + f" AND table_name IN {TABLES}")
 def column_search(spark, sf_dir):
-    per = _catalog(spark, sf_dir).groupBy("table_name").agg(F.collect_list(F.struct("column_name", "type")).alias("cols"))  # a table's columns
-    hit = lambda c: (c["type"] == "int") & F.lower(c["column_name"]).contains("key")
-    return per.where(F.exists("cols", hit)).select("table_name", F.explode(F.filter("cols", hit)).alias("c")).select("table_name", "c.column_name")
+    return facts.columns_where(_catalog(spark, sf_dir), "column_name", "type", ("int",), holds="KEY").select("table_name", "column_name")
 
 
 @query("SELECT p_name, p_partkey FROM part WHERE NOT regexp_matches(p_name || CASE p_partkey % 4 WHEN 0 THEN '_bak' WHEN 1 THEN '_20240101' WHEN 2 THEN '_backup' ELSE '' END, '(?i)bak|_back$|_backup$|_\\d{6,8}$')")
@@ -413,10 +398,9 @@ def without_backups(spark, sf_dir):
     return read(spark, sf_dir, "part").where(~F.rlike(name, F.lit(catalog.BACKUP))).select("p_name", "p_partkey")
 
 
-@query("SELECT p_partkey, p_name, CASE WHEN starts_with(p_name, 'red') THEN 0 ELSE 1 END AS priority FROM part WHERE NOT regexp_matches(p_type, 'ECONOMY|SMALL') AND CASE WHEN starts_with(p_name, 'red') THEN 0 ELSE 1 END = 0")
+@query("SELECT p_partkey, p_name, CASE WHEN starts_with(p_name, 'red') THEN 0 WHEN starts_with(p_name, 'r') THEN 1 ELSE 2 END AS priority FROM part WHERE NOT regexp_matches(p_name, 'bolt|ring')")
 def candidate_tables(spark, sf_dir):
-    rank = F.when(F.startswith(F.col("p_name"), F.lit("red")), 0).otherwise(1)
-    return read(spark, sf_dir, "part").where(~F.rlike("p_type", F.lit("ECONOMY|SMALL"))).select("p_partkey", "p_name", rank.alias("priority")).where("priority = 0")
+    return facts.candidate_tables(read(spark, sf_dir, "part"), "p_name", ["red", "r"], "bolt|ring").select("p_partkey", "p_name", "priority")
 
 
 @query("SELECT k.k AS path, count(*) AS n FROM (SELECT CASE WHEN user_id % 2 = 0 THEN event_type ELSE 'other' END AS k FROM events) k JOIN (SELECT DISTINCT event_type AS m FROM events WHERE value > 100) m ON k.k = m.m GROUP BY 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerline.operators import evidence as proofs
-from ledgerline.operators import lineage, names, ordered, pairing, statements
+from ledgerline.operators import catalog, facts, lineage, names, ordered, pairing, statements
 from ledgerline.operators.synthesis import Made, Maker, key_faults
 from ledgerline.queries import query, read
 from ledgerline.shared import shared_dir
@@ -229,3 +229,51 @@ def catalog_refresh(spark, sf_dir):
         listed = texts.select("path", F.length("text").alias("size"), F.lit(None).cast("timestamp").alias("changed_at"), F.sha2("text", 256).alias("hash"))
         got = snapshot.refresh(listed, lambda stale, t=texts: t.join(stale.select("path"), "path").select("path", F.size(F.split("text", "\n")).alias("n_lines")), folder)
     return got.select("path", "read_in", "n_lines")
+
+
+# -- facts of screens
+
+
+@query("""WITH a AS (SELECT user_id AS screen, trim(event_type) AS label, min('f' || hour(ts)) AS n FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1, 2), b AS (SELECT user_id AS screen, trim(event_type) AS label, min('f' || hour(ts)) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-29' GROUP BY 1, 2)
+SELECT coalesce(a.screen, b.screen) AS screen, coalesce(a.label, b.label) AS label, a.n AS left_name, b.n AS right_name, CASE WHEN b.n IS NULL THEN 'left' WHEN a.n IS NULL THEN 'right' WHEN a.n = b.n THEN 'same' ELSE 'renamed' END AS status FROM a FULL JOIN b ON a.screen = b.screen AND a.label = b.label""")
+def compared_labels(spark, sf_dir):
+    """The screens' fields of the first two days and of the last two."""
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("screen"), F.concat(F.lit(" "), "event_type").alias("label"), F.concat(F.lit("f"), F.hour("ts")).alias("name"), "ts")
+    return facts.compared_labels(e.where("ts < timestamp_ntz'2024-01-03'"), e.where("ts >= timestamp_ntz'2024-01-29'"), "screen", "label", "name")
+
+
+@query("""WITH k AS (SELECT 'mapper' || p_size AS c, p_brand || '.' || 'emp01_mapper' || p_size AS n FROM part), r AS (SELECT c, n, row_number() OVER (PARTITION BY c ORDER BY n) AS r FROM (SELECT DISTINCT c, n FROM k)),
+g AS (SELECT c, count(*) AS n_columns, list(n ORDER BY n) FILTER (WHERE r <= 3) AS l FROM r GROUP BY 1), f AS (SELECT DISTINCT o_orderpriority AS label, 'mapper' || o_custkey % 60 AS field FROM orders)
+SELECT label, field, coalesce(n_columns, 0) AS n_columns, coalesce(array_to_string(l, ','), '') AS columns FROM f LEFT JOIN g ON c = field""")
+def labelled_columns(spark, sf_dir):
+    labels = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("label"), F.concat(F.lit("mapper"), F.col("o_custkey") % 60).alias("field"))
+    columns = read(spark, sf_dir, "part").select(F.col("p_brand").alias("table"), F.concat(F.lit("emp01_mapper"), "p_size").alias("column"))
+    return facts.labelled_columns(labels, columns, "field", "label", "table", "column").withColumn("columns", F.array_join("columns", ","))
+
+
+@query("SELECT CAST(l_partkey AS VARCHAR) AS file, count(DISTINCT l_suppkey) AS n_screens, count(DISTINCT l_suppkey) > 1 OR l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7) OR contains(CAST(l_partkey AS VARCHAR), '99') AS shared FROM lineitem GROUP BY l_partkey")
+def shared_files(spark, sf_dir):
+    uses = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("file"), "l_suppkey")
+    return facts.shared_files(uses, "file", "l_suppkey", read(spark, sf_dir, "part").where("p_size = 7").select(F.col("p_partkey").cast("string").alias("file")), "99")
+
+
+@query("""SELECT 'customer' AS parent, table_name AS child, column_name AS child_column FROM information_schema.columns WHERE column_name LIKE '%\\_custkey' ESCAPE '\\' AND table_name = 'orders'
+UNION ALL SELECT 'part', table_name, column_name FROM information_schema.columns WHERE column_name LIKE '%\\_partkey' ESCAPE '\\' AND table_name = 'lineitem' UNION ALL SELECT 'region', table_name, column_name FROM information_schema.columns WHERE column_name LIKE '%\\_regionkey' ESCAPE '\\' AND table_name = 'nation'""")
+def child_tables(spark, sf_dir):
+    tables = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+    keys = catalog.foreign_keys(catalog.scan(spark, {t: read(spark, sf_dir, t) for t in tables}), lambda c: F.regexp_replace(F.lower(c), "^[a-z]{1,2}_", ""))
+    of = lambda p: facts.child_tables(keys, p.upper()).select(F.lit(p).alias("parent"), "child", "child_column")
+    return of("customer").union(of("part")).union(of("region"))
+
+
+@query("SELECT 'R-' || lpad(CAST(max(c_custkey) + 1 AS VARCHAR), CAST(greatest(3, length(CAST(max(c_custkey) + 1 AS VARCHAR))) AS INTEGER), '0') AS next_id FROM customer WHERE c_custkey % 3 <> 0")
+def next_id(spark, sf_dir):
+    used = read(spark, sf_dir, "customer").select(F.concat(F.when(F.col("c_custkey") % 3 == 0, "X-").otherwise("R-"), F.lpad(F.col("c_custkey").cast("string"), 3, "0")).alias("rule"))
+    return facts.next_id(used, "rule")
+
+
+@query("""WITH m AS (SELECT DISTINCT user_id AS url, event_type AS menu FROM events WHERE event_type <> 'view'), c AS (SELECT user_id AS url, count(*) AS n FROM events WHERE value < 5 GROUP BY 1)
+SELECT url, n, CASE WHEN url NOT IN (SELECT url FROM m WHERE url % 5 <> 0) THEN 'open' WHEN url IN (SELECT url FROM m WHERE url % 5 <> 0 AND menu = 'error') THEN 'granted' ELSE 'refused' END AS verdict FROM c""")
+def authorised(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("url"), F.col("event_type").alias("menu"), "value")
+    return facts.authorised(e.where("value < 5"), e.where("menu <> 'view' and url % 5 <> 0"), spark.sql("SELECT 'error' AS menu"), "url", "menu")
