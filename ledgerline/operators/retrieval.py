@@ -31,15 +31,25 @@ def _blocks(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
     return rows.mapInArrow(run, "size int, keys binary, matrix binary")
 
 
+def _grid(cells: int, n_vectors: int, n_queries: int) -> tuple[int, int]:
+    """(across, down) of about ``cells`` cells: vectors go to ``across`` of them, queries to ``down``; no more than there are blocks."""
+    across = max(1, round((cells * max(n_queries, 1) / max(n_vectors, 1)) ** 0.5))
+    across = min(across, max(1, -(-n_queries // BLOCK)))
+    return across, min(max(1, -(-cells // across)), max(1, -(-n_vectors // BLOCK)))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int | None, farthest: float | None = None, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, vec_id, distance): the ``k`` nearest of each query, those within ``farthest``, or both.
 
-    Blocks of vectors meet blocks of queries, so rows shuffle as blocks, once for each block of queries; of a pair of
-    blocks only what is near enough, at most ``k`` a query, leaves its task.
+    Blocks of vectors meet blocks of queries in a grid: each side is dealt into rows or columns by its keys and goes once to each
+    of the other side's, with as many rows and columns as move least in all; of a pair of blocks only what is near enough, at
+    most ``k`` a query, leaves its task.
     """
-    b = _blocks(vectors, key, embedding).alias("b")
-    q = _blocks(queries, key, embedding).select("size", F.col("keys").alias("qkeys"), F.col("matrix").alias("qmatrix")).alias("q")
-    met = b.join(q, "size").select("size", "keys", "matrix", "qkeys", "qmatrix")
+    across, down = _grid(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), vectors.count(), queries.count())
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    b = _blocks(vectors, key, embedding).withColumn("row", F.pmod(F.xxhash64("keys"), F.lit(down)).cast("int")).withColumn("column", each(across))
+    q = _blocks(queries, key, embedding).select("size", F.col("keys").alias("qkeys"), F.col("matrix").alias("qmatrix"), F.pmod(F.xxhash64("keys"), F.lit(across)).cast("int").alias("column")).withColumn("row", each(down))
+    met = b.join(q, ["size", "row", "column"]).select("size", "keys", "matrix", "qkeys", "qmatrix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

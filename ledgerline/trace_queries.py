@@ -268,7 +268,7 @@ def child_tables(spark, sf_dir):
 
 @query("SELECT 'R-' || lpad(CAST(max(c_custkey) + 1 AS VARCHAR), CAST(greatest(3, length(CAST(max(c_custkey) + 1 AS VARCHAR))) AS INTEGER), '0') AS next_id FROM customer WHERE c_custkey % 3 <> 0")
 def next_id(spark, sf_dir):
-    used = read(spark, sf_dir, "customer").select(F.concat(F.when(F.col("c_custkey") % 3 == 0, "X-").otherwise("R-"), F.lpad(F.col("c_custkey").cast("string"), 3, "0")).alias("rule"))
+    used = read(spark, sf_dir, "customer").select(F.concat(F.when(F.col("c_custkey") % 3 == 0, "X-").otherwise("R-"), F.format_string("%03d", "c_custkey")).alias("rule"))
     return facts.next_id(used, "rule")
 
 

@@ -90,3 +90,10 @@ def test_nearest_in_blocks(spark, monkeypatch):
     d = lambda a, b: sum((x - y) ** 2 for x, y in zip(rows[a][1], rows[b][1], strict=True))
     want = sorted((q, j, d(q, j)) for q in (0, 20, 40) for j in sorted(range(60), key=lambda j: (d(q, j), j))[:3])
     assert got == want
+
+
+def test_grid_moves_least():
+    for cells, v, q in ((8, 10**6, 5 * 10**4), (1000, 10**9, 5 * 10**7), (1000, 10**6, 10**6), (4, 10, 1), (200, 0, 0)):
+        across, down = retrieval._grid(cells, v, q)
+        assert across >= 1 and down >= 1 and across * down <= 2 * cells and (across * v + down * q <= 3 * (v + cells * q))
+    assert retrieval._grid(1000, 10**9, 5 * 10**7) == (7, 143)
