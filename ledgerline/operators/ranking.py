@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerline.operators import ordered
 from ledgerline.operators.lineage import kept
 
 
@@ -24,6 +25,40 @@ def within_budget(items: Column, budget: int) -> Column:
     return F.aggregate(items, start, step, lambda acc: acc["names"])
 
 
+ROUNDS = 12
+
+
+def budgeted(df: DataFrame, by: str, order: str, size: str, budget: int) -> DataFrame:
+    """The rows of each group, in order, that fit a budget: one that does not fit is skipped, later ones may fit.
+
+    Items larger than what is left drop out first, so of the rest the longest run that fits is taken at once, by a running sum over
+    ranges; each round takes a row at least from every open group, and the first that does not fit is too large from
+    then on.  What is still open after ``ROUNDS`` is walked item by item; only its keys and sizes meet in a row.  Sizes are not
+    negative, a null size is 0, and ``order`` is unique in a group.  Null groups are a group.
+    """
+    weight = F.coalesce(F.col(size).cast("long"), F.lit(0))
+    left = kept(df.select(by, order, weight.alias("_size"), F.lit(0).cast("long").alias("_used")).where(F.col("_size") <= budget))
+    taken = None
+    for _ in range(ROUNDS):
+        run = kept(ordered.running(ordered.in_ranges(left, [by], [order]), [by], "_run", F.col("_size")).select(*left.columns, "_run"))
+        fits = run.where(F.col("_used") + F.col("_run") <= budget)
+        taken = fits.select(by, order) if taken is None else taken.union(fits.select(by, order))
+        more = fits.groupBy(by).agg(F.max("_run").alias("_more")).alias("m")
+        rest = run.where(F.col("_used") + F.col("_run") > budget).alias("r").join(more, F.col(f"r.{by}").eqNullSafe(F.col(f"m.{by}")))
+        rest = rest.select(F.col(f"r.{by}").alias(by), F.col(f"r.{order}").alias(order), "_size", (F.col("_used") + F.col("_more")).alias("_used"))
+        left = kept(rest.where(F.col("_used") + F.col("_size") <= budget))
+        if left.isEmpty():
+            break
+    else:
+        names = left.groupBy(by, "_used").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("name"), F.col("_size").alias("size")))).alias("items"))
+        start = F.struct(F.col("_used").alias("used"), F.array().cast(left.select(F.array(order).alias("a")).schema["a"].dataType).alias("names"))
+        fits = lambda acc, x: acc["used"] + x["size"] <= budget
+        step = lambda acc, x: F.when(fits(acc, x), F.struct((acc["used"] + x["size"]).alias("used"), F.concat(acc["names"], F.array(x["name"])).alias("names"))).otherwise(acc)
+        taken = taken.union(names.select(by, F.explode(F.aggregate("items", start, step, lambda acc: acc["names"])).alias(order)))
+    same = F.col(f"d.{by}").eqNullSafe(F.col(f"t.{by}")) & (F.col(f"d.{order}") == F.col(f"t.{order}"))
+    return df.alias("d").join(taken.alias("t"), same, "left_semi")
+
+
 def longest_depth(edges: DataFrame, nodes: DataFrame, child: str, parent: str, node: str, most: int = 100) -> DataFrame:
     """(node, depth): the longest chain of parents over each node, so that parents sort before children.
 

@@ -97,3 +97,21 @@ def test_grid_moves_least():
         across, down = retrieval._grid(cells, v, q)
         assert across >= 1 and down >= 1 and across * down <= 2 * cells and (across * v + down * q <= 3 * (v + cells * q))
     assert retrieval._grid(1000, 10**9, 5 * 10**7) == (7, 143)
+
+
+def test_budgets_equal_the_walk(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, 0, 1, 3, 7, 20, 50, 101])) for i in range(300)]
+    rows += [("hard", i, 1 if i % 2 == 0 else 100 - i // 2) for i in range(80)] + [("none", 0, 500)]
+    df = spark.createDataFrame(rows, "g string, i int, n int").repartition(3)
+    for rounds in (12, 2):
+        monkeypatch.setattr(ranking, "ROUNDS", rounds)
+        want, used = set(), {}
+        for g, i, n in rows:
+            if used.get(g, 0) + (n or 0) <= 100:
+                used[g] = used.get(g, 0) + (n or 0)
+                want.add((g, i))
+        assert {(r["g"], r["i"]) for r in ranking.budgeted(df, "g", "i", "n", 100).collect()} == want
+    assert ranking.budgeted(df.limit(0), "g", "i", "n", 100).count() == 0
