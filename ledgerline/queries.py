@@ -375,7 +375,7 @@ def sink_lines(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", files.copy_line(F.replace(name, F.lit(" "), F.lit("\t")), F.lit(None), brand).alias("copy_line"), files.csv_line(quoted, brand).alias("csv_line"), files.markdown_line(F.concat(name, F.lit("|"), brand), F.col("p_size")).alias("markdown_line"))
 
 
-from ledgerline import rule_queries, text_queries, trace_queries  # noqa: E402, F401  register their queries
+from ledgerline import rule_queries, schema_queries, text_queries, trace_queries  # noqa: E402, F401  register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

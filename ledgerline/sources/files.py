@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,25 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines
 
 
+def archive_glob(root: str, app: str, first: date, last: date, kinds: tuple[str, ...] = ("info", "error")) -> str:
+    """The path of an application's archived logs of some days, ends included, so that no other day's files are listed or read."""
+    days = [first + timedelta(days=i) for i in range((last - first).days + 1)]
+    months = dict.fromkeys(f"{d:%Y-%m}" for d in days)
+    some = lambda values: "{" + ",".join(values) + "}"
+    return f"{root}/archived/{some(months)}/{app}-{some(kinds)}-{some(f'{d:%Y-%m-%d}' for d in days)}.*.log.gz"  # fixed value: where logs are archived
+
+
+def archived_lines(spark: SparkSession, root: str, app: str, first: date, last: date, kinds: tuple[str, ...] = ("info", "error")) -> DataFrame:
+    """(file, number, line) of archived logs of some days, ends included; no rows if the days have no files or end before they begin."""
+    try:
+        if first <= last:
+            return log_lines(spark, archive_glob(root, app, first, last, kinds))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return spark.createDataFrame([], "file string, number long, line string")
+
+
 def log_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of text or gzip logs, continued lines folded into the record before."""
     return logs.records(log_lines(spark, path), "file", "number", "line")
@@ -68,6 +90,29 @@ def csv_line(*columns: Column) -> Column:
     return F.concat_ws(",", *[one(c) for c in columns])
 
 
+def json_line(**columns: Column) -> Column:
+    """An element of a JSON array: every named column, nulls too."""
+    return F.to_json(F.struct(*[c.alias(name) for name, c in columns.items()]), {"ignoreNullFields": "false"})
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A table as folder of JSON lines, nulls written; an older folder of that name goes."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def jdbc(spark: SparkSession, url: str, query: str, key: str | None = None, ends: tuple[int, int] | None = None, parts: int = 1, **options: str) -> DataFrame:
+    """A query of a database through Spark's JDBC source; with an integer key and its ends it is read in that many ranges at once.
+
+    Rows outside the ends come with the first and last range.  The database's driver must be on Spark's class path.
+    """
+    reader = spark.read.format("jdbc").options(url=url, fetchsize="10000", **options).option("dbtable", f"({query}) AS asked")
+    if key is not None:
+        if ends is None:
+            raise ValueError("a key needs its ends")
+        reader = reader.options(partitionColumn=key, lowerBound=ends[0], upperBound=ends[1], numPartitions=parts)
+    return reader.load()
+
+
 def markdown_line(*columns: Column) -> Column:
     """A row of a Markdown table: bars escaped, line ends as spaces."""
     one = lambda c: F.replace(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "[\r\n]+", " "), F.lit("|"), F.lit("\\|"))
