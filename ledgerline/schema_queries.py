@@ -9,7 +9,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators import catalog, ranges, schema, units
+from ledgerline.operators import catalog, parameters, ranges, schema, units
 from ledgerline.queries import query, read
 from ledgerline.rule_queries import _COLUMNS, _ROOT, TABLES, _catalog, _root
 
@@ -127,3 +127,26 @@ def log_range(spark, sf_dir):
     now = datetime(2024, 1, 5, 12, 0, tzinfo=ZoneInfo("Asia/Seoul"))
     first, last = ranges.resolve(now, start="2024-01-02 09:30", end="10:15:30")
     return ranges.between(read(spark, sf_dir, "events"), "ts", first, last).groupBy("event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+
+
+@query("""WITH p AS (SELECT 's' || p_partkey AS statement, unnest(['custKey', 'status', 'day', 'companyId', 'segment', 'startDate', 'fiscalYear', 'runMode', 'thing']) AS name, p_partkey, p_size FROM part),
+g AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 700 + 1 END AS cust FROM part),
+o AS (SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) AS status, strftime(arg_min(o_orderdate, o_orderkey), '%Y-%m-%d') AS day FROM orders GROUP BY 1), f AS (SELECT o_custkey, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY o_orderkey LIMIT 1),
+c AS (SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey = 7), d AS (SELECT * FROM c ORDER BY c_custkey LIMIT 1),
+v AS (SELECT p.statement, p.name, CASE p.name WHEN 'custKey' THEN CASE WHEN cust IS NOT NULL THEN 'given' ELSE 'sample' END WHEN 'companyId' THEN 'company' WHEN 'startDate' THEN 'rule' WHEN 'fiscalYear' THEN 'rule' WHEN 'thing' THEN 'none'
+WHEN 'status' THEN CASE WHEN cust IS NULL OR o.status IS NOT NULL THEN 'sample' ELSE 'none' END WHEN 'day' THEN CASE WHEN cust IS NULL OR o.status IS NOT NULL THEN 'sample' ELSE 'none' END WHEN 'segment' THEN CASE WHEN cust IS NULL OR c.c_custkey IS NOT NULL THEN 'sample' ELSE 'none' END
+ELSE CASE WHEN p_size < 20 THEN 'constant' ELSE 'none' END END AS source, cust, p_size, coalesce(o.status, CASE WHEN cust IS NULL THEN f.status END) AS status, coalesce(o.day, CASE WHEN cust IS NULL THEN f.day END) AS day, coalesce(c.c_mktsegment, CASE WHEN cust IS NULL THEN d.c_mktsegment END) AS segment, d.c_custkey AS first_customer
+FROM p JOIN g USING (p_partkey) LEFT JOIN o ON o.o_custkey = cust LEFT JOIN c ON c.c_custkey = cust LEFT JOIN f ON true LEFT JOIN d ON true)
+SELECT statement, name, CASE WHEN source = 'none' THEN '?' ELSE CASE name WHEN 'custKey' THEN CAST(coalesce(cust, first_customer) AS VARCHAR) WHEN 'companyId' THEN '7' WHEN 'startDate' THEN '2000-01-01' WHEN 'fiscalYear' THEN '2024' WHEN 'status' THEN status WHEN 'day' THEN day WHEN 'segment' THEN segment ELSE 'full' || p_size END END AS value, source,
+CASE source WHEN 'sample' THEN CASE name WHEN 'custKey' THEN 'customer.c_custkey' WHEN 'status' THEN 'orders.o_orderstatus' WHEN 'day' THEN 'orders.o_orderdate' ELSE 'customer.c_mktsegment' END WHEN 'constant' THEN 'MODE' END AS origin FROM v""")
+def statement_parameters(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    statement = F.concat(F.lit("s"), "p_partkey").alias("statement")
+    names = ("custKey", "status", "day", "companyId", "segment", "startDate", "fiscalYear", "runMode", "thing")
+    places = [("custKey", "orders", "o_custkey"), ("status", "orders", "o_orderstatus"), ("day", "orders", "o_orderdate"), ("custKey", "customer", "c_custkey"), ("segment", "customer", "c_mktsegment"), ("thing", "orders", "no_such")]
+    params = part.select(statement, F.explode(F.array(*map(F.lit, names))).alias("name"))
+    compared = part.select(statement, F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("table_name"), F.lit(c).alias("column_name")) for n, t, c in places])))
+    given = part.where("p_partkey % 3 = 0").select(statement, F.lit("custKey").alias("name"), (F.col("p_partkey") % 700 + 1).cast("string").alias("value"))
+    constants = part.where("p_size < 20").select(statement, F.lit("MODE").alias("key"), F.concat(F.lit("full"), "p_size").alias("value"))
+    samples = {"orders": (read(spark, sf_dir, "orders"), "o_orderkey", None), "customer": (read(spark, sf_dir, "customer"), "c_custkey", "c_nationkey")}
+    return parameters.inferred(params, given, compared, samples, constants, [("^start_?date$", "2000-01-01"), ("year", "2024")], "7")
