@@ -49,6 +49,16 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def source_mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of the mix: sizes and targets, to a thousandth of a word."""
+    return op4_source_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of the license scan: words and the places of the base phrases."""
+    return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     got = toxicity.score(docs, toxicity.learn(docs, _read(spark, sf_dir, "labels")))
@@ -96,6 +106,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_filter_audit": op11_filter_audit,
         "op12_document_fingerprints": op12_document_fingerprints,
         "op13_conversation_repair": op13_conversation_repair,
+        "source_mixing_targets": source_mixing_targets,
+        "license_base_places": license_base_places,
     }
 
 
@@ -107,6 +119,20 @@ def oracle_sql() -> dict[str, str]:
                    sha256(t) AS text_sha256
             FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
             WINDOW w AS (PARTITION BY t)""",
+        "source_mixing_targets": r"""
+            WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+            s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY 1),
+            w AS (SELECT *, (r - 1) % 3 + 1 AS weight, CAST(3 * source_size AS DOUBLE) AS cap, sum(source_size) OVER () AS total FROM s),
+            -- if the sources before this one, by the level at which they are full, are full, the others share the rest
+            x AS (SELECT *, cap / weight AS full_at, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+            l AS (SELECT max(level) AS level FROM x WHERE level <= full_at)
+            SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(least(cap, l.level * weight), 3) AS target FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source CROSS JOIN l""",
+        "license_base_places": r"""
+            WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+            h AS (SELECT doc_id, len(w) AS n_words, list_filter(range(1, len(w)), lambda i: w[i] = 'mit' AND w[i + 1] = 'license') AS m, list_filter(range(1, len(w)), lambda i: w[i] = 'apache' AND w[i + 1] = 'license') AS a,
+                    list_filter(range(1, len(w) - 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS g FROM w)
+            SELECT doc_id, n_words, len(m) + len(a) + len(g) AS n_base, list_min(list_concat(m, a, g)) - 1 AS first_word, list_max(list_concat(m, a, g)) - 1 AS last_word,
+                   array_to_string(list_filter([CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(m) > 0 THEN 'mit' END], lambda x: x IS NOT NULL), ',') AS base_labels FROM h""",
         "op8_ngram_jaccard_join": r"""
             WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')] ELSE list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) END) AS g FROM w),

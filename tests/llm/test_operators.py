@@ -479,7 +479,7 @@ def test_lm_gradients():
         assert math.isclose((up - down) / 2e-3, np.abs(g[name]).sum(), rel_tol=0.02)
 
 
-@pytest.mark.parametrize("name", ["op2_exact_dedup", "op8_ngram_jaccard_join", "op9_embedding_near_dedup"])
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op8_ngram_jaccard_join", "op9_embedding_near_dedup", "source_mixing_targets", "license_base_places"])
 def test_matches_sql(spark, name):
     """The query and its SQL twin give the same rows on driver tables."""
     import os
