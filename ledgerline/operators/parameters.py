@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 SHAPES = 64  #: sets of condition columns that one pass over a table serves; more sets take more passes
 
+COPIES = 64  #: of a found row, among which the statements that share its conditions are spread
+
 
 def _text(df: DataFrame, column: str) -> Column:
     kind = dict(df.dtypes)[column]
@@ -39,7 +41,9 @@ def _sampled(asked: DataFrame, rows: DataFrame, key: str, own: str | None, compa
         found = least if found is None else found.union(least)
     if found is None:
         return asked.select("statement", "column_name", F.lit(None).cast("string").alias("value")).limit(0)
-    met = sought.join(found, ["_shape", "_values"])
+    # most statements may share one set of conditions: its one row is copied, and they meet the copies
+    found = found.join(sought.select("_shape", "_values").distinct(), ["_shape", "_values"], "left_semi").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    met = sought.withColumn("_copy", F.pmod(F.hash("statement"), F.lit(COPIES))).join(found, ["_shape", "_values", "_copy"])
     cell = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_least._row.{c}").alias("value")) for c in columns])
     return met.select("statement", F.explode(cell).alias("_v")).select("statement", "_v.column_name", "_v.value").where("value IS NOT NULL")
 
