@@ -6,6 +6,10 @@ the term with the least ln a = ln c - r * (t - b + 1) is the sample (Ioffe, 2010
 with a probability of their generalised Jaccard similarity, sum(min) / sum(max) of weights.  As a depends on the
 term and t alone, the least value stands for them: a place keeps 32 bits of its hash.
 
+The least a of n words exceeds ``REACH`` / n with a probability of exp(-``REACH``).  So a term is drawn, which takes three
+logarithms, only if a bound without any, from -ln x >= 2 (1 - x) / (1 + x) and means of powers, leaves its a below that.  A document
+with a place whose least drawn a is not below it is sampled again with every term drawn, so that each place has its least value.
+
 Texts shuffle once by (doc_id, hash of the text), where repeated rows collapse before the shuffle; what a neighbour's text lends
 to an edited one shuffles besides.  Words are counted and sampled where their text lies: those before the change are read once for
 both texts, and a word that weighs the same in both draws once.  The order of documents is found by ranges of ids and their ends, never in one task.
@@ -24,6 +28,7 @@ from pyspark.sql.window import Window
 from ledgerline.llm.common import cut
 
 SAMPLES = 64
+REACH = 24.0  #: a second look is due once in 10**8 documents
 SPACE = r"[\x20\x09-\x0D]+"
 FIRST = -(1 << 63)  #: stands for a null doc_id
 
@@ -66,20 +71,37 @@ def edited(docs: DataFrame, order: DataFrame, part: int = 4) -> DataFrame:
     return texts.join(pieces, ["id", "key"]).select("id", "key", "text", F.concat(left, F.col("piece")).alias("edited"), shared.alias("shared"))
 
 
-def draws(place: int) -> tuple[str, str, str]:
-    """SQL of r, ln c and b of the column ``term`` at a place."""
+def _uniforms(place: int) -> tuple[str, str, str]:
+    """SQL of exp(-r), exp(-c) and b of the column ``term`` at a place."""
     one, two = (f"xxhash64(term ^ {(2 * place + i) * 0x9E3779B97F4A7C15 % (1 << 63)}L)" for i in (1, 2))
     unit = lambda h, shift, bits: f"((shiftrightunsigned({h}, {shift}) & {(1 << bits) - 1}L) + 0.5D) * {2.0 ** -bits!r}D"
-    return f"(-ln({unit(one, 0, 21)} * {unit(one, 21, 21)}))", f"ln(-ln({unit(two, 0, 32)} * {unit(two, 32, 32)}))", f"({unit(one, 42, 22)})"
+    return f"({unit(one, 0, 21)} * {unit(one, 21, 21)})", f"({unit(two, 0, 32)} * {unit(two, 32, 32)})", f"({unit(one, 42, 22)})"
+
+
+def draws(place: int) -> tuple[str, str, str]:
+    """SQL of r, ln c and b of the column ``term`` at a place."""
+    y, z, b = _uniforms(place)
+    return f"(-ln{y})", f"ln(-ln{z})", b
+
 
+def within(place: int) -> str:
+    """SQL of a test without logarithms that holds wherever a < ``far``: c is at least 2 (1 - z) / (1 + z), and
+    y^(t - b + 1) at least y / weight, for t = 0 the harmonic mean of 1 and y too."""
+    y, z, b = _uniforms(place)
+    return f"2D * (1D - {z}) < far * (1D + {z}) * if(weight = 1, {b} + (1D - {b}) / {y}, weight / {y})"
 
-def sampled(terms: DataFrame, by: list[str], samples: int = SAMPLES) -> DataFrame:
-    """``by`` and the least ln a of each place, p0, p1 ...; terms: rows of ``by``, a long ``term`` and its ``weight`` (0: no term)."""
-    logs = terms.select(*by, "term", F.expr("CASE WHEN weight > 0 THEN ln(weight) END AS log_w"))
+
+def sampled(terms: DataFrame, by: list[str], samples: int = SAMPLES, pruned: bool = True) -> DataFrame:
+    """``by`` and the least ln a of each place, p0, p1 ...; terms: rows of ``by``, a long ``term``, its ``weight`` and ``far``.
+
+    pruned: a place holds its least value only if that is below ln ``far``, else it may be null or a greater one.
+    """
+    logs = terms.select(*by, "term", "weight", "far", F.ln("weight").alias("log_w"))
     least = []
     for k in range(samples):
         r, log_c, b = draws(k)
-        least.append(F.expr(f"min({log_c} - {r} * (floor(log_w / {r} + {b}) - {b} + 1D)) AS p{k}"))
+        value = f"{log_c} - {r} * (floor(log_w / {r} + {b}) - {b} + 1D)"
+        least.append(F.expr(f"min({f'if({within(k)}, {value}, NULL)' if pruned else value}) AS p{k}"))
     return logs.groupBy(*by).agg(*least)
 
 
@@ -98,23 +120,41 @@ def written(samples: Column) -> Column:
     return F.array_join(F.transform(samples, lambda x: F.lower(F.right(F.lpad(F.hex(x.cast("long")), F.lit(16), F.lit("0")), F.lit(8)))), "")
 
 
-def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
+def printed(texts: DataFrame, samples: int, reach: float | None) -> DataFrame:
+    """(id, key, fingerprint, edited_fingerprint, sure) of the texts that have words; sure: no place lacks its least value."""
+    pieces = {"both": "substring(text, 1, shared)", "own": "substring(text, shared + 1)", "new": "substring(edited, shared + 1)"}
+    split = texts.select("id", "key", *[F.split(F.expr(of), SPACE).alias(name) for name, of in pieces.items()])
+    # a split has two empty pieces at most, so that a text has n - 4 words at least
+    n = F.size("both") + F.least(F.size("own"), F.size("new"))
+    far = F.lit(reach or 0.0) / F.greatest(n - 4, F.lit(1))
+    words = split.select("id", "key", far.alias("far"), F.size("both").alias("n_both"), (F.size("both") + F.size("own")).alias("n_own"), F.posexplode(F.concat(*pieces)).alias("at", "word")).where("word <> ''")
+    at = F.col("at")
+    words = words.select("id", "key", "far", F.xxhash64("word").alias("term"), (at < F.col("n_own")).cast("int").alias("own"), ((at < F.col("n_both")) | (at >= F.col("n_own"))).cast("int").alias("new"))
+    terms = words.groupBy("id", "key", "far", "term").agg(F.sum("own").alias("own"), F.sum("new").alias("new"))
+    # a term that weighs the same in both texts is sampled once, one that a text lacks is not sampled for it
+    own, new = "struct(1 AS side, own AS weight)", "struct(2 AS side, new AS weight)"
+    sides = f"CASE WHEN own = new THEN array(struct(0 AS side, own AS weight)) WHEN new = 0 THEN array({own}) WHEN own = 0 THEN array({new}) ELSE array({own}, {new}) END"
+    least = sampled(terms.select("id", "key", "far", "term", F.expr(f"inline({sides})")), ["id", "key", "far", "side"], samples, reach is not None)
+    names = {"a": 2, "b": 1}  # the side that is not theirs
+    values = [F.min(F.when(F.col("side") != other, F.col(f"p{k}"))).alias(f"{name}{k}") for name, other in names.items() for k in range(samples)]
+    each = least.groupBy("id", "key", "far").agg(*values, *[F.bool_or(F.col("side") != other).alias(f"has_{name}") for name, other in names.items()])
+    # with a little room for rounding
+    lacks = [f"(has_{name} AND exists(array({', '.join(f'{name}{k}' for k in range(samples))}), x -> x IS NULL OR x > ln(far) - 1e-9D))" for name in names] if reach is not None else ["false"]
+    return each.select("id", "key", *[places([f"{name}{k}" for k in range(samples)]).alias(to) for name, to in (("a", "fingerprint"), ("b", "edited_fingerprint"))], F.expr(f"NOT ({' OR '.join(lacks)})").alias("sure"))
+
+
+def fingerprints(docs: DataFrame, samples: int = SAMPLES, reach: float = REACH) -> DataFrame:
     """A row per row of ``docs``: fingerprints of its text and of its edited text, and their likenesses."""
     order = cut(neighbours(docs))
     texts = edited(docs, order)
-    pieces = {"both": "substring(text, 1, shared)", "own": "substring(text, shared + 1)", "new": "substring(edited, shared + 1)"}
-    split = texts.select("id", "key", *[F.split(F.expr(of), SPACE).alias(name) for name, of in pieces.items()])
-    # every text splits into one piece at least, so each document has rows; an empty piece is no term, but keeps its document
-    words = split.select("id", "key", F.size("both").alias("n_both"), (F.size("both") + F.size("own")).alias("n_own"), F.posexplode(F.concat(*pieces)).alias("at", "word"))
-    is_term, at = F.col("word") != "", F.col("at")
-    words = words.select("id", "key", F.when(is_term, F.xxhash64("word")).alias("term"), (is_term & (at < F.col("n_own"))).cast("int").alias("own"), (is_term & ((at < F.col("n_both")) | (at >= F.col("n_own")))).cast("int").alias("new"))
-    terms = words.groupBy("id", "key", "term").agg(F.sum("own").alias("own"), F.sum("new").alias("new"))
-    # a term that weighs the same in both texts is sampled once
-    sides = "CASE WHEN own = new THEN array(struct(0 AS side, own AS weight)) ELSE array(struct(1 AS side, own AS weight), struct(2 AS side, new AS weight)) END"
-    least = sampled(terms.select("id", "key", "term", F.expr(f"inline({sides})")), ["id", "key", "side"], samples)
-    each = least.groupBy("id", "key").agg(*[F.min(F.when(F.col("side") != other, F.col(f"p{k}"))).alias(f"{name}{k}") for name, other in (("a", 2), ("b", 1)) for k in range(samples)])
-    found = each.select("id", "key", *[places([f"{name}{k}" for k in range(samples)]).alias(to) for name, to in (("a", "fingerprint"), ("b", "edited_fingerprint"))])
-    found = cut(found.join(texts.select("id", "key", F.sha2("edited", 256).alias("edited_sha256")), ["id", "key"]))
+    none = F.expr(f"array_repeat(0, {samples})")
+    prints = [F.coalesce(c, none).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    whole = texts.select("id", "key", F.sha2("edited", 256).alias("edited_sha256"))
+    found = cut(whole.join(printed(texts, samples, reach), ["id", "key"], "left").select("id", "key", "edited_sha256", *prints, F.coalesce("sure", F.lit(True)).alias("sure")))
+    unsure = found.where("NOT sure").select("id", "key", "edited_sha256")
+    if not unsure.isEmpty():
+        again = unsure.join(printed(texts.join(unsure, ["id", "key"], "left_semi"), samples, None), ["id", "key"])
+        found = cut(found.where("sure").unionByName(again.select(*found.columns)))
     after = found.select(F.col("id").alias("next_id"), F.col("key").alias("next_key"), F.col("fingerprint").alias("next_fingerprint"))
     rows = order.join(found, ["id", "key"]).join(after, ["next_id", "next_key"]).withColumn("copy", F.explode(F.expr("sequence(1L, n)")))
     return rows.select(

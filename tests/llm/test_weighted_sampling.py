@@ -122,3 +122,16 @@ def test_main_path_is_native(spark):
     df = spark.createDataFrame([(1, "a b c", "", "", "")], SCHEMA)
     plan = ws.edited(df, ws.neighbours(df))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan.replace("Scan ExistingRDD", ""))
+
+
+def test_terms_are_drawn_only_where_they_can_be_least(spark):
+    """Whatever is left undrawn, at a usual reach or one so short that many places need a second look, no result changes."""
+    df = spark.createDataFrame([(*r, "", "", "") for r in texts()], SCHEMA)
+    rows = lambda reach: sorted(map(str, ws.fingerprints(df, 16, reach).collect()))
+    assert rows(ws.REACH) == rows(1.0) == rows(1e9)
+    # of single words, most are left undrawn
+    ids = spark.range(20000).selectExpr("id % 10 AS g", "xxhash64(id) AS term", "1 AS weight", "12D / 1000 AS far")
+    drawn = ids.selectExpr(f"count_if({ws.within(3)}) AS n").first()["n"]
+    assert 0 < drawn < 3000
+    every = ws.sampled(ids, ["g"], 4, False)
+    assert every.where("greatest(p0, p1, p2, p3) < ln(0.012)").count() == 10 and ws.sampled(ids, ["g"], 4).exceptAll(every).count() == 0
