@@ -38,9 +38,10 @@ STATE = 16
 WINDOW = 16
 TRAIN_BATCH = 256
 SAFE = 60.0  #: logits whose exponents single precision holds, and sums of them
-CHUNK = 2048  #: tokens whose probabilities are found at once, small enough for the cache
+CHUNK = 8192  #: tokens whose probabilities are found at once: a fixed cost a class is spread over them
 ROUNDS = 2
-SCORE_DOCS = 4096  #: texts that are scored side by side
+SCORE_DOCS = 8192  #: texts that are scored side by side
+SCORE_TOKENS = 8192  #: tokens that a window of them spans, so that few long texts left don't make small ones
 END = U(0x1D0C5E17AB54A98C)  #: hash of the end token
 RATE = 0.015
 START = WORDS + KINDS  #: input before a text's first token
@@ -186,8 +187,8 @@ class Network:
         return out, h
 
     def _kinds(self, y: np.ndarray) -> np.ndarray:
-        """The class of each target."""
-        return np.where(y < WORDS, self.cls[np.minimum(y, len(self.cls) - 1)] if len(self.cls) else 0, y - WORDS + CLASSES)
+        """The class of each target, in bytes, which sort fast."""
+        return np.where(y < WORDS, self.cls[np.minimum(y, len(self.cls) - 1)] if len(self.cls) else 0, y - WORDS + CLASSES).astype(np.uint8)
 
     def _stacked(self) -> tuple[np.ndarray, np.ndarray, bool]:
         """Weights of classes and words with their biases as a last row or column, and whether all logits lie within
@@ -276,7 +277,7 @@ class Network:
         g["u"] = hps.reshape(-1, STATE).T @ da
         # sums by input: only rows of inputs that the window holds are written
         xs = x.ravel()
-        order = np.argsort(xs, kind="stable")
+        order = np.argsort(xs.astype(np.uint16), kind="stable")
         ids, first = np.unique(xs[order], return_index=True)
         g["e"] = np.zeros_like(self.w["e"])
         g["e"][ids] = np.add.reduceat(da[order], first, axis=0)
@@ -311,11 +312,16 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, ids binary, size long, n_head long, log double, own double, tail array<long>, tail_n array<long>")
 
 
-def _windows(seqs: list[np.ndarray], end: int, start: int, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(texts, inputs, targets, real) of windows over texts sorted by length, longest first; inputs and targets are (steps, texts)."""
+def _windows(seqs: list[np.ndarray], end: int, start: int, least: int, span: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(texts, inputs, targets, real) of windows over texts sorted by length, longest first; inputs and targets are (steps, texts).
+
+    A window has ``least`` steps, or more if that many of the texts left hold fewer than ``span`` tokens.
+    """
     size = np.array([len(s) + 1 for s in seqs])
-    for at in range(0, int(size.max()), width):
+    at = 0
+    while at < size[0]:
         n = int((size > at).sum())
+        width = max(least, min(span // n, int(size[0]) - at))
         y = np.full((width, n), end, np.int64)
         x = np.full((width, n), start, np.int64)
         for j in range(n):
@@ -326,6 +332,7 @@ def _windows(seqs: list[np.ndarray], end: int, start: int, width: int) -> Iterat
         real = np.arange(at, at + width)[:, None] < size[:n]
         steps = int(real.any(axis=1).sum())
         yield n, x[:steps], y[:steps], real[:steps]
+        at += width
 
 
 def _end(v: Vocabulary) -> int:
@@ -431,7 +438,7 @@ def score(rows: DataFrame, counts: DataFrame, v: Vocabulary, weights: dict[str,
             order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
             mine = [seqs[i] for i in order]
             h, total = np.zeros((len(mine), STATE), np.float32), np.zeros(len(mine))
-            for n, x, y, real in _windows(mine, end, START, WINDOW):
+            for n, x, y, real in _windows(mine, end, START, WINDOW, SCORE_TOKENS):
                 hs, h = net.run(x, h[:n])
                 flat = np.flatnonzero(real.ravel())
                 p = net.log_p(hs.reshape(-1, STATE)[flat], y.ravel()[flat])

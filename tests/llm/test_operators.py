@@ -499,3 +499,12 @@ def test_matches_sql(spark, name):
     got = queries.queries()[name](spark, sf)
     assert got.columns == names
     assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
+
+
+def test_lm_windows_widen_where_few_texts_are_left():
+    seqs = [np.arange(n) % 7 for n in (5000, 40, 40, 3, 0)]
+    got = list(lm_score._windows(seqs, 9, 8, 16, 1024))
+    assert len(got) < 10  # with 16 steps each: 313
+    for j, s in enumerate(seqs):
+        x, y = (np.concatenate([w[i][:, j][w[3][:, j]] for w in got if w[0] > j]) for i in (1, 2))
+        assert y.tolist() == [*s, 9] and x.tolist() == [8, *s]
