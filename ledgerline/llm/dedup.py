@@ -149,25 +149,24 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     name = f"_look_{uuid.uuid4().hex}"
     best = _best(suspects(marks, bits, filter_).where("suspect"))
     best = cut(best.select(F.col("sha").alias(f"{name}_sha"), F.col("best.doc_id").alias(f"{name}_keep")))
-    key = lambda sha, doc_id: F.xxhash64(sha, doc_id, doc_id.isNull())
-    stays = KeyFilter(best.select(key(F.col(f"{name}_sha"), F.col(f"{name}_keep"))))
+    key = F.conv(F.substring(F.hex(f"{name}_sha"), 1, 15), 16, 10).cast("long").bitwiseXOR(F.coalesce(f"{name}_keep", F.lit(-1)))
+    stays = KeyFilter(best.select(key))
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
     per = min(SEGMENT, bits)
 
-    @F.pandas_udf("suspect boolean, sha binary")
-    def look(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("suspect boolean, stays boolean, sha binary")
+    def look(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         bitmap = _bitmap(bits, per, shared.value)
-        for t in texts:
+        for t, i in parts:
             sha = [hashlib.sha256(normalise(x)).digest() for x in t]
-            yield pd.DataFrame({"suspect": _hit(bitmap, pa.array(sha, pa.binary()), bits), "sha": sha})
-
-    @F.pandas_udf("boolean")
-    def maybe(x: pd.Series) -> pd.Series:
-        return pd.Series(stays.has(x.to_numpy()))
-
-    seen = lean(docs).withColumn(name, look(F.col("text").cast("string")))
-    sha, doc_id = F.col(f"{name}.sha"), F.col("doc_id").cast("long")
-    some = seen.where(F.col(f"{name}.suspect")).where(maybe(key(sha, doc_id)))
+            first = np.frombuffer(b"".join(x[:8] for x in sha), dtype=">u8") >> U(4)  # 60 bits, as in ``key``
+            yield pd.DataFrame({"suspect": _hit(bitmap, pa.array(sha, pa.binary()), bits), "stays": stays.has(first.astype(np.int64) ^ i.to_numpy(np.int64)), "sha": sha})
+
+    # each Python evaluation of a task keeps a worker of its own: one pass, which the optimizer must not repeat for the filters
+    doc_id = F.col("doc_id").cast("long")
+    seen = lean(docs).withColumn(name, look.asNondeterministic()(F.col("text").cast("string"), F.coalesce(doc_id, F.lit(-1))))
+    sha = F.col(f"{name}.sha")
+    some = seen.where(F.col(f"{name}.suspect") & F.col(f"{name}.stays"))
     stay = some.join(best, (sha == F.col(f"{name}_sha")) & doc_id.eqNullSafe(F.col(f"{name}_keep")), "left_semi")
     stay = stay.withColumn(name, sha).dropDuplicates([name, "doc_id"])
     return seen.where(~F.col(f"{name}.suspect")).drop(name).unionByName(stay.drop(name))
