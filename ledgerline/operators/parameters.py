@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators.lineage import kept
+
 SHAPES = 64  #: sets of condition columns that one pass over a table serves; more sets take more passes
 
 COPIES = 64  #: of a found row, among which the statements that share its conditions are spread
@@ -17,35 +17,37 @@ def _text(df: DataFrame, column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd") if kind == "date" or kind.startswith("timestamp") else F.col(column).cast("string")
 
 
-def _sampled(asked: DataFrame, rows: DataFrame, key: str, own: str | None, company: str | None) -> DataFrame:
-    """(statement, column_name, value): per statement the columns of the first row, by ``key``, that agrees with what is known.
+def _sampled(asked: DataFrame, columns: list[str], rows: DataFrame, key: str, own: str | None, company: str | None) -> DataFrame | None:
+    """(statement, name, column_name, value): per statement the columns of the first row, by ``key``, that agrees with what is known.
 
-    ``asked`` (statement, column_name, known) holds the comparisons of one table.  Rows are reduced to one per set of conditions
-    before they meet statements, so a value that most rows hold costs no more than a rare one.
+    ``asked`` (statement, name, column_name, known) holds the comparisons of one table, all with ``columns`` of it.  Rows are reduced
+    to one per set of conditions before they meet statements, so a value that most rows hold costs no more than a rare one.
     """
-    columns = [r[0] for r in asked.select("column_name").distinct().collect() if r[0] in rows.columns]  # as many as the table has at most
-    asked = asked.where(F.col("column_name").isin(columns))
-    known = asked.where("known IS NOT NULL").groupBy("statement").agg(F.array_sort(F.collect_set(F.struct("column_name", "known"))).alias("_c"))  # a statement's own
-    sought = asked.select("statement").distinct().join(known, "statement", "left").withColumn("_c", F.coalesce("_c", F.array().cast("array<struct<column_name:string,known:string>>")))
-    sought = sought.select("statement", F.col("_c.column_name").alias("_shape"), F.col("_c.known").alias("_values"))
+    pair = lambda c: F.struct("column_name", F.col(c))
+    sought = asked.groupBy("statement").agg(  # a statement's own
+        F.array_sort(F.collect_set(F.when(F.col("known").isNotNull(), pair("known")))).alias("_c"),
+        F.collect_set(F.when(F.col("known").isNull(), pair("name"))).alias("_open"),
+    )
+    sought = kept(sought.where("size(_open) > 0").select("statement", F.col("_c.column_name").alias("_shape"), F.col("_c.known").alias("_values"), "_open"))
     shapes = [r[0] for r in sought.select("_shape").distinct().collect()]  # sets of columns, not values
     shapes = [s for s in shapes if len(set(s)) == len(s)]  # one column can't equal two values
     if own is not None and company is not None:
         rows = rows.where(_text(rows, own) == company)
-    found = None
+    found = sought.select("_shape", "_values", F.lit(True).alias("_asked")).distinct()
     for i in range(0, len(shapes), SHAPES):
         asked_of = F.array(*[F.struct(F.array(*map(F.lit, s)).cast("array<string>").alias("_shape"), F.array(*[_text(rows, c) for c in s]).cast("array<string>").alias("_values")) for s in shapes[i : i + SHAPES]])
         values = F.struct(*[_text(rows, c).alias(c) for c in columns])
         cells = rows.select(asked_of.alias("_all"), F.col(key).alias("_key"), values.alias("_row")).select(F.explode("_all").alias("_a"), "_key", "_row")
-        least = cells.where(~F.exists("_a._values", lambda v: v.isNull())).groupBy("_a._shape", "_a._values").agg(F.min(F.struct("_key", "_row")).alias("_least"))
-        found = least if found is None else found.union(least)
-    if found is None:
-        return asked.select("statement", "column_name", F.lit(None).cast("string").alias("value")).limit(0)
+        fit = cells.where(~F.exists("_a._values", lambda v: v.isNull())).select("_a._shape", "_a._values", F.struct("_key", "_row").alias("_least"))
+        found = found.unionByName(fit, allowMissingColumns=True)
+    if not shapes:
+        return None
+    found = found.groupBy("_shape", "_values").agg(F.bool_or("_asked").alias("_asked"), F.min("_least").alias("_least")).where("_asked AND _least IS NOT NULL")
     # most statements may share one set of conditions: its one row is copied, and they meet the copies
-    found = found.join(sought.select("_shape", "_values").distinct(), ["_shape", "_values"], "left_semi").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
-    met = sought.withColumn("_copy", F.pmod(F.hash("statement"), F.lit(COPIES))).join(found, ["_shape", "_values", "_copy"])
-    cell = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_least._row.{c}").alias("value")) for c in columns])
-    return met.select("statement", F.explode(cell).alias("_v")).select("statement", "_v.column_name", "_v.value").where("value IS NOT NULL")
+    found = found.select("_shape", "_values", "_least", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("_copy"))
+    met = sought.withColumn("_copy", F.pmod(F.hash("statement"), F.lit(COPIES))).join(found.hint("merge"), ["_shape", "_values", "_copy"])
+    value = F.coalesce(*[F.when(F.col("column_name") == c, F.col(f"_row.{c}")) for c in columns])
+    return met.select("statement", F.col("_least._row").alias("_row"), F.inline("_open")).select("statement", "name", "column_name", value.alias("value")).where("value IS NOT NULL")
 
 
 def inferred(
@@ -76,30 +78,33 @@ def inferred(
     Rows without statement or name are left out.
     """
     key = ["statement", "name"]
-    params = params.where("statement IS NOT NULL AND name IS NOT NULL").select(*key).distinct()
+    params = params.where("statement IS NOT NULL AND name IS NOT NULL").select(*key, F.lit(True).alias("asked"))
     none = F.lit(None).cast("string")
-    own = given.where("value IS NOT NULL").groupBy(*key).agg(F.min("value").alias("given"))
     is_company = F.lower("name").isin(*company_names) if company is not None else F.lit(False)
-    first = params.join(own, key, "left").select(*key, "given", F.when(F.col("given").isNull() & is_company, F.lit(company)).alias("company"))
-    known = first.select(*key, F.coalesce("given", "company").alias("known"))
-
-    asked = compared.select(*key, "table_name", "column_name").distinct().join(known, key)
-    parts = []
+    # sides meet by grouping: Spark takes exploded rows for few, and a join would send them to the driver for a broadcast
+    sides = params.unionByName(given.select(*key, F.col("value").alias("given")), allowMissingColumns=True)
+    sides = sides.unionByName(compared.where("table_name IS NOT NULL AND column_name IS NOT NULL").select(*key, F.struct("table_name", "column_name").alias("place")), allowMissingColumns=True)
+    first = sides.groupBy(*key).agg(F.bool_or("asked").alias("asked"), F.min("given").alias("given"), F.collect_set("place").alias("places")).where("asked")
+    first = kept(first.select(*key, "given", F.when(F.col("given").isNull() & is_company, F.lit(company)).cast("string").alias("company"), "places"))
+
+    asked = first.select(*key, F.coalesce("given", "company").alias("known"), F.inline("places"))
+    places = asked.where(F.col("table_name").isin(*samples)).select("table_name", "column_name").distinct().collect() if samples else []  # names, as many as tables have at most
+    sources = first.select(*key, "given", "company", F.lit(None).cast("struct<table_name:string,column_name:string,value:string>").alias("hit"), F.lit(None).cast("struct<key:string,value:string>").alias("c"))
     for table, (rows, order, column) in samples.items():
-        of_table = asked.where(F.col("table_name") == table)
-        got = _sampled(of_table.select("statement", "column_name", "known"), rows, order, column, company)
-        parts.append(of_table.where("known IS NULL").join(got, ["statement", "column_name"]).select(*key, F.struct("table_name", "column_name", "value").alias("hit")))
-    if parts:
-        hits = reduce(DataFrame.union, parts).groupBy(*key).agg(F.min("hit").alias("hit"))
-        first = first.join(hits, key, "left").withColumns({"sample": F.col("hit.value"), "column": F.concat_ws(".", "hit.table_name", "hit.column_name")}).drop("hit")
-    else:
-        first = first.withColumns({"sample": none, "column": none})
+        columns = [c for c in rows.columns if (table, c) in {tuple(p) for p in places}]
+        if columns:
+            of_table = asked.where((F.col("table_name") == table) & F.col("column_name").isin(*columns))
+            got = _sampled(of_table.select(*key, "column_name", "known"), columns, rows, order, column, company)
+            if got is not None:
+                sources = sources.unionByName(got.select(*key, F.struct(F.lit(table).alias("table_name"), "column_name", "value").alias("hit")), allowMissingColumns=True)
 
     low = lambda c: F.lower(F.col(c))
     fits = F.contains(low("key"), low("name")) | F.contains(low("name"), low("key")) | F.contains(low("name"), low("value"))
     of_callers = constants.where("key <> '' AND value <> ''").select("statement", "key", "value")
-    chosen = params.join(of_callers, "statement").where(fits).groupBy(*key).agg(F.min(F.struct("key", "value")).alias("c"))
-    first = first.join(chosen, key, "left")
+    chosen = first.select(*key).join(of_callers.hint("merge"), "statement").where(fits).select(*key, F.struct("key", "value").alias("c"))
+    sources = sources.unionByName(chosen, allowMissingColumns=True)
+    first = sources.groupBy(*key).agg(*[F.min(c).alias(c) for c in ("given", "company", "hit", "c")])
+    first = first.withColumns({"sample": F.col("hit.value"), "column": F.concat_ws(".", "hit.table_name", "hit.column_name")})
     by_name = F.coalesce(*[F.when(F.rlike("name", F.lit(f"(?i){p}")), F.lit(v)) for p, v in rules], none)
 
     found = {"given": F.col("given"), "company": F.col("company"), "sample": F.col("sample"), "constant": F.col("c.value"), "rule": by_name}

@@ -79,3 +79,22 @@ def test_edges(spark):
     nothing = parameters.inferred(params, empty(VALUED), empty(COMPARED), {"t": (table.limit(0), "k", "p")}, empty(CALLED), [("^a", "v")], "7")
     assert rows(nothing) == [("s", "at", "v", "rule", None), ("s", "p", "?", "none", None), ("s", "q", "?", "none", None)]
     assert rows(parameters.inferred(empty(NAMED), given, compared, sample, empty(CALLED), [])) == [] and len(rows(parameters.inferred(params, given, compared, {}, empty(CALLED), []))) == 3
+
+
+def test_statements_are_never_broadcast(spark):
+    # exploded rows look few to Spark, so that a join would bring all statements to the driver
+    made = spark.range(3000).select(F.concat(F.lit("s"), "id").alias("statement"), "id")
+    params = made.select("statement", F.explode(F.array(F.lit("k"), F.lit("p"), F.lit("mode"))).alias("name"))
+    compared = made.select("statement", F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.lit("t").alias("table_name"), F.lit(c).alias("column_name")) for c in ("k", "p")])))
+    given = made.where("id % 2 = 0").select("statement", F.lit("k").alias("name"), (F.col("id") % 10).cast("string").alias("value"))
+    constants = made.where("id % 3 = 0").select("statement", F.lit("MODE").alias("key"), F.lit("v").alias("value"))
+    table = spark.range(8).select(F.col("id").alias("k"), (F.col("id") + 100).alias("p"))
+    got = parameters.inferred(params, given, compared, {"t": (table, "k", None)}, constants, [])
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i in range(3000):
+        k = str(i % 10) if i % 2 == 0 else "0"
+        want[f"s{i}", "k"] = (k, "given", None) if i % 2 == 0 else ("0", "sample", "t.k")
+        want[f"s{i}", "p"] = ("?", "none", None) if int(k) > 7 else (str(100 + int(k)), "sample", "t.p")
+        want[f"s{i}", "mode"] = ("v", "constant", "MODE") if i % 3 == 0 else ("?", "none", None)
+    assert {(r[0], r[1]): tuple(r[2:]) for r in got.collect()} == want and got.count() == len(want)
