@@ -1,8 +1,11 @@
 """Sources, sinks, gateway and operators on small fixtures."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline import queries
 from ledgerline.functions import text
 from ledgerline.operators import logs, ranking, retrieval, verdicts
 from ledgerline.plans import gateway
@@ -92,6 +95,39 @@ def test_nearest_in_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_lookup_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    rng = random.Random(3)
+    rows = [(i, [round(rng.random(), 1) for _ in range(3)], rng.choice(["a", "b", "c", None])) for i in range(120)]
+    odd = [(200, None, "a"), (220, [0.1, None, 0.2], "b"), (240, [0.5, 0.5], "c"), (260, [], "a"), (None, [0.1, 0.2, 0.3], "a")]
+    twice = [(40, [0.9, 0.9, 0.9], "b"), (41, [0.1, 0.1, 0.1], "c")]
+
+    def want(rows, queries):
+        best = {}
+        for i, v, a in rows:
+            for q, w, b in queries:
+                fits = v and w and len(v) == len(w) and None not in v and None not in w
+                tier = 0 if a is not None and a == b else 1 if fits and round(sum((x - y) ** 2 for x, y in zip(v, w, strict=True)), 6) <= 0.29 else None
+                if tier is not None:
+                    best[q, i] = min(tier, best.get((q, i), 1))
+        return sorted(((q, i, t) for (q, i), t in best.items()), key=str)
+
+    for data in (rows, rows + odd, rows + odd + twice):
+        v = spark.createDataFrame(data, "vec_id long, embedding array<double>, label string").repartition(5)
+        got = retrieval.lookup(v, v.where("vec_id % 20 = 0"), 0.29)
+        assert sorted(map(tuple, got.collect()), key=str) == want(data, [r for r in data if r[0] is not None and r[0] % 20 == 0])
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert retrieval.lookup(empty, empty, 1.0).collect() == []
+
+
+def test_lookup_shuffles_no_pairs(spark, tmp_path):
+    spark.createDataFrame([(i, [i / 400, 0.5], i % 3) for i in range(400)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.queries()["hybrid_lookup"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan.split("Join")[0] and "Exchange" not in plan.split("Join")[0] and "Aggregate" not in plan  # above the join of blocks
+    assert got.count() == 20 * 400
+
+
 def test_grid_moves_least():
     for cells, v, q in ((8, 10**6, 5 * 10**4), (1000, 10**9, 5 * 10**7), (1000, 10**6, 10**6), (4, 10, 1), (200, 0, 0)):
         across, down = retrieval._grid(cells, v, q)
