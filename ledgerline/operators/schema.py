@@ -30,7 +30,7 @@ def sliced(columns: DataFrame, keys: DataFrame, patterns: list[str], budget: int
     line = F.concat(F.lit("Ref: "), "child", F.lit("."), "child_column", F.lit(" > "), "parent", F.lit("."), "key_column")
     refs = keys.select(F.col("child").alias("table_name"), "parent", line.alias("line")).distinct()
     longest = refs.groupBy("table_name").agg(F.sum(F.length("line") + 4).alias("extra"))  # a line end and a comment's mark
-    sized = bodies.join(longest, "table_name", "left").select("table_name", "places", F.element_at("places", 1).alias("place"), "block", (F.length("block") + F.coalesce("extra", F.lit(0))).cast("long").alias("size"))
+    sized = bodies.join(longest, "table_name", "left").select("table_name", "places", F.get("places", F.lit(0)).alias("place"), "block", (F.length("block") + F.coalesce("extra", F.lit(0))).cast("long").alias("size"))
     sized = sized.withColumn("at", F.concat(F.lpad(F.col("place").cast("string"), 6, "0"), F.lit(" "), "table_name")).withColumn("all", F.lit(0))
     taken = ranking.budgeted(sized.select("all", "at", "size"), "all", "at", "size", budget).select("at", F.lit(True).alias("fits"))
     tables = sized.join(taken, "at", "left").select("table_name", "place", "size", "block", F.col("fits").isNotNull().alias("fits"))

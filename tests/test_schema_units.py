@@ -36,6 +36,14 @@ def test_slice(spark):
     assert rows(schema.sliced(columns.limit(0), keys.limit(0), ["*"], 100)) == [("*", None, "missing", None, None)] and rows(schema.sliced(columns, keys, [], 100)) == []
 
 
+def test_slice_in_any_filter_order(spark):
+    # Spark may evaluate what it infers from a join before the filter that keeps tables with a glob, so no table may fail there
+    columns = spark.createDataFrame([("emp", 1, "id", "int"), ("dept", 1, "id", "int")], COLUMNS)
+    got = schema.sliced(columns, spark.createDataFrame([], KEYS), ["e*"], 100)
+    assert "element_at(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r)[:3] for r in got.collect()] == [("e*", "emp", "included")]
+
+
 def test_drift(spark):
     before = spark.createDataFrame([("column", "t", "a", "int"), ("column", "t", "b", None), ("index", "t", "ix", "a"), ("index", "t", "ix", "a"), ("column", "gone", "a", "int"), ("routine", None, "f", "x"), ("routine", None, "g", "x")], PART)
     after = spark.createDataFrame([("column", "t", "a", "bigint"), ("column", "t", "b", ""), ("check", "t", "a", "a > 0"), ("column", "fresh", "a", "int"), ("index", "fresh", "ix", "a"), ("routine", None, "f", "x"), ("routine", None, "f", "y")], PART)
